@@ -160,4 +160,4 @@ def _needed(names: list[str], found: list[str]) -> list[str]:
 def with_ctes(names: str, query: str) -> str:
     """Prefix a query with the named expressions and all they need."""
     parts = ",\n".join(f"{name} AS (\n{CTES[name][1]}\n)" for name in _needed(names.split(), []))
-    return f"WITH {parts}\n{query}"
+    return f"WITH {parts}{query}" if query.startswith(",") else f"WITH {parts}\n{query}"
