@@ -31,6 +31,6 @@ REGISTRY = Registry()
 
 
 def all_queries() -> dict[str, Query]:
-    from riskloom.plans import checks, features, graph, models, tables  # noqa: F401
+    from riskloom.plans import checks, features, graph, investigation, models, retrieval, tables  # noqa: F401
 
     return REGISTRY.queries
