@@ -8,8 +8,11 @@ from pyspark.sql.window import Window
 
 from riskloom.session import materialize
 
-# A key is hot when it holds more than 1/HOT_KEYS of the rows, so there are fewer than
-# HOT_KEYS hot keys whatever the size of the data: their table may always be broadcast.
+# A key with more rows than this is hot: its rows are spread over several tasks.
+HOT_ROWS = 1_000_000
+
+# Hot keys that are handled, the largest first. With so many keys, a key beyond them
+# holds less than a thousandth of the rows.
 HOT_KEYS = 1000
 
 # Lookup tables up to this size are broadcast.
@@ -19,42 +22,56 @@ BROADCAST_BYTES = 32 * 1024 * 1024
 ONE_TASK_ROWS = 1_000_000
 
 
+def key_counts(df: DataFrame, key: str) -> DataFrame:
+    """Rows per key, as `key, n`."""
+    return df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+
+
+def hot_keys(counts: DataFrame, key: str, hot_rows: int | None = None) -> DataFrame | None:
+    """The keys to be salted, with the number of tasks for each, or None if there are none.
+
+    `counts` holds `key, n` for the side that will be spread. At most HOT_KEYS rows come
+    to the driver, so the result may be broadcast whatever the size of the data.
+    """
+    limit = hot_rows or HOT_ROWS
+    hot = (
+        counts.where(F.col("n") > limit)
+        .orderBy(F.desc("n"), key)
+        .limit(HOT_KEYS)
+        .select(key, F.ceil(F.col("n") / limit).cast("int").alias("_copies"))
+    )
+    rows = hot.collect()
+    return counts.sparkSession.createDataFrame(rows, hot.schema) if rows else None
+
+
 def lookup_join(
-    big: DataFrame,
-    lookup: DataFrame,
-    key: str,
-    spread_by: str,
-    frequencies: DataFrame | None = None,
-    how: str = "left",
+    big: DataFrame, lookup: DataFrame, key: str, spread_by: str, hot: DataFrame | None, how: str = "left"
 ) -> DataFrame:
-    """Join `big` with `lookup` (unique on `key`), salting hot keys and null keys.
+    """Join `big` with `lookup` (unique on `key`), salting the `hot` keys.
 
     A hot key's rows go to several tasks by a hash of `spread_by`, and its lookup row is
-    repeated once per task. `frequencies(key, n)` saves a count when the caller has it.
+    repeated once per task; all other keys join as they are. A hot null key is spread
+    too, though it finds nothing.
     """
-    counts = frequencies if frequencies is not None else big.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
-    hot = counts.where(F.col(key).isNotNull() & (F.col("n") * HOT_KEYS > total)).select(
-        F.col(key), (F.floor(F.col("n") * HOT_KEYS / total) + 1).cast("int").alias("_copies")
-    )
+    added = [c for c in lookup.columns if c != key]
+    if hot is None:
+        return big.join(lookup, key, how).select(*big.columns, *added)
+    missing = hot.where(F.col(key).isNull()).first()
+    null_copies = missing["_copies"] if missing else 1
+    known = F.broadcast(hot.where(F.col(key).isNotNull()))
     place = F.xxhash64(spread_by)
-    salted = big.join(F.broadcast(hot), key, "left").withColumn(
+    salted = big.join(known, key, "left").withColumn(
         "_salt",
-        F.when(F.col(key).isNull(), F.pmod(place, F.lit(HOT_KEYS)))
-        .when(F.col("_copies").isNotNull(), F.pmod(place, F.col("_copies")))
-        .otherwise(0)
+        F.when(F.col(key).isNull(), F.pmod(place, F.lit(null_copies)))
+        .otherwise(F.pmod(place, F.coalesce("_copies", F.lit(1))))
         .cast("int"),
     )
     repeated = (
-        lookup.where(F.col(key).isNotNull())
-        .join(F.broadcast(hot), key, "left")
+        lookup.join(known, key, "left")
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_copies", F.lit(1)) - 1)))
         .drop("_copies")
     )
-    columns = [c for c in big.columns if c != key]
-    return salted.join(repeated, [key, "_salt"], how).select(
-        key, *columns, *[c for c in lookup.columns if c != key]
-    )
+    return salted.join(repeated, [key, "_salt"], how).select(*big.columns, *added)
 
 
 def fits_broadcast(lookup: DataFrame, key: str) -> bool:
@@ -65,13 +82,14 @@ def fits_broadcast(lookup: DataFrame, key: str) -> bool:
     return size["rows"] * 64 + size["bytes"] <= BROADCAST_BYTES
 
 
-def sized_join(big: DataFrame, lookup: DataFrame, key: str, spread_by: str, small: bool) -> DataFrame:
-    """Left join with a lookup table: broadcast if it was found small, else salted."""
+def sized_join(
+    big: DataFrame, lookup: DataFrame, key: str, spread_by: str, small: bool, counts: DataFrame
+) -> DataFrame:
+    """Left join with a lookup table: broadcast if it was found small, else salted by the
+    rows per key in `counts`."""
     if small:
-        return big.join(F.broadcast(lookup), key, "left").select(
-            *big.columns, *[c for c in lookup.columns if c != key]
-        )
-    return lookup_join(big, lookup, key, spread_by).select(*big.columns, *[c for c in lookup.columns if c != key])
+        return big.join(F.broadcast(lookup), key, "left").select(*big.columns, *[c for c in lookup.columns if c != key])
+    return lookup_join(big, lookup, key, spread_by, hot_keys(counts, key))
 
 
 def running_totals(

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.exchange import lookup_join, number_rows
-from riskloom.operators.graph import location_counts
+from riskloom.exchange import hot_keys, key_counts, lookup_join, number_rows
 from riskloom.session import materialize
 
 
@@ -18,13 +17,15 @@ def shared_location_communities(occ: DataFrame) -> DataFrame:
     smallest claim id. Members are rows, not arrays, as one location may hold a large
     part of all claims.
     """
-    groups = occ.groupBy("location_key").agg(F.count(F.lit(1)).alias("n"), F.min("claim_id").alias("first"))
+    groups = materialize(
+        occ.groupBy("location_key").agg(F.count(F.lit(1)).alias("n"), F.min("claim_id").alias("first")), "locations"
+    )
     shared = groups.where("n > 1").withColumn("order", -F.col("n"))
     numbered = number_rows(shared, [F.col("order"), F.col("first")], "community_id").select(
         "location_key", "community_id", F.col("n").alias("size")
     )
     members = occ.select("claim_id", "location_key")
-    joined = lookup_join(members, numbered, "location_key", "claim_id", location_counts(occ), "inner")
+    joined = lookup_join(members, numbered, "location_key", "claim_id", hot_keys(groups, "location_key"), "inner")
     return joined.select(F.col("community_id").cast("long").alias("community_id"), "size", "claim_id")
 
 
@@ -53,14 +54,16 @@ def _degrees(links: DataFrame) -> DataFrame:
     return links.groupBy("a").agg(F.sum("w").alias("k"))
 
 
-def _moves(links: DataFrame, state: DataFrame, twice_total: float, resolution: float, turn: int) -> DataFrame:
+def _moves(
+    links: DataFrame, state: DataFrame, hubs: DataFrame | None, twice_total: float, resolution: float, turn: int
+) -> DataFrame:
     """One round of local moving: the nodes whose turn it is go to the neighbouring
     community of greatest gain, the smallest id among equals, if that beats staying."""
     totals = state.groupBy("community").agg(F.sum("k").alias("total"), F.count(F.lit(1)).alias("members"))
     neighbour = state.select(F.col("node").alias("b"), F.col("community").alias("to"))
     # Weight from each node to each adjacent community; self-loops move with their node.
     weights = (
-        lookup_join(links.where("a <> b"), neighbour, "b", "a", how="inner")
+        lookup_join(links.where("a <> b"), neighbour, "b", "a", hubs, "inner")
         .groupBy("a", "to")
         .agg(F.sum("w").alias("w"))
     )
@@ -111,9 +114,10 @@ def louvain(
 
     for _ in range(max_levels):
         state = materialize(_degrees(links).select(F.col("a").alias("node"), F.col("a").alias("community"), "k"), "state")
+        hubs = hot_keys(key_counts(links, "b"), "b")
         changed = False
         for turn in range(max_iter):
-            moved = materialize(_moves(links, state, twice_total, resolution, turn), "moved")
+            moved = materialize(_moves(links, state, hubs, twice_total, resolution, turn), "moved")
             wanting = moved.where("wants").count()
             state = moved.drop("wants")
             if not wanting:
@@ -130,7 +134,8 @@ def louvain(
         )
         group_a = renamed.select(F.col("node").alias("a"), F.col("community").alias("ca"))
         group_b = renamed.select(F.col("node").alias("b"), F.col("community").alias("cb"))
-        joined = lookup_join(lookup_join(links, group_a, "a", "b", how="inner"), group_b, "b", "ca", how="inner")
+        ends = hubs if hubs is None else hubs.withColumnRenamed("b", "a")  # links are symmetric
+        joined = lookup_join(lookup_join(links, group_a, "a", "b", ends, "inner"), group_b, "b", "a", hubs, "inner")
         links = materialize(
             joined.groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")), "links"
         )
@@ -140,7 +145,9 @@ def louvain(
 
 def rank_communities(members: DataFrame) -> DataFrame:
     """Rows `community_id, size, claim_id` from `node, community`, ids by size."""
-    sizes = members.groupBy("community").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("first"))
-    numbered = number_rows(sizes.withColumn("order", -F.col("size")), [F.col("order"), F.col("first")], "community_id")
-    joined = lookup_join(members, numbered.select("community", "community_id", "size"), "community", "node", how="inner")
+    members = materialize(members, "members")
+    sizes = members.groupBy("community").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first"))
+    numbered = number_rows(sizes.withColumn("order", -F.col("n")), [F.col("order"), F.col("first")], "community_id")
+    ids = numbered.select("community", "community_id", F.col("n").alias("size"))
+    joined = lookup_join(members, ids, "community", "node", hot_keys(numbered, "community"), "inner")
     return joined.select(F.col("community_id").cast("long").alias("community_id"), "size", F.col("node").alias("claim_id"))

@@ -9,7 +9,7 @@ from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.exchange import fits_broadcast, number_rows, running_totals, sized_join
+from riskloom.exchange import fits_broadcast, key_counts, number_rows, running_totals, sized_join
 from riskloom.fixed import INFREQUENT_NAME, MIN_CATEGORY_COUNT
 from riskloom.session import materialize
 
@@ -227,6 +227,7 @@ class ClaimEncoder:
     def encode_onehot(self, df: DataFrame, key: str = "claim_id") -> DataFrame:
         """Replace each categorical column by a struct of its slot and position: rare and
         unseen values take the column's infrequent slot, or none if it has no such slot."""
+        source = df
         for i, c in enumerate(self.categorical):
             if c not in self.modes:
                 df = df.withColumn(c, F.lit(None).cast("struct<slot:bigint,position:bigint>"))
@@ -234,7 +235,9 @@ class ClaimEncoder:
             known = self.vocabulary.where((F.col("ordinal") == i) & ~F.col("infrequent")).select(
                 F.col("value").alias(c), F.struct("slot", "position").alias("_slot")
             )
-            df = sized_join(df.withColumn(c, F.coalesce(F.col(c), F.lit(self.modes[c]))), known, c, key, self.small)
+            filled = F.coalesce(F.col(c), F.lit(self.modes[c])).alias(c)
+            counts = key_counts(source.select(filled), c)
+            df = sized_join(df.withColumn(c, filled), known, c, key, self.small, counts)
             rare = F.lit(None)
             if c in self.rare_slots:
                 slot, position = self.rare_slots[c]

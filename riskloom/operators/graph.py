@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from riskloom.exchange import fits_broadcast, lookup_join, sized_join
+from riskloom.exchange import fits_broadcast, hot_keys, key_counts, lookup_join, sized_join
 from riskloom.fixed import ATTRIBUTE_RELATIONS, LOCATION_FEATURES, OBSOLETE_RELATIONS, RELATED_CAP
 from riskloom.operators.normalize import with_location
 from riskloom.session import materialize
@@ -102,7 +102,7 @@ def drop_obsolete(edges: DataFrame) -> DataFrame:
 
 
 def location_counts(occ: DataFrame) -> DataFrame:
-    return occ.groupBy("location_key").agg(F.count(F.lit(1)).alias("n"))
+    return key_counts(occ, "location_key")
 
 
 def shared_location_pairs(occ: DataFrame, block: int = PAIR_BLOCK) -> DataFrame:
@@ -113,10 +113,10 @@ def shared_location_pairs(occ: DataFrame, block: int = PAIR_BLOCK) -> DataFrame:
     into blocks of about `block`, and each pair of blocks is joined on its own, so a
     task's share stays the same however many claims one location has.
     """
-    counts = location_counts(occ)
+    counts = materialize(location_counts(occ), "location_counts")
     blocks = counts.where("n > 1").select("location_key", F.ceil(F.col("n") / block).cast("int").alias("_blocks"))
     placed = lookup_join(
-        occ.select("claim_id", "location_key"), blocks, "location_key", "claim_id", counts, "inner"
+        occ.select("claim_id", "location_key"), blocks, "location_key", "claim_id", hot_keys(counts, "location_key"), "inner"
     ).withColumn("_block", F.pmod(F.xxhash64("claim_id"), F.col("_blocks")).cast("int"))
     left = placed.select(
         "location_key",
@@ -178,7 +178,8 @@ def related_claims(occ: DataFrame, of: DataFrame | None = None, cap: int = RELAT
         .groupBy("location_key")
         .agg(F.array_sort(F.collect_list("claim_id")).alias("_first"))
     )
-    joined = lookup_join(subjects, first, "location_key", "claim_id")
+    hot = hot_keys(location_counts(subjects), "location_key")
+    joined = lookup_join(subjects, first, "location_key", "claim_id", hot)
     others = F.slice(F.array_remove(F.coalesce("_first", F.array().cast("array<string>")), F.col("claim_id")), 1, cap)
     return joined.select("claim_id", others.alias("related_claim_ids"), F.size(others).cast("long").alias("related_count"))
 
@@ -187,8 +188,9 @@ def location_features(claims: DataFrame) -> DataFrame:
     """Peers at the same location over the whole graph. Each peer is one shared-location
     edge, so the degree is the same number and no pair is formed."""
     located = with_location(claims).select("claim_id", "location_key")
-    counts = location_counts(located.where("location_key is not null"))
-    joined = lookup_join(located, counts, "location_key", "claim_id", counts)
+    counts = materialize(location_counts(located), "location_counts")
+    known = counts.where("location_key is not null")
+    joined = lookup_join(located, known, "location_key", "claim_id", hot_keys(counts, "location_key"))
     peers = F.coalesce(F.col("n") - 1, F.lit(0)).cast("long")
     return joined.select("claim_id", peers.alias("location_claim_count"), peers.alias("shared_location_degree"))
 
@@ -196,15 +198,14 @@ def location_features(claims: DataFrame) -> DataFrame:
 def split_safe_location_features(claims: DataFrame) -> DataFrame:
     """Training claims at the claim's location; the degree leaves out the claim itself."""
     located = with_location(claims).select("claim_id", "split", "location_key")
-    counts = (
-        located.where("location_key is not null")
-        .groupBy("location_key")
-        .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("split") == "train").alias("train_n"))
-    )
-    joined = lookup_join(
-        located, counts.where("train_n > 0").select("location_key", "train_n"), "location_key", "claim_id",
-        counts.select("location_key", "n"),
+    counts = materialize(
+        located.groupBy("location_key").agg(
+            F.count(F.lit(1)).alias("n"), F.count_if(F.col("split") == "train").alias("train_n")
+        ),
+        "location_counts",
     )
+    known = counts.where("location_key is not null and train_n > 0").select("location_key", "train_n")
+    joined = lookup_join(located, known, "location_key", "claim_id", hot_keys(counts, "location_key"))
     count = F.coalesce("train_n", F.lit(0)).cast("long")
     degree = F.when(F.col("split") == "train", F.greatest(count - 1, F.lit(0))).otherwise(count)
     return joined.select(
@@ -213,8 +214,11 @@ def split_safe_location_features(claims: DataFrame) -> DataFrame:
 
 
 def lookup_counts(df: DataFrame, counts: DataFrame, column: str, name: str, small: bool) -> DataFrame:
-    """Add the count of the column's value from a frequency table; unseen values count 0."""
-    found = sized_join(df, counts.select(F.col("value").alias(column), F.col("n").alias("_n")), column, "claim_id", small)
+    """Add the training count of the column's value from a frequency table `value, n,
+    train_n`; unseen values count 0."""
+    known = counts.select(F.col("value").alias(column), F.col("train_n").alias("_n"))
+    rows = counts.select(F.col("value").alias(column), "n")
+    found = sized_join(df, known, column, "claim_id", small, rows)
     return found.withColumn(name, F.coalesce("_n", F.lit(0)).cast("long")).drop("_n")
 
 
@@ -223,11 +227,10 @@ def split_safe_attribute_features(claims: DataFrame) -> DataFrame:
     columns = [c for c, _, _, _ in ATTRIBUTE_RELATIONS]
     pairs = [F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in columns]
     counts = materialize(
-        claims.where("split = 'train'")
-        .select(F.inline(F.array(*pairs)))
+        claims.select("split", F.inline(F.array(*pairs)))
         .where("value is not null")
         .groupBy("column", "value")
-        .agg(F.count(F.lit(1)).alias("n")),
+        .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("split") == "train").alias("train_n")),
         "attribute_counts",
     )
     small = fits_broadcast(counts, "value")
