@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# All Unicode white space, as a class that Java and RE2 read alike.
-SPACE_CLASS = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
+# --- Fixed values: all white-space characters of Unicode ---------------------------------
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def strip(c: Column) -> Column:
     """Remove white space of any kind from both ends."""
-    return F.regexp_replace(c, rf"^{SPACE_CLASS}+|{SPACE_CLASS}+\z", "")
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def keyword_hits(c: Column, keywords: list[str]) -> Column:

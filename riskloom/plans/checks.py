@@ -8,6 +8,7 @@ from riskloom.fixed import ATTRIBUTE_FEATURES, LOCATION_FEATURES, RAW_COLUMNS, R
 from riskloom.operators import features as feature_ops
 from riskloom.operators import graph
 from riskloom.operators import quality as q
+from riskloom.operators.split import stratified_split
 from riskloom.plans import fixtures as fx
 from riskloom.plans.oracle import with_ctes
 from riskloom.plans.registry import REGISTRY
@@ -144,7 +145,7 @@ add(
 )
 add(
     "class_distribution",
-    lambda s, d: q.class_distribution(fx.claims_split(s, d), "fraud_label", "split").unionByName(
+    lambda s, d: q.class_distribution(fx.claims(s, d).transform(stratified_split), "fraud_label", "split").unionByName(
         q.class_distribution(fx.claims(s, d), "fraud_label").withColumn("split", F.lit("all"))
     ),
     with_ctes(
@@ -232,7 +233,7 @@ add(
 
 def dq_split_partition(s, d):
     """The split itself, and one that repeats the test rows and lacks the validation rows."""
-    split = fx.claims_split(s, d)
+    split = fx.split_table(s, d, "policy_id")
     broken = split.where("split <> 'validation'").unionAll(split.where("split = 'test'"))
     return (
         q.check_partition(split, fx.claims(s, d), "claim_id")
@@ -263,7 +264,9 @@ add(
 
 
 def dq_features_complete(s, d):
-    claims = fx.claims_split(s, d)
+    claims = fx.split_table(
+        s, d, "claim_type", "collision_type", "incident_severity", "incident_state", "incident_city", "authorities_contacted"
+    )
     joined = graph.split_safe_location_features(claims).join(
         graph.split_safe_attribute_features(claims).drop("split"), "claim_id"
     )
@@ -287,7 +290,7 @@ add(
 
 
 def dq_schema_parity(s, d):
-    claims = fx.claims_split(s, d)
+    claims = fx.split_table(s, d)
     parts = {p: feature_ops.base_features(claims.where(F.col("split") == p)) for p in ["train", "validation", "test"]}
     parts["test"] = parts["test"].drop("witnesses")
     return q.check_schema_parity(parts)

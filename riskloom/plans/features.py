@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from riskloom.fixed import ATTRIBUTE_FEATURES, CATEGORICAL, CLAIM_NUMERIC, DERIVED_NUMERIC, LOCATION_FEATURES
 from riskloom.operators import encoding, graph
 from riskloom.operators import features as ops
+from riskloom.operators.split import stratified_split
 from riskloom.plans import fixtures as fx
 from riskloom.plans.oracle import with_ctes
 from riskloom.plans.registry import REGISTRY
@@ -29,20 +30,22 @@ def rounded_sql(columns=FLOATS):
 
 
 def graph_enhanced(s, d):
-    claims = materialize(fx.claims_split(s, d), "claims_split")
+    claims = fx.split_table(s, d)
     g = graph.split_safe_location_features(claims)
     return rounded(ops.graph_features(claims, g, keep=("claim_id",)))
 
 
 def combined(s, d):
-    claims = materialize(fx.claims_split(s, d), "claims_split")
+    claims = fx.split_table(
+        s, d, "claim_type", "collision_type", "incident_severity", "incident_state", "incident_city"
+    )
     return ops.combine_graph_features(
         graph.split_safe_location_features(claims), graph.split_safe_attribute_features(claims)
     )
 
 
 def multigraph(s, d):
-    claims = materialize(fx.claims_split(s, d), "claims_split")
+    claims = fx.split_table(s, d)
     g = ops.combine_graph_features(
         graph.split_safe_location_features(claims), graph.split_safe_attribute_features(claims)
     )
@@ -53,8 +56,13 @@ def base(s, d):
     return ops.base_features(fx.claims_split(s, d), keep=("claim_id",))
 
 
+def base_table(s, d, columns):
+    """Some of the base features, written."""
+    return materialize(base(s, d).select("claim_id", "split", *columns), "base_features")
+
+
 def numeric_stats(s, d):
-    train = base(s, d).where("split = 'train'")
+    train = base_table(s, d, NUMERIC).where("split = 'train'")
     stats = encoding.fit_numeric(train, NUMERIC)
     return stats.select(
         "column", *[(F.round(c, 6) + 0.0).alias(c) for c in ["median", "mean", "stddev"]]
@@ -62,7 +70,7 @@ def numeric_stats(s, d):
 
 
 def standardized(s, d):
-    table = materialize(base(s, d), "base")
+    table = base_table(s, d, NUMERIC)
     stats = encoding.fit_numeric(table.where("split = 'train'"), NUMERIC)
     done = encoding.standardize(table, stats)
     return done.select("claim_id", "split", *[(F.round(c, 6) + 0.0).alias(c) for c in NUMERIC])
@@ -95,7 +103,7 @@ _base_sql = f"b.claim_id, b.split, {_base_columns}, {', '.join(_exact)}, {rounde
 
 add(
     "stratified_split",
-    lambda s, d: fx.claims_split(s, d).select("claim_id", "fraud_label", "split"),
+    lambda s, d: stratified_split(fx.claims(s, d).select("claim_id", "fraud_label")),
     with_ctes("split", "SELECT claim_id, fraud_label, split FROM split"),
 )
 add(

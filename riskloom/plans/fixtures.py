@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from riskloom.operators.normalize import canonical_claims, canonical_policies, clean_raw
 from riskloom.operators.split import stratified_split
+from riskloom.session import materialize
+
+# Tables whose rows the views follow one by one.
+DRIVING = ["orders", "documents", "embeddings"]
 
 CLAIMS_RAW = """
 SELECT
@@ -69,7 +73,11 @@ FROM {orders} o
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. One that a single task would read, being one small file, is spread
+    over the cores; tables of many files keep their own partitions."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in DRIVING and df.rdd.getNumPartitions() * 2 <= cores else df
 
 
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
@@ -94,6 +102,17 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, QUESTIONS)
 
 
+def claims_table(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Canonical claims, or some of their columns, written once: what operators that read
+    their input several times are given."""
+    df = claims(spark, sf_dir)
+    return materialize(df.select(*columns) if columns else df, "claims")
+
+
+def policies_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialize(policies(spark, sf_dir), "policies")
+
+
 def policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical_policies(clean_raw(claims_raw(spark, sf_dir)))
 
@@ -102,8 +121,17 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical_claims(clean_raw(claims_raw(spark, sf_dir)))
 
 
-def claims_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stratified_split(claims(spark, sf_dir))
+def claims_split(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Written claims with their split; `columns` besides the id and the label."""
+    chosen = ["claim_id", "fraud_label", *columns] if columns else []
+    return stratified_split(claims_table(spark, sf_dir, *chosen))
+
+
+def split_table(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """As `claims_split`, written with the split."""
+    chosen = ["claim_id", "fraud_label", *columns] if columns else []
+    df = claims(spark, sf_dir)
+    return materialize(stratified_split(df.select(*chosen) if chosen else df), "claims_split")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

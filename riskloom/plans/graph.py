@@ -10,13 +10,12 @@ from riskloom.plans import fixtures as fx
 from riskloom.plans.oracle import with_ctes
 from riskloom.plans.registry import REGISTRY
 from riskloom.plans.tables import _counts_sql
-from riskloom.session import materialize
 
 add = REGISTRY.add
 
 
 def occ(s, d):
-    return graph.occurrences(fx.claims(s, d))
+    return graph.occurrences(fx.claims_table(s, d, "claim_id", "incident_state", "incident_city"))
 
 
 def wanted(s, d):
@@ -32,13 +31,13 @@ _wanted_sql = """(SELECT DISTINCT claim_id FROM (SELECT 'CLM_POL' || (l_orderkey
 
 
 def find_graph_features(s, d):
-    features = graph.split_safe_location_features(materialize(fx.claims_split(s, d), "claims_split"))
+    features = graph.split_safe_location_features(fx.split_table(s, d, "incident_state", "incident_city"))
     splits = [features.where(F.col("split") == name) for name in ["train", "validation", "test"]]
     return training.find_graph_features(splits, wanted(s, d))
 
 
 def graph_counts(s, d):
-    policies, claims = fx.policies(s, d), fx.claims(s, d)
+    policies, claims = fx.policies_table(s, d), fx.claims_table(s, d)
     linear = graph.graph_counts(graph.all_nodes(policies, claims), graph.linear_edges(policies, claims))
     shared = graph.shared_pair_total(graph.occurrences(claims))
     return linear.unionByName(
@@ -47,7 +46,9 @@ def graph_counts(s, d):
 
 
 def feature_ranges(s, d):
-    claims = materialize(fx.claims_split(s, d).select("claim_id", "split", "claim_type", "collision_type", "incident_severity", "incident_state", "incident_city"), "claims_split")
+    claims = fx.split_table(
+        s, d, "claim_type", "collision_type", "incident_severity", "incident_state", "incident_city"
+    )
     joined = graph.split_safe_location_features(claims).join(
         graph.split_safe_attribute_features(claims).drop("split"), "claim_id"
     )
@@ -56,7 +57,7 @@ def feature_ranges(s, d):
 
 def train_claims(s, d):
     """Once by the split column, once by a table of ids."""
-    claims = fx.claims_split(s, d).select("claim_id", "split")
+    claims = fx.split_table(s, d, "policy_id").select("claim_id", "split")
     ids = split.training_rows(claims).select("claim_id")
     by_ids = split.restrict(fx.claims(s, d), ids).select("claim_id").withColumn("via", F.lit("ids"))
     return ids.withColumn("via", F.lit("column")).unionByName(by_ids)
@@ -66,6 +67,13 @@ def louvain(s, d):
     return communities.rank_communities(communities.louvain(graph.shared_location_pairs(occ(s, d))))
 
 
+def community_summary(s, d):
+    located = occ(s, d)
+    return communities.community_summary(
+        communities.shared_location_communities(located), graph.shared_pair_total(located)
+    )
+
+
 def communities_sql(select: str) -> str:
     return with_ctes(
         "located",
@@ -203,7 +211,7 @@ UNION ALL SELECT DISTINCT 'node', value, label FROM attribute_long""",
 )
 add(
     "location_features",
-    lambda s, d: graph.location_features(fx.claims(s, d)),
+    lambda s, d: graph.location_features(fx.claims_table(s, d, "claim_id", "incident_state", "incident_city")),
     with_ctes(
         "located location_counts",
         """SELECT l.claim_id, coalesce(c.n - 1, 0) AS location_claim_count, coalesce(c.n - 1, 0) AS shared_location_degree
@@ -212,12 +220,14 @@ FROM located l LEFT JOIN location_counts c ON l.location_key = c.location_key"""
 )
 add(
     "split_safe_location_features",
-    lambda s, d: graph.split_safe_location_features(fx.claims_split(s, d)),
+    lambda s, d: graph.split_safe_location_features(fx.split_table(s, d, "incident_state", "incident_city")),
     with_ctes("location_safe", "SELECT * FROM location_safe"),
 )
 add(
     "split_safe_attribute_features",
-    lambda s, d: graph.split_safe_attribute_features(fx.claims_split(s, d)),
+    lambda s, d: graph.split_safe_attribute_features(
+        fx.split_table(s, d, "claim_type", "collision_type", "incident_severity", "incident_state")
+    ),
     with_ctes("attribute_safe", "SELECT * FROM attribute_safe"),
 )
 add(
@@ -228,9 +238,7 @@ add(
 add("louvain_communities", louvain, communities_sql("SELECT c.community_id, c.n AS size, l.claim_id"))
 add(
     "community_summary",
-    lambda s, d: communities.community_summary(
-        communities.shared_location_communities(occ(s, d)), graph.shared_pair_total(occ(s, d))
-    ),
+    community_summary,
     with_ctes(
         "located pairs",
         """, sizes AS (SELECT n, row_number() OVER (ORDER BY n DESC, first) - 1 AS community_id FROM (

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskloom.operators import metrics, training
+from riskloom.operators.split import stratified_split
 from riskloom.plans import fixtures as fx
 from riskloom.plans.oracle import with_ctes
 from riskloom.plans.registry import REGISTRY
-from riskloom.session import materialize, scratch_path
+from riskloom.session import scratch_path
 
 add = REGISTRY.add
 
@@ -17,12 +18,12 @@ ROUNDS = 5
 
 
 def scorer(s, d, feature_set="graph_enhanced"):
-    return training.train_scorer(materialize(fx.claims_split(s, d), "claims_split"), feature_set, ROUNDS)
+    return training.train_scorer(fx.split_table(s, d), feature_set, ROUNDS)
 
 
 def gbt_scores(s, d):
     """Ranking quality on the test rows for each feature set."""
-    claims = materialize(fx.claims_split(s, d), "claims_split")
+    claims = fx.split_table(s, d)
     out = None
     for feature_set in training.FEATURE_SETS:
         model, features = training.train_scorer(claims, feature_set, ROUNDS)
@@ -74,7 +75,9 @@ _sweep = "(SELECT CAST(k * 5 AS DOUBLE) / 100 AS threshold FROM range(1, 20) r(k
 
 add(
     "class_weight",
-    lambda s, d: metrics.class_weight(fx.claims_split(s, d).where("split = 'train'")).withColumn(
+    lambda s, d: metrics.class_weight(
+        stratified_split(fx.claims(s, d).select("claim_id", "fraud_label")).where("split = 'train'")
+    ).withColumn(
         "positive_weight", F.round("positive_weight", 6)
     ),
     with_ctes(

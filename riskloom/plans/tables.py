@@ -41,7 +41,7 @@ def documents_roundtrip(spark, sf):
 
 def graph_roundtrip(spark, sf):
     path = scratch_path(spark, "graph")
-    policies, claims = fx.policies(spark, sf), fx.claims(spark, sf)
+    policies, claims = fx.policies_table(spark, sf), fx.claims_table(spark, sf)
     stores.write_graph(graph.all_nodes(policies, claims), graph.linear_edges(policies, claims), path)
     return graph.graph_counts(*stores.read_graph(spark, path))
 
