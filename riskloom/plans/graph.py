@@ -64,7 +64,12 @@ def train_claims(s, d):
 
 
 def louvain(s, d):
-    return communities.rank_communities(communities.louvain(graph.shared_location_pairs(occ(s, d))))
+    """Communities of claims and their locations, over the edges between them (linear in
+    the claims): the claims of each, where it has more than one."""
+    located = occ(s, d)
+    found = communities.louvain(located.select(F.col("claim_id").alias("src"), F.col("location_key").alias("dst")))
+    claims = found.join(located.select(F.col("claim_id").alias("node")), "node", "left_semi")
+    return communities.rank_communities(claims).where("size > 1")
 
 
 def community_summary(s, d):
