@@ -58,8 +58,17 @@ def _moves(
     links: DataFrame, state: DataFrame, hubs: DataFrame | None, twice_total: float, resolution: float, turn: int
 ) -> DataFrame:
     """One round of local moving: the nodes whose turn it is go to the neighbouring
-    community of greatest gain, the smallest id among equals, if that beats staying."""
-    totals = state.groupBy("community").agg(F.sum("k").alias("total"), F.count(F.lit(1)).alias("members"))
+    community of greatest gain, the smallest id among equals, if that beats staying.
+
+    `hubs` are the nodes with very many links. A community may grow as large: joins on
+    communities are salted by its members, or by its links, which bound its neighbours.
+    """
+    totals = materialize(
+        state.groupBy("community").agg(F.sum("k").alias("total"), F.count(F.lit(1)).alias("members")), "totals"
+    )
+    crowded = hot_keys(totals.select("community", F.col("members").alias("n")), "community")
+    popular = hot_keys(totals.select(F.col("community").alias("to"), F.col("total").alias("n")), "to")
+
     neighbour = state.select(F.col("node").alias("b"), F.col("community").alias("to"))
     # Weight from each node to each adjacent community; self-loops move with their node.
     weights = (
@@ -67,11 +76,12 @@ def _moves(
         .groupBy("a", "to")
         .agg(F.sum("w").alias("w"))
     )
-    own = state.join(totals, "community").select(
+    own = lookup_join(state, totals, "community", "node", crowded, "inner").select(
         F.col("node").alias("a"), "community", "k", F.col("total").alias("own_total"), F.col("members").alias("own_members")
     )
     target = totals.select(F.col("community").alias("to"), "total", "members")
-    options = weights.join(own, "a").join(target, "to")
+    options = lookup_join(weights, own, "a", "to", _renamed(hubs, "b", "a"), "inner")
+    options = lookup_join(options, target, "to", "a", popular, "inner")
     stays = F.col("to") == F.col("community")
     pull = F.col("w") - resolution * F.col("k") * (F.col("total") - F.when(stays, F.col("k")).otherwise(0.0)) / twice_total
     # Two lone nodes must not swap places: only the one with the greater id moves.
@@ -93,6 +103,21 @@ def _moves(
     )
 
 
+def _renamed(hot: DataFrame | None, old: str, new: str) -> DataFrame | None:
+    return None if hot is None else hot.withColumnRenamed(old, new)
+
+
+def _named_by_first(table: DataFrame) -> DataFrame:
+    """Rows `node, community` with each community named by its smallest node."""
+    names = materialize(
+        table.groupBy("community").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("_name")), "names"
+    )
+    named = lookup_join(
+        table.select("node", "community"), names.drop("n"), "community", "node", hot_keys(names, "community"), "inner"
+    )
+    return named.select("node", F.col("_name").alias("community"))
+
+
 def louvain(
     edges: DataFrame, resolution: float = 1.0, max_iter: int = 60, max_levels: int = 10
 ) -> DataFrame:
@@ -125,22 +150,23 @@ def louvain(
             changed = True
         if not changed:
             break
-        names = state.groupBy("community").agg(F.min("node").alias("name"))
-        renamed = materialize(state.join(names, "community").select("node", F.col("name").alias("community")), "renamed")
+        renamed = materialize(_named_by_first(state), "renamed")
+        following = renamed.select(F.col("node").alias("community"), F.col("community").alias("_next"))
+        hot = hot_keys(key_counts(members, "community"), "community")
         members = materialize(
-            members.join(renamed.select(F.col("node").alias("community"), F.col("community").alias("_next")), "community")
-            .select("node", F.col("_next").alias("community")),
+            lookup_join(members, following, "community", "node", hot, "inner").select(
+                "node", F.col("_next").alias("community")
+            ),
             "members",
         )
         group_a = renamed.select(F.col("node").alias("a"), F.col("community").alias("ca"))
         group_b = renamed.select(F.col("node").alias("b"), F.col("community").alias("cb"))
-        ends = hubs if hubs is None else hubs.withColumnRenamed("b", "a")  # links are symmetric
+        ends = _renamed(hubs, "b", "a")  # links are symmetric
         joined = lookup_join(lookup_join(links, group_a, "a", "b", ends, "inner"), group_b, "b", "a", hubs, "inner")
         links = materialize(
             joined.groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")), "links"
         )
-    names = members.groupBy("community").agg(F.min("node").alias("name"))
-    return members.join(names, "community").select("node", F.col("name").alias("community"))
+    return _named_by_first(members)
 
 
 def rank_communities(members: DataFrame) -> DataFrame:

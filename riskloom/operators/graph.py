@@ -168,17 +168,21 @@ def related_claims(occ: DataFrame, of: DataFrame | None = None, cap: int = RELAT
     The first cap + 1 ids of a location serve all its claims. They are picked by a
     limited rank, which keeps that many rows per location before the shuffle.
     """
-    subjects = of.select("claim_id", "location_key") if of is not None else occ.select("claim_id", "location_key")
-    peers = occ if of is None else occ.join(subjects.select("location_key").distinct(), "location_key", "left_semi")
+    everyone = occ.select("claim_id", "location_key")
+    hot = hot_keys(location_counts(everyone), "location_key")
+    subjects, peers = everyone, everyone
+    if of is not None:
+        subjects = of.select("claim_id", "location_key")
+        wanted = subjects.select("location_key").where("location_key is not null").distinct()
+        peers = lookup_join(everyone, wanted, "location_key", "claim_id", hot, "inner")
+        hot = hot_keys(location_counts(subjects), "location_key")  # these may lack a location
     by_id = Window.partitionBy("location_key").orderBy("claim_id")
     first = (
-        peers.select("claim_id", "location_key")
-        .withColumn("_rank", F.row_number().over(by_id))
+        peers.withColumn("_rank", F.row_number().over(by_id))
         .where(F.col("_rank") <= cap + 1)
         .groupBy("location_key")
         .agg(F.array_sort(F.collect_list("claim_id")).alias("_first"))
     )
-    hot = hot_keys(location_counts(subjects), "location_key")
     joined = lookup_join(subjects, first, "location_key", "claim_id", hot)
     others = F.slice(F.array_remove(F.coalesce("_first", F.array().cast("array<string>")), F.col("claim_id")), 1, cap)
     return joined.select("claim_id", others.alias("related_claim_ids"), F.size(others).cast("long").alias("related_count"))

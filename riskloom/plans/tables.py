@@ -117,7 +117,16 @@ add(
     ),
 )
 add("graph_roundtrip", graph_roundtrip, with_ctes("policies located attribute_long", _counts_sql))
-add("features_roundtrip", features_roundtrip)
+add(
+    "features_roundtrip",
+    features_roundtrip,
+    with_ctes(
+        "standard_long onehot",
+        """SELECT b.split, count(*) AS row_count, count(*) FILTER (b.fraud_label) AS positives,
+  (SELECT count(*) FROM standard_long s WHERE s.split = b.split AND abs(s.value) > 1e-12)
+    + (SELECT count(*) FROM onehot o WHERE o.split = b.split) AS nonzero FROM base b GROUP BY b.split""",
+    ),
+)
 add(
     "feature_metadata",
     feature_metadata,
