@@ -89,7 +89,7 @@ def pooled(net: Net, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def hidden(net: Net, chunks: np.ndarray) -> np.ndarray:
     """The hidden layer of each chunk, CHUNKS at a time."""
-    out = np.empty((len(chunks), HIDDEN), np.float32)
+    out = np.empty((len(chunks), HIDDEN), net.filters.dtype)
     for i in range(0, len(chunks), CHUNKS):
         seen = windows(net, chunks[i : i + CHUNKS])
         answers = np.ascontiguousarray(seen).reshape(-1, WIDTH * EMBED) @ net.filters
@@ -180,7 +180,8 @@ def gradients(net: Net, chunks: np.ndarray, n: np.ndarray, labels: np.ndarray, w
     d_layers = d_joined[:, 2 * HIDDEN :][doc] / n[doc][:, None]
     for k, pick in enumerate((most, least)):
         hit = layers == pick[doc]
-        d_layers = d_layers + np.where(hit, d_joined[:, k * HIDDEN : (k + 1) * HIDDEN][doc], 0)
+        share = hit / np.add.reduceat(hit, begin, dtype=np.float32)[doc]  # equal chunks share it
+        d_layers = d_layers + share * d_joined[:, k * HIDDEN : (k + 1) * HIDDEN][doc]
     d_sum = (d_layers * (1 - layers**2)).astype(np.float32)
     d_top = (d_sum @ net.dense.T) * (top > 0)
     # Only the window at each filter's maximum takes part.
