@@ -237,7 +237,8 @@ def score_quality(docs: DataFrame, net: Net | float, text: str = "text") -> Data
             if isinstance(net, float):
                 yield pa.array(np.full(len(texts), net))
             else:
-                yield pa.array(probability(net, *flat_bytes(texts)))
+                # Sums depend on which texts share a product, far behind the sixth place.
+                yield pa.array(probability(net, *flat_bytes(texts)).round(6))
 
     kept = [c for c in docs.columns if c not in ("score", "predicted")]
     scored = docs.withColumn("_score", score(F.col(text))).select(*kept, F.col("_score").alias("score"))

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import language_id, quality_net
+from riskloom.llm import language_id, nearest, quality_net, warc
 from riskloom.llm.batches import fold
 from riskloom.llm.bpe import round_trip
 from riskloom.llm.token_counts import count_tokens
+from riskloom.session import materialize
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -46,11 +47,58 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    index = materialize(nearest.build_index(vectors), "index")
+    return nearest.search(index, vectors.where(F.col("vec_id") % 50 == 0))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = warc.write_archives(table(spark, sf_dir, "pages"))
+    return warc.read_archives(spark, archive)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_token_counts": op3_token_counts,
     "op5_bpe": op5_bpe,
     "op6_quality": op6_quality,
+    "op9_nearest": op9_nearest,
+    "op10_warc": op10_warc,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+NEAREST_SQL = """
+WITH usable AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.e, c.e) AS score
+  FROM usable q JOIN usable c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
+def _base32_sql(digits: str) -> str:
+    letters = [
+        f"substr('{warc.BASE32}', CAST((CAST('0x' || substr({digits}, {10 * i + 1}, 10) AS BIGINT) >> {35 - 5 * k}) & 31 AS BIGINT) + 1, 1)"
+        for i in range(4)
+        for k in range(8)
+    ]
+    return " || ".join(letters)
+
+
+WARC_SQL = f"""
+WITH p AS (
+  SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS sha FROM pages
+), f AS (SELECT *, min(page_id) OVER (PARTITION BY sha, payload_bytes) AS first_id FROM p)
+SELECT page_id, payload_bytes, {_base32_sql("sha")} AS payload_digest,
+  CASE WHEN page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM f
+"""
+
+ORACLE_SQL: dict[str, str] = {"op9_nearest": NEAREST_SQL, "op10_warc": WARC_SQL}
