@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import language_id, nearest, quality_net, warc
+from riskloom.llm import language_id, mixing, nearest, quality_net, warc
 from riskloom.llm.batches import fold
 from riskloom.llm.bpe import round_trip
 from riskloom.llm.token_counts import count_tokens
@@ -15,6 +15,9 @@ from riskloom.session import materialize
 
 TOKENIZER = "byte_bpe_50k.json"
 
+# No source is repeated more than this often for once of another.
+REPETITION = 1.5
+
 
 def tokenizer_path() -> str:
     import public_tokenizers
@@ -26,6 +29,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = materialize(mixing.sized(docs, "doc_id", "source", mixing.count_words(F.col("text"))), "sized")
+    return mixing.realise(rows, mixing.plan_mix(rows, repetition=REPETITION))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", fold("doc_id", 4) == 2)
     model = language_id.learn(docs.where("not held_out"))
@@ -59,6 +68,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
     "op2_language_id": op2_language_id,
     "op3_token_counts": op3_token_counts,
     "op5_bpe": op5_bpe,
@@ -67,6 +77,39 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc": op10_warc,
 }
 
+# The exponent that bisection finds has a closed form here: the extremes of p^(a - 1) are
+# those of p, and their quotient is REPETITION.
+MIXING_SQL = f"""
+WITH t AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\r\\f\\x0B]+')) AS BIGINT) AS n_tokens FROM documents
+), s AS (
+  SELECT source, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM t GROUP BY source
+), p AS (SELECT *, CAST(tokens AS DOUBLE) / sum(tokens) OVER () AS p FROM s),
+a AS (
+  SELECT CASE WHEN max(p) / min(p) <= {REPETITION} THEN 0.0
+    ELSE ceil(round((1 - ln({REPETITION}) / ln(max(p) / min(p))) * 1000000, 3)) / 1000000 END AS alpha
+  FROM p WHERE tokens > 0
+), z AS (
+  SELECT sum(exp(alpha * ln(p))) AS z, ceil(sum(tokens) * sum(exp(alpha * ln(p))) / min(exp(alpha * ln(p)) / p) - 0.000001) AS total
+  FROM p, a WHERE tokens > 0
+), w AS (
+  SELECT source, tokens, total, CASE WHEN tokens > 0 THEN round(exp(alpha * ln(p)) / z, 9) ELSE 0.0 END AS weight FROM p, a, z
+), b AS (SELECT *, greatest(tokens, CAST(floor(weight * total) AS BIGINT)) AS budget FROM w),
+c AS (
+  SELECT *, CASE WHEN tokens > 0 THEN budget // tokens ELSE 1 END AS copies, CASE WHEN tokens > 0 THEN budget % tokens ELSE 0 END AS rest FROM b
+), used AS (
+  SELECT doc_id, t.source, n_tokens, weight, tokens, total, budget, copies, rest, CAST(unnest(range(copies + 1)) AS INTEGER) AS epoch
+  FROM t JOIN c ON t.source IS NOT DISTINCT FROM c.source
+), placed AS (
+  SELECT *, sum(n_tokens) OVER (PARTITION BY source, epoch ORDER BY md5('1|' || epoch || '|' || doc_id)) AS "end"
+  FROM used WHERE epoch < copies OR rest > 0
+)
+SELECT doc_id, source, n_tokens, CAST(weight AS DOUBLE) AS weight, epoch, CAST(epoch * tokens + "end" - n_tokens AS BIGINT) AS start,
+  CAST(CASE WHEN budget > 0 THEN least(floor((epoch * tokens + "end" - n_tokens) * blocks / budget), blocks - 1) ELSE 0 END AS BIGINT) AS block
+FROM (SELECT *, greatest(1, CAST(ceil(total / 1048576) AS BIGINT)) AS blocks FROM placed)
+WHERE epoch < copies OR "end" <= rest
+"""
+
 NEAREST_SQL = """
 WITH usable AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
@@ -101,4 +144,4 @@ SELECT page_id, payload_bytes, {_base32_sql("sha")} AS payload_digest,
 FROM f
 """
 
-ORACLE_SQL: dict[str, str] = {"op9_nearest": NEAREST_SQL, "op10_warc": WARC_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_mixing": MIXING_SQL, "op9_nearest": NEAREST_SQL, "op10_warc": WARC_SQL}
