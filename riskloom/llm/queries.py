@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import language_id, mixing, nearest, quality_net, warc
+from riskloom.llm import language_id, mixing, nearest, quality_net, repeats, spot_signatures, warc
 from riskloom.llm.batches import fold
 from riskloom.llm.bpe import round_trip
 from riskloom.llm.token_counts import count_tokens
@@ -45,6 +45,12 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = repeats.remove_repeats(docs)
+    return done.select("doc_id", *[f"repeats.{c}" for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")])
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -56,6 +62,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op8_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spot_signatures.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     index = materialize(nearest.build_index(vectors), "index")
@@ -71,8 +81,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_language_id": op2_language_id,
     "op3_token_counts": op3_token_counts,
+    "op4_repeats": op4_repeats,
     "op5_bpe": op5_bpe,
     "op6_quality": op6_quality,
+    "op8_spot_signatures": op8_spot_signatures,
     "op9_nearest": op9_nearest,
     "op10_warc": op10_warc,
 }
