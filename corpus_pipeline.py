@@ -1,20 +1,70 @@
-"""Documents to training tokens, stage by stage."""
+"""Documents to training tokens, stage by stage.
+
+Every stage takes what the one before kept. Stages but the last return the columns of
+documents, with `text` and `n_chars` as the stage leaves them. Rows that repeat an id go
+through each stage together; rows without an id pass the join untouched; null texts are
+kept as rows without tokens.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from riskloom.llm import queries
-from riskloom.llm.bpe import round_trip
+from riskloom.llm import bpe, mixing, ngram_join, quality_net, queries, repeats
+from riskloom.llm.batches import fold
 from riskloom.session import materialize
 
+# Documents that score below go. Lower than the even odds of `predicted`, so that a clean
+# document has to look quite unlike the others to be lost.
+REJECT_BELOW = 0.2
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that the classifier rejects. It is fitted on the labels of
+    two folds of three and on the documents given."""
+    labels = queries.table(spark, sf_dir, "labels").where(fold("doc_id", 3) != 1)
+    net = quality_net.learn(docs, labels)
+    scored = docs.withColumn("_docs", F.struct(*docs.columns))
+    scored = quality_net.score_quality(scored.select("_docs", "text"), net)
+    return scored.where(F.col("score") >= REJECT_BELOW).select("_docs.*")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest id."""
+    groups = ngram_join.similarity_components(docs)
+    others = materialize(groups.where("component_id <> doc_id").select("doc_id").distinct(), "copies")
+    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without passages that stand elsewhere too. Letters that were cut are left out."""
+    done = repeats.remove_repeats(docs)
+    changed = F.col("repeats.n_removed") > 0
+    text = F.when(changed, repeats.whole_letters(F.col("repeats.kept"))).otherwise(F.col("text"))
+    done = done.withColumn("text", text).withColumn("n_chars", F.when(changed, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+    return done.select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document once, those of small sources more often, as the weights ask."""
+    return mixing.mix_documents(docs, repetition=queries.REPETITION)
+
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return round_trip(docs, queries.tokenizer_path())
+    """Token ids of each row."""
+    return bpe.encode_documents(docs, queries.tokenizer_path())
 
 
-STAGES = [("encode", encode)]
+STAGES = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("mix", mix),
+    ("encode", encode),
+]
 
+# The classifier has no counterpart in SQL.
 ORACLE_SQL = None
 
 

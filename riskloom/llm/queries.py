@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import language_id, mixing, nearest, quality_net, repeats, spot_signatures, warc
+from riskloom.llm import language_id, mixing, nearest, ngram_join, quality_net, repeats, spot_signatures, warc
 from riskloom.llm.batches import fold
 from riskloom.llm.bpe import round_trip
 from riskloom.llm.token_counts import count_tokens
@@ -62,6 +62,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similarity_components(table(spark, sf_dir, "documents"))
+
+
 def op8_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spot_signatures.fingerprint_edits(table(spark, sf_dir, "documents"))
 
@@ -84,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_repeats": op4_repeats,
     "op5_bpe": op5_bpe,
     "op6_quality": op6_quality,
+    "op7_ngram_join": op7_ngram_join,
     "op8_spot_signatures": op8_spot_signatures,
     "op9_nearest": op9_nearest,
     "op10_warc": op10_warc,

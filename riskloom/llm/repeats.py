@@ -306,6 +306,13 @@ def cut_text(length: int):
     return cut
 
 
+@F.arrow_udf("string")
+def whole_letters(kept: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Text from kept bytes; bytes of a letter that was cut are left out."""
+    for rows in kept:
+        yield pa.array([None if b is None else b.decode("utf-8", "ignore") for b in rows.to_pylist()], pa.string())
+
+
 def _key(docs: DataFrame, id: str, text: str) -> list[Column]:
     return [F.col(id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash")]
 
