@@ -306,11 +306,15 @@ def cut_text(length: int):
     return cut
 
 
-@F.arrow_udf("string")
-def whole_letters(kept: Iterator[pa.Array]) -> Iterator[pa.Array]:
+def whole_letters(kept: Column) -> Column:
     """Text from kept bytes; bytes of a letter that was cut are left out."""
-    for rows in kept:
-        yield pa.array([None if b is None else b.decode("utf-8", "ignore") for b in rows.to_pylist()], pa.string())
+
+    @F.arrow_udf("string")
+    def letters(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for rows in batches:
+            yield pa.array([None if b is None else b.decode("utf-8", "ignore") for b in rows.to_pylist()], pa.string())
+
+    return letters(kept)
 
 
 def _key(docs: DataFrame, id: str, text: str) -> list[Column]:
