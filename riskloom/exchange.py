@@ -8,12 +8,11 @@ from pyspark.sql.window import Window
 
 from riskloom.session import materialize
 
-# A key with more rows than this is hot: its rows are spread over several tasks.
+# A key with more rows than this is hot: its rows are spread over several tasks. With more
+# rows in all than HOT_ROWS * HOT_SHARE, the limit is that share of them, so that no more
+# than HOT_SHARE keys can be hot.
 HOT_ROWS = 1_000_000
-
-# Hot keys that are handled, the largest first. With so many keys, a key beyond them
-# holds less than a thousandth of the rows.
-HOT_KEYS = 1000
+HOT_SHARE = 100_000
 
 # Lookup tables up to this size are broadcast.
 BROADCAST_BYTES = 32 * 1024 * 1024
@@ -30,16 +29,17 @@ def key_counts(df: DataFrame, key: str) -> DataFrame:
 def hot_keys(counts: DataFrame, key: str, hot_rows: int | None = None) -> DataFrame | None:
     """The keys to be salted, with the number of tasks for each, or None if there are none.
 
-    `counts` holds `key, n` for the side that will be spread. At most HOT_KEYS rows come
-    to the driver, so the result may be broadcast whatever the size of the data.
+    `counts` holds `key, n` for the side that will be spread. Every key over the limit is
+    salted; the limit follows the rows, so at most HOT_SHARE of them come to the driver,
+    whatever the size of the data, and the result may be broadcast.
     """
     limit = hot_rows or HOT_ROWS
-    hot = (
-        counts.where(F.col("n") > limit)
-        .orderBy(F.desc("n"), key)
-        .limit(HOT_KEYS)
-        .select(key, F.ceil(F.col("n") / limit).cast("int").alias("_copies"))
-    )
+    size = counts.agg(F.max("n").alias("most"), F.sum("n").alias("rows")).first()
+    if size["most"] is None or size["most"] <= limit:
+        return None
+    if not hot_rows:
+        limit = max(limit, size["rows"] // HOT_SHARE)
+    hot = counts.where(F.col("n") > limit).select(key, F.ceil(F.col("n") / limit).cast("int").alias("_copies"))
     rows = hot.collect()
     return counts.sparkSession.createDataFrame(rows, hot.schema) if rows else None
 

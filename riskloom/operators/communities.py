@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -119,7 +121,7 @@ def _named_by_first(table: DataFrame) -> DataFrame:
 
 
 def louvain(
-    edges: DataFrame, resolution: float = 1.0, max_iter: int = 60, max_levels: int = 10
+    edges: DataFrame, resolution: float = 1.0, max_turns: int = 1000, max_levels: int = 100
 ) -> DataFrame:
     """Communities of an undirected edge table `src, dst`: rows `node, community`, named
     by their smallest node. Unweighted modularity, deterministic.
@@ -127,7 +129,9 @@ def louvain(
     Rounds of local moving are joins and aggregations over all nodes at once; a hash
     of node and round picks the half that may move, so that neighbours do not chase
     each other. Each round is written to the shared folder, which ends its lineage.
-    When no node wants to move, communities become nodes and the next level starts.
+    When no node wants to move, communities become nodes and the next level starts. The
+    partition is returned only when no level changes it any more: a level that takes more
+    than `max_turns` rounds, or more than `max_levels` levels, are an error.
     """
     pairs = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
     both = pairs.select("a", "b", F.lit(1.0).alias("w")).unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(1.0).alias("w")))
@@ -137,11 +141,15 @@ def louvain(
     if not twice_total:
         return members
 
-    for _ in range(max_levels):
+    for level in itertools.count():
+        if level == max_levels:
+            raise RuntimeError(f"communities still change after {max_levels} levels")
         state = materialize(_degrees(links).select(F.col("a").alias("node"), F.col("a").alias("community"), "k"), "state")
         hubs = hot_keys(key_counts(links, "b"), "b")
         changed = False
-        for turn in range(max_iter):
+        for turn in itertools.count():
+            if turn == max_turns:
+                raise RuntimeError(f"nodes still move after {max_turns} rounds of level {level}")
             moved = materialize(_moves(links, state, hubs, twice_total, resolution, turn), "moved")
             wanting = moved.where("wants").count()
             state = moved.drop("wants")

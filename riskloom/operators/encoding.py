@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
-from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,9 +20,6 @@ MODES_SCHEMA = "column string, ordinal int, value string, train_count long"
 SKETCH_ACCURACY = 10_000
 BRACKET = [0.4995, 0.5005]
 
-# A model holds state per feature on every node, so wider matrices are refused.
-MAX_FEATURES = 5_000_000
-
 
 def _middle_values(train: DataFrame, brackets: dict[str, tuple[float, float]], counts: dict[str, int]) -> dict:
     """Exact medians of columns whose middle values lie between the given bounds.
@@ -191,9 +188,12 @@ class ClaimEncoder:
     slots: int = 0
     rare_slots: dict[str, tuple[int, int]] = field(default_factory=dict)
     small: bool = True
+    column_slots: dict[str, int] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        self.slots = self.vocabulary.count()
+        found = {r["column"]: r["n"] for r in self.vocabulary.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+        self.column_slots = {c: found.get(c, 0) for c in self.categorical}  # in the order of positions
+        self.slots = sum(found.values())
         self.small = fits_broadcast(self.vocabulary, "value")
         rare = self.vocabulary.where("infrequent").collect()  # one row per column at most
         self.rare_slots = {r["column"]: (r["slot"], r["position"]) for r in rare}
@@ -268,17 +268,23 @@ class ClaimEncoder:
         )
 
     def assemble(self, df: DataFrame, keep: list[str], key: str = "claim_id") -> DataFrame:
-        """Columns `keep` and the sparse `features`: standardized numbers, then slots."""
-        if self.width > MAX_FEATURES:
-            raise ValueError(f"{self.width} features; at most {MAX_FEATURES} can be assembled")
+        """Columns `keep` and the sparse `features`: standardized numbers, then slots.
+
+        Of the vocabulary the driver knows the number of slots per column only; a missing
+        slot is the number behind the last, which the encoder leaves empty."""
         encoded = self.encode_onehot(df, key).withColumns(standardized(self.stats))
-        taken = F.array_compact(F.array(*[F.col(f"{c}.position").cast("string") for c in self.categorical]))
-        encoded = encoded.withColumn("_taken", taken)
         inputs = list(self.numeric)
-        if self.slots:
-            names = [str(i) for i in range(self.slots)]
-            encoded = CountVectorizerModel.from_vocabulary(names, "_taken", "_onehot").transform(encoded)
-            inputs.append("_onehot")
+        sizes = {c: n for c, n in self.column_slots.items() if n}
+        if sizes:
+            slots = [f"_slot_{c}" for c in sizes]
+            encoded = encoded.withColumns(
+                {f"_slot_{c}": F.coalesce(F.col(f"{c}.slot"), F.lit(n)).cast("double") for c, n in sizes.items()}
+            )
+            last = self.vocabulary.sparkSession.createDataFrame([[float(n - 1) for n in sizes.values()]], slots)
+            onehot = [f"_onehot_{c}" for c in sizes]
+            encoder = OneHotEncoder(inputCols=slots, outputCols=onehot, handleInvalid="keep", dropLast=True)
+            encoded = encoder.fit(last).transform(encoded)
+            inputs += onehot
         return VectorAssembler(inputCols=inputs, outputCol="features").transform(encoded).select(*keep, "features")
 
     def save(self, path: str) -> None:

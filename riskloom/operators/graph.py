@@ -14,8 +14,6 @@ from riskloom.operators.normalize import with_location
 from riskloom.session import materialize
 
 # Claims per block when pairs at one location are written out: a task makes at most
-# the pairs of two blocks.
-PAIR_BLOCK = 2_000
 
 
 def merge_distinct(df: DataFrame, key: list[str]) -> DataFrame:
@@ -105,37 +103,22 @@ def location_counts(occ: DataFrame) -> DataFrame:
     return key_counts(occ, "location_key")
 
 
-def shared_location_pairs(occ: DataFrame, block: int = PAIR_BLOCK) -> DataFrame:
-    """Unordered pairs of claims at one location, the SHARES_LOCATION_WITH edge table.
+def shared_location_links(occ: DataFrame) -> DataFrame:
+    """The SHARES_LOCATION_WITH relation in a form that is linear in the claims.
 
-    Its size is quadratic in the claims per location, which is what the table is; so no
-    other operator reads it where counts will do. The claims of a location are hashed
-    into blocks of about `block`, and each pair of blocks is joined on its own, so a
-    task's share stays the same however many claims one location has.
+    All claims at a location share it with one another, so the relation is told by one
+    link of each to the first of them, with the number of pairs at the location:
+    `src, dst, location_pairs`. `related_claims` gives the neighbours of claims.
     """
-    counts = materialize(location_counts(occ), "location_counts")
-    blocks = counts.where("n > 1").select("location_key", F.ceil(F.col("n") / block).cast("int").alias("_blocks"))
-    placed = lookup_join(
-        occ.select("claim_id", "location_key"), blocks, "location_key", "claim_id", hot_keys(counts, "location_key"), "inner"
-    ).withColumn("_block", F.pmod(F.xxhash64("claim_id"), F.col("_blocks")).cast("int"))
-    left = placed.select(
-        "location_key",
-        F.col("_block").alias("_i"),
-        F.explode(F.sequence("_block", F.col("_blocks") - 1)).alias("_j"),
-        F.col("claim_id").alias("a"),
-    )
-    right = placed.select(
-        "location_key",
-        F.explode(F.sequence(F.lit(0), F.col("_block"))).alias("_i"),
-        F.col("_block").alias("_j"),
-        F.col("claim_id").alias("b"),
-    )
-    paired = left.join(right, ["location_key", "_i", "_j"]).where("_i < _j or a < b")
-    return paired.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
+    counts = materialize(occ.groupBy("location_key").agg(F.count(F.lit(1)).alias("n"), F.min("claim_id").alias("src")), "locations")
+    shared = counts.where("n > 1").select("location_key", "src", (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("location_pairs"))
+    hot = hot_keys(counts.select("location_key", "n"), "location_key")
+    joined = lookup_join(occ.select("claim_id", "location_key"), shared, "location_key", "claim_id", hot, "inner")
+    return joined.where("claim_id <> src").select("src", F.col("claim_id").alias("dst"), "location_pairs")
 
 
 def shares_location_edges(occ: DataFrame) -> DataFrame:
-    return shared_location_pairs(occ).withColumn("rel_type", F.lit("SHARES_LOCATION_WITH"))
+    return shared_location_links(occ).select("src", "dst", F.lit("SHARES_LOCATION_WITH").alias("rel_type"))
 
 
 def shared_pair_total(occ: DataFrame) -> DataFrame:

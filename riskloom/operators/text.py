@@ -25,7 +25,9 @@ def windows(text: Column, size: int, overlap: int) -> Column:
 
     The text is cut once into strides of `size - overlap` characters, and a window joins
     the strides it covers, so the work is linear in the text; cutting every window out
-    of the whole text would be quadratic, as characters vary in width.
+    of the whole text would be quadratic, as characters vary in width. The strides reach
+    the windows as the value of a lambda: an expression inside it would be evaluated for
+    every window.
     """
     if not 0 <= overlap < size:
         raise ValueError("overlap must be at least 0 and below size")
@@ -34,8 +36,14 @@ def windows(text: Column, size: int, overlap: int) -> Column:
     strides = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{stride}}}"), F.lit(0))
     length = F.char_length(text)
     count = F.when(length == 0, 0).otherwise(F.greatest(F.ceil((length - overlap) / stride), F.lit(1))).cast("int")
-    starts = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.left(F.array_join(F.slice(strides, i, covered), ""), F.lit(size)))
+    starts = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+
+    def window(cut: Column, i: Column) -> Column:
+        parts = [F.coalesce(F.get(cut, i + k), F.lit("")) for k in range(covered)]
+        return F.left(F.concat(*parts), F.lit(size))
+
+    both = F.array(F.struct(strides.alias("cut"), starts.alias("starts")))
+    return F.get(F.transform(both, lambda b: F.transform(b["starts"], lambda i: window(b["cut"], i))), F.lit(0))
 
 
 def chunk_documents(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:

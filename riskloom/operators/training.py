@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskloom.fixed import (
@@ -131,8 +131,14 @@ def find_claims(claims: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def find_graph_features(splits: list[DataFrame], ids: DataFrame) -> DataFrame:
-    """Graph features of the wanted claims, looked up in the tables of all splits."""
+    """Graph features of the wanted claims, looked up in the tables of all splits. An id
+    that no table has is `missing`, with null features; one that several rows carry is
+    `ambiguous`, and has a row for each."""
     union = splits[0]
     for other in splits[1:]:
         union = union.unionByName(other)
-    return union.join(ids.select("claim_id").distinct(), "claim_id", "left_semi")
+    wanted = ids.select("claim_id").distinct()
+    found = union.join(wanted, "claim_id", "left_semi").withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("claim_id")))
+    joined = wanted.join(found, "claim_id", "left")
+    state = F.when(F.col("_n").isNull(), "missing").when(F.col("_n") == 1, "found").otherwise("ambiguous")
+    return joined.select(*union.columns, state.alias("state"))

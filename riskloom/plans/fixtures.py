@@ -9,9 +9,6 @@ from riskloom.operators.normalize import canonical_claims, canonical_policies, c
 from riskloom.operators.split import stratified_split
 from riskloom.session import materialize
 
-# Tables whose rows the views follow one by one.
-DRIVING = ["orders", "documents", "embeddings"]
-
 CLAIMS_RAW = """
 SELECT
   'POL' || CAST(100000 + o.o_orderkey AS STRING) AS policy_id,
@@ -73,11 +70,8 @@ FROM {orders} o
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table. One that a single task would read, being one small file, is spread
-    over the cores; tables of many files keep their own partitions."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if name in DRIVING and df.rdd.getNumPartitions() * 2 <= cores else df
+    """A given table, in the partitions that the session's settings for files give it."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:

@@ -98,7 +98,16 @@ add(
         "SELECT c.claim_id, c.policy_id, p.premium, p.deductible FROM claims c JOIN policies p ON c.policy_id = p.policy_id",
     ),
 )
-add("shared_location_pairs", lambda s, d: graph.shared_location_pairs(occ(s, d)), with_ctes("pairs", "SELECT src, dst FROM pairs"))
+add(
+    "shared_location_pairs",
+    lambda s, d: graph.shared_location_links(occ(s, d)),
+    with_ctes(
+        "located",
+        """SELECT first AS src, claim_id AS dst, n * (n - 1) // 2 AS location_pairs FROM (
+  SELECT claim_id, min(claim_id) OVER (PARTITION BY location_key) AS first, count(*) OVER (PARTITION BY location_key) AS n
+  FROM located WHERE location_key IS NOT NULL) WHERE claim_id <> first""",
+    ),
+)
 add(
     "train_claims",
     train_claims,
@@ -117,7 +126,9 @@ FROM {_wanted_sql} w LEFT JOIN claims c ON w.claim_id = c.claim_id GROUP BY w.cl
 add(
     "find_graph_features",
     find_graph_features,
-    with_ctes("location_safe", f"SELECT l.* FROM location_safe l WHERE claim_id IN (SELECT claim_id FROM {_wanted_sql})"),
+    with_ctes("location_safe", f"""SELECT w.claim_id, l.* EXCLUDE (claim_id), CASE WHEN l.claim_id IS NULL THEN 'missing' ELSE 'found' END AS state
+FROM {_wanted_sql} w LEFT JOIN location_safe l ON w.claim_id = l.claim_id""",
+    ),
 )
 add(
     "top_shared_locations",

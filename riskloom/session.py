@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import re
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,7 +28,26 @@ def build_session(name: str = "riskloom", master: str | None = None, **settings:
         builder = builder.master(master)
     for key, value in options.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so that functions in
+    tasks find their modules wherever a worker starts."""
+    name = f"riskloom-{spark.sparkContext.applicationId}.zip"
+    if any(name in path for path in spark.sparkContext.listFiles):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="riskloom-ship-"), name)
+    with zipfile.ZipFile(path, "w") as archive:
+        for folder, _, files in os.walk(root):
+            for file in files:
+                if file.endswith(".py"):
+                    full = os.path.join(folder, file)
+                    archive.write(full, os.path.relpath(full, os.path.dirname(root)))
+    spark.sparkContext.addPyFile(path)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,7 +63,7 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context.getCheckpointDir():
         return context.getCheckpointDir().rstrip("/")
-    if not context.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
         raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder shared by all executors")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="riskloom-"))
     return context.getCheckpointDir().rstrip("/")

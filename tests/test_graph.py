@@ -19,13 +19,23 @@ def groups(sizes):
     return [[f"c{i:02d}_{j:03d}" for j in range(n)] for i, n in enumerate(sizes)]
 
 
-@pytest.mark.parametrize("block,hot", [(2_000, 1_000_000), (3, 5)])
-def test_pairs(spark, rows, monkeypatch, block, hot):
+@pytest.mark.parametrize("hot", [1_000_000, 5])
+def test_links(spark, rows, monkeypatch, hot):
     monkeypatch.setattr(exchange, "HOT_ROWS", hot)
     sizes = [1, 2, 17, 5]
-    got = rows(g.shared_location_pairs(g.occurrences(at(spark, sizes)), block))
-    assert got == sorted((p for group in groups(sizes) for p in itertools.combinations(group, 2)), key=repr)
-    assert g.shared_pair_total(g.occurrences(at(spark, sizes))).first()["n"] == len(got)
+    got = rows(g.shared_location_links(g.occurrences(at(spark, sizes))))
+    assert got == sorted(((x[0], y, len(x) * (len(x) - 1) // 2) for x in groups(sizes) for y in x[1:]), key=repr)
+    assert g.shared_pair_total(g.occurrences(at(spark, sizes))).first()["n"] == sum({r[0]: r[2] for r in got}.values())
+
+
+def clique_edges(spark, sizes):
+    pairs = [p for group in groups(sizes) for p in itertools.combinations(group, 2)]
+    return spark.createDataFrame(pairs, "src string, dst string")
+
+
+def test_louvain_says_when_it_is_not_done(spark):
+    with pytest.raises(RuntimeError, match="still"):
+        c.louvain(clique_edges(spark, [4, 3]), max_turns=1)
 
 
 @pytest.mark.parametrize("hot", [1_000_000, 4])
@@ -85,7 +95,7 @@ def test_communities_of_cliques(spark, rows):
     found = c.shared_location_communities(occ)
     ids = {r["claim_id"]: r["community_id"] for r in found.collect()}
     assert (ids["c02_000"], ids["c00_000"], ids["c04_000"], ids["c03_000"]) == (0, 1, 2, 3) and "lost" not in ids
-    assert rows(c.rank_communities(c.louvain(g.shared_location_pairs(occ)))) == rows(found)
+    assert rows(c.rank_communities(c.louvain(clique_edges(spark, [4, 1, 6, 2, 4])))) == rows(found)
 
 
 def modularity(edges, of):

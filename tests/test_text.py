@@ -1,22 +1,19 @@
 import random
 import re
+import time
 
 import pytest
 
 from riskloom.operators import text as t
 
 
-def brute_chunks(text, size, overlap):
-    text = re.sub(r"\n{3,}", "\n\n", text.replace("\r\n", "\n")).strip()
-    out, start = [], 0
-    while start < len(text):
-        piece = text[start : start + size].strip()
-        if piece:
-            out.append(piece)
-        if start + size >= len(text):
-            break
-        start += size - overlap
-    return out
+def expected(text, size, overlap):
+    """Windows by arithmetic: the k-th begins k strides in, and the last is the first to
+    reach the end."""
+    text = re.sub("\n\n\n+", "\n\n", text.replace("\r\n", "\n")).strip()
+    stride = size - overlap
+    last = max(0, -(-(len(text) - size) // stride)) if text else -1
+    return [w for w in (text[k * stride : k * stride + size].strip() for k in range(last + 1)) if w]
 
 
 def docs(spark, texts):
@@ -40,7 +37,7 @@ def test_chunks_equal_brute_force(spark, size, overlap):
         assert r["chunk_id"] == f"d{r['document_id']}_chunk_{r['chunk_index']:04d}"
         got.setdefault(r["document_id"], []).append(r["text"])
     for i, text in enumerate(texts):
-        assert got.get(i, []) == brute_chunks(text, size, overlap), (i, len(text))
+        assert got.get(i, []) == expected(text, size, overlap), (i, len(text))
 
 
 def test_chunk_numbers_over_four_digits(spark):
@@ -57,3 +54,18 @@ def test_stats(spark, rows):
     table = docs(spark, ["a" * 1001, "  ", "b"])
     got = rows(t.chunk_stats(table, t.chunk_documents(table)))
     assert got == sorted([("d0.md", 1001, 2), ("d1.md", 2, 0), ("d2.md", 1, 1), (None, 1004, 3)], key=repr)
+
+
+def test_work_grows_with_the_text(spark):
+    """Four times the text takes about four times as long."""
+
+    def seconds(n):
+        table = docs(spark, ["lorem ipsum " * n])
+        t.chunk_documents(table).count()
+        began = time.perf_counter()
+        for _ in range(3):
+            t.chunk_documents(table).selectExpr("sum(length(text))").collect()
+        return time.perf_counter() - began
+
+    small, large = seconds(60_000), seconds(240_000)
+    assert large < 10 * small
