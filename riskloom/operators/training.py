@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import vector_to_array
@@ -46,27 +46,42 @@ def feature_table(claims: DataFrame, feature_set: str) -> DataFrame:
     raise ValueError(f"unknown feature set: {feature_set}")
 
 
+# Boosting ends when so many rounds have brought nothing on the validation rows.
+PATIENCE = 50
+
+# Training rows, and validation rows, that trees are fitted on; more are thinned out by a
+# hash of the claim. Bounds the cost of a round, whatever the number of claims.
+FIT_ROWS = 100_000
+
+
 @dataclass
 class ClaimScorer:
-    """A fitted encoder and the trees trained on its vectors."""
+    """A fitted encoder and the trees trained on its vectors. `history` has the average
+    precision on the validation rows after each round that was trained; of the rounds, as
+    many are kept as `trees` has."""
 
     encoder: ClaimEncoder
     trees: GBTClassificationModel
     feature_set: str
     threshold: float = FLAG_THRESHOLD
+    rounds_asked: int = 0
+    history: list[float] = field(default_factory=list)
 
     def save(self, path: str) -> None:
         spark = self.encoder.vocabulary.sparkSession
         self.encoder.save(f"{path}/encoder")
         self.trees.write().overwrite().save(f"{path}/trees")
-        about = spark.createDataFrame([(self.feature_set, self.threshold)], "feature_set string, threshold double")
+        about = spark.createDataFrame(
+            [(self.feature_set, self.threshold, self.rounds_asked, self.history)],
+            "feature_set string, threshold double, rounds_asked int, history array<double>",
+        )
         about.write.mode("overwrite").parquet(f"{path}/about")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "ClaimScorer":
         about = spark.read.parquet(f"{path}/about").first()
         trees = GBTClassificationModel.load(f"{path}/trees")
-        return cls(ClaimEncoder.load(spark, f"{path}/encoder"), trees, about["feature_set"], about["threshold"])
+        return cls(ClaimEncoder.load(spark, f"{path}/encoder"), trees, *about)
 
     def score(self, features: DataFrame, keep: list[str]) -> DataFrame:
         """Columns `keep` with score, threshold, flag and model tag, from a feature table."""
@@ -82,41 +97,105 @@ class ClaimScorer:
         )
 
 
-def train_gbt(vectors: DataFrame, max_iter: int = 1000, seed: int = SPLIT_SEED) -> GBTClassificationModel:
-    """Boosted trees on rows `features, fraud_label, split`: positives weigh negatives over
-    positives, boosting stops early on the validation rows, test rows are not seen."""
+def thinned(rows: DataFrame, limit: int) -> DataFrame:
+    """About `limit` of the rows, or all if there are fewer."""
+    count = rows.count()
+    return rows if count <= limit else rows.where(F.pmod(F.xxhash64("claim_id"), F.lit(count)) < limit)
+
+
+def train_gbt(
+    vectors: DataFrame, max_iter: int = 1000, patience: int = PATIENCE, fit_rows: int = FIT_ROWS, seed: int = SPLIT_SEED
+) -> tuple[GBTClassificationModel, list[float]]:
+    """Boosted trees on rows `claim_id, features, fraud_label, split`, and the average
+    precision on the validation rows after each round. Positives weigh negatives over
+    positives; test rows are not seen.
+
+    Boosting goes on until `patience` rounds in a row have not raised the precision, or for
+    `max_iter` rounds; the rounds up to the highest are kept. The library cannot go on from
+    a fitted model, so the number of rounds is doubled until the best is far enough from
+    the last: trees of a seed don't depend on how many follow.
+    """
     weight = class_weight(vectors.where("split = 'train'")).first()
     if not weight["positives"]:
         raise DataQualityError("no positive training rows")
     label = F.col("fraud_label")
-    rows = vectors.where("split in ('train', 'validation')").select(
-        "features",
-        label.cast("double").alias("label"),
-        F.when(label, weight["positive_weight"]).otherwise(1.0).alias("weight"),
-        (F.col("split") == "validation").alias("held_out"),
-    )
+
+    def rows(split: str) -> DataFrame:
+        return thinned(vectors.where(F.col("split") == split), fit_rows).select(
+            "claim_id", "features", label.cast("double").alias("label"), F.when(label, weight["positive_weight"]).otherwise(1.0).alias("weight")
+        )
+
+    train, held_out = materialize(rows("train"), "fit_rows"), materialize(rows("validation"), "held_out")
     learner = GBTClassifier(
         featuresCol="features",
         labelCol="label",
         weightCol="weight",
-        validationIndicatorCol="held_out",
         maxDepth=6,
         stepSize=0.05,
         subsamplingRate=0.85,
         featureSubsetStrategy="0.85",
         minInstancesPerNode=3,
-        maxIter=max_iter,
         seed=seed,
     )
-    return learner.fit(rows)
-
-
-def train_scorer(claims: DataFrame, feature_set: str = "graph_enhanced", max_iter: int = 1000) -> tuple[ClaimScorer, DataFrame]:
+    rounds = min(max_iter, patience + 10)
+    while True:
+        trees = learner.setMaxIter(rounds).fit(train)
+        history = prefix_precision(trees, held_out)
+        best = _highest(history, rounds - 1)
+        # What a run with this patience would have seen.
+        waited = next((k for k in range(rounds) if k + 1 - _highest(history, k) >= patience), None)
+        if waited is not None or rounds == max_iter:
+            break
+        rounds = min(max_iter, 2 * rounds)
+    if waited is not None:
+        history = history[: waited + 1]
+        best = _highest(history, waited)
+    return (trees if best == rounds else learner.setMaxIter(best).fit(train)), history
+
+
+def _highest(history: list[float], upto: int) -> int:
+    """The first round, from 1, with the highest value among those up to an index."""
+    return max(range(upto + 1), key=history.__getitem__) + 1
+
+
+def prefix_precision(model: GBTClassificationModel, rows: DataFrame, at_once: int = 50) -> list[float]:
+    """Average precision of the first tree, the first two, and so on, over `rows`.
+
+    A tree adds a column; sums over the trees give a margin per row and round. Rounds are
+    looked at together, each ranked on its own; one number per round comes back.
+    """
+    trees, weights = model.trees, model.treeWeights
+    before, out = rows.select("claim_id", "features", "label", F.lit(0.0).alias("_margin")), []
+    for start in range(0, len(trees), at_once):
+        part = range(start, min(len(trees), start + at_once))
+        added = before
+        for i in part:
+            added = trees[i].setFeaturesCol("features").setPredictionCol(f"_tree_{i}").transform(added)
+        steps = F.array(*[F.col(f"_tree_{i}") * weights[i] for i in part])
+        added = materialize(added.select("claim_id", "features", "label", "_margin", steps.alias("_steps")), "margins")
+        upto = Window.partitionBy("claim_id").orderBy("round").rowsBetween(Window.unboundedPreceding, 0)
+        sums = added.select("claim_id", "label", "_margin", F.posexplode("_steps").alias("round", "step"))
+        sums = sums.withColumn("margin", F.col("_margin") + F.sum("step").over(upto))
+        counts = sums.groupBy("round", "margin")
+        counts = counts.agg(F.sum("label").alias("hits"), F.count(F.lit(1)).alias("n"))
+        down = Window.partitionBy("round").orderBy(F.desc("margin"))
+        ranked = counts.select("round", "hits", F.sum("hits").over(down).alias("tp"), F.sum("n").over(down).alias("shown"))
+        found = ranked.groupBy("round").agg((F.sum(F.col("hits") * F.col("tp") / F.col("shown")) / F.sum("hits")).alias("ap"))
+        out += [r["ap"] or 0.0 for r in found.orderBy("round").collect()] or [0.0] * len(part)
+        total = F.aggregate("_steps", F.col("_margin"), lambda a, x: a + x)
+        before = added.select("claim_id", "features", "label", total.alias("_margin"))
+    return out
+
+
+def train_scorer(
+    claims: DataFrame, feature_set: str = "graph_enhanced", max_iter: int = 1000, fit_rows: int = FIT_ROWS
+) -> tuple[ClaimScorer, DataFrame]:
     """Fit encoder and trees on split claims; also returns the written feature table."""
     features = materialize(feature_table(claims, feature_set), "model_features")
     encoder = ClaimEncoder.fit(features.where("split = 'train'"), FEATURE_SETS[feature_set], CATEGORICAL)
-    vectors = materialize(encoder.assemble(features, ["split", "fraud_label"]), "vectors")
-    return ClaimScorer(encoder, train_gbt(vectors, max_iter), feature_set), features
+    vectors = materialize(encoder.assemble(features, ["claim_id", "split", "fraud_label"]), "vectors")
+    trees, history = train_gbt(vectors, max_iter, fit_rows=fit_rows)
+    return ClaimScorer(encoder, trees, feature_set, rounds_asked=max_iter, history=history), features
 
 
 def find_claims(claims: DataFrame, ids: DataFrame) -> DataFrame:

@@ -13,22 +13,29 @@ from riskloom.session import scratch_path
 
 add = REGISTRY.add
 
-# Boosting rounds in the registered queries; training takes 1,000 by default.
-ROUNDS = 5
+# Rows that the registered queries fit trees on; rounds are not limited.
+FIT_ROWS = 20_000
 
 
 def scorer(s, d, feature_set="graph_enhanced"):
-    return training.train_scorer(fx.split_table(s, d), feature_set, ROUNDS)
+    return training.train_scorer(fx.split_table(s, d), feature_set, fit_rows=FIT_ROWS)
 
 
 def gbt_scores(s, d):
-    """Ranking quality on the test rows for each feature set."""
+    """Ranking quality on the test rows for each feature set, with the rounds of boosting."""
     claims = fx.split_table(s, d)
     out = None
     for feature_set in training.FEATURE_SETS:
-        model, features = training.train_scorer(claims, feature_set, ROUNDS)
+        model, features = training.train_scorer(claims, feature_set, fit_rows=FIT_ROWS)
         scored = model.score(features.where("split = 'test'"), ["claim_id", "fraud_label"])
-        row = metrics.ranking_metrics(scored, score="fraud_risk_score").withColumn("feature_set", F.lit(feature_set))
+        row = metrics.ranking_metrics(scored, score="fraud_risk_score").withColumns(
+            {
+                "feature_set": F.lit(feature_set),
+                "rounds_asked": F.lit(model.rounds_asked),
+                "rounds_trained": F.lit(len(model.history)),
+                "rounds_kept": F.lit(model.trees.getNumTrees),
+            }
+        )
         out = row if out is None else out.unionByName(row)
     return out
 
@@ -39,14 +46,22 @@ def gbt_flags(s, d):
 
 
 def model_roundtrip(s, d):
-    """Scores before and after saving and loading, and whether they are the same."""
+    """Scores before and after saving and loading: how many differ, lie outside 0 to 1, or
+    have a flag that the threshold doesn't give; and whether there is more than one tree."""
     model, features = scorer(s, d, "baseline")
     path = scratch_path(s, "model")
     model.save(path)
     before = model.score(features, ["claim_id"]).select("claim_id", F.col("fraud_risk_score").alias("before"))
-    after = training.ClaimScorer.load(s, path).score(features, ["claim_id"])
-    joined = before.join(after.select("claim_id", F.col("fraud_risk_score").alias("after")), "claim_id")
-    return joined.agg(F.count(F.lit(1)).alias("row_count"), F.count_if(F.col("before") != F.col("after")).alias("differing"))
+    loaded = training.ClaimScorer.load(s, path)
+    after = loaded.score(features, ["claim_id"]).withColumnRenamed("fraud_risk_score", "after")
+    joined = before.join(after, "claim_id")
+    wrong = F.col("flagged_at_threshold") != (F.col("before") >= F.col("threshold"))
+    return joined.agg(
+        F.count(F.lit(1)).alias("row_count"), F.count_if(F.col("before") != F.col("after")).alias("differing"),
+        F.count_if(wrong).alias("wrong_flags"), F.count_if(~F.col("before").between(0, 1)).alias("outside"),
+        F.max("threshold").alias("threshold"), F.lit(loaded.trees.getNumTrees > 1).alias("several_trees"),
+        F.lit(loaded.history == model.history).alias("same_history"),
+    )
 
 
 METRICS = ["precision", "recall", "f1", "flagged_percentage"]
@@ -115,4 +130,12 @@ add(
 )
 add("gbt_scores", gbt_scores)
 add("gbt_flags", gbt_flags)
-add("model_roundtrip", model_roundtrip)
+add(
+    "model_roundtrip",
+    model_roundtrip,
+    with_ctes(
+        "claims",
+        """SELECT count(*) AS row_count, CAST(0 AS BIGINT) AS differing, CAST(0 AS BIGINT) AS wrong_flags, CAST(0 AS BIGINT) AS outside,
+  CAST(0.5 AS DOUBLE) AS threshold, TRUE AS several_trees, TRUE AS same_history FROM claims""",
+    ),
+)
