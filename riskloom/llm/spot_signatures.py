@@ -71,31 +71,31 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(total == 0, 1.0).otherwise(F.transform(F.array(shared), lambda n: n / (total - n))[0])
 
 
-def with_next(docs: DataFrame, id: str, text: str, signed: str) -> DataFrame:
-    """Add `next_text` and `next_signed`, of the row that follows by (id, text); after the
-    last comes the first. Rows without an id come last and are followed by the first.
+def with_next(docs: DataFrame) -> DataFrame:
+    """`doc_id, text, signed, next_text, next_signed` for rows `doc_id, text`: signatures,
+    and those of the row that follows by (id, text); after the last comes the first. Rows
+    without an id come last and are followed by the first.
 
     Rows meet in ranges of ids of a fixed width; the first row of each range is what the
-    last row of the range before needs.
+    last row of the range before needs. Texts are shuffled once: the join with the first
+    rows keeps the partitions of the window.
     """
-    rows = docs.withColumn("_range", F.floor(F.col(id) / RANGE)).withColumn("_text", F.coalesce(text, F.lit("")))
-    least = docs.where(F.col(id).isNotNull()).groupBy(F.floor(F.col(id) / RANGE).alias("_range")).agg(F.min(id).alias("_first"))
-    least = materialize(number_rows(least, [F.col("_range")], "_n"), "ranges")
+    own = F.struct("text", "signed")
+    placed = docs.where(F.col("doc_id").isNotNull()).withColumn("range", F.floor(F.col("doc_id") / RANGE))
+    least = placed.groupBy("range").agg(F.min("doc_id").alias("doc_id"))
+    least = materialize(number_rows(least, [F.col("range")], "n"), "ranges")
     count = max(1, least.count())
-    heads = docs.join(least.select(F.col("_first").alias(id), "_n"), id).groupBy("_n")
-    heads = heads.agg(F.min_by(F.struct(F.coalesce(text, F.lit("")).alias("text"), F.col(signed).alias("signed")), F.coalesce(text, F.lit(""))).alias("_head"))
-    heads = materialize(heads, "heads")
-    after = least.select("_range", F.pmod(F.col("_n") + 1, F.lit(count)).alias("_n")).join(heads, "_n").select("_range", "_head")
-    after = after.unionByName(heads.where("_n = 0").select(F.lit(None).cast("long").alias("_range"), "_head"))
-    order = Window.partitionBy("_range").orderBy(id, "_text")
-    following = F.lead(F.struct(F.col("_text").alias("text"), F.col(signed).alias("signed"))).over(order)
-    placed = rows.where(F.col(id).isNotNull()).withColumn("_next", following)
-    placed = placed.unionByName(rows.where(F.col(id).isNull()).withColumn("_next", F.lit(None).cast(placed.schema["_next"].dataType)))
-    joined = placed.join(after.withColumnRenamed("_range", "_r"), F.col("_range").eqNullSafe(F.col("_r")), "left")
-    # Without any id there is no first row; every row then follows itself.
-    own = F.struct(F.col("_text").alias("text"), F.col(signed).alias("signed"))
-    chosen = F.coalesce("_next", "_head", own)
-    return joined.select(*docs.columns, chosen["text"].alias("next_text"), chosen["signed"].alias("next_signed"))
+    heads = docs.join(least.select("doc_id", "n"), "doc_id").groupBy("n").agg(F.min("text").alias("text"))
+    heads = materialize(heads.withColumn("signed", signatures(F.col("text"))).select("n", own.alias("head")), "heads")
+    after = least.select("range", F.pmod(F.col("n") + 1, F.lit(count)).alias("n")).join(heads, "n").select("range", "head")
+    order = Window.partitionBy("range").orderBy("doc_id", "text")
+    followed = placed.withColumn("signed", signatures(F.col("text"))).withColumn("next", F.lead(own).over(order))
+    followed = followed.join(materialize(after, "after"), "range", "left").withColumn("next", F.coalesce("next", "head"))
+    nameless = docs.where(F.col("doc_id").isNull()).withColumn("signed", signatures(F.col("text")))
+    # One row at most; without any id, a row follows itself.
+    nameless = nameless.join(F.broadcast(heads.where("n = 0").select("head")), how="left").withColumn("next", F.coalesce("head", own))
+    columns = ["doc_id", "text", "signed", F.col("next.text").alias("next_text"), F.col("next.signed").alias("next_signed")]
+    return followed.select(*columns).unionByName(nameless.select(*columns))
 
 
 def fingerprint_edits(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -109,7 +109,7 @@ def fingerprint_edits(docs: DataFrame, id: str = "doc_id", text: str = "text") -
     that repeat an id follow one another by text; an empty table gives none.
     """
     rows = docs.select(F.col(id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = with_next(rows.withColumn("signed", signatures(F.col("text"))), "doc_id", "text", "signed")
+    rows = with_next(rows)
     n = F.char_length("text")
     cut = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next_text", F.lit(1), cut))
