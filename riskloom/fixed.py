@@ -234,27 +234,15 @@ INTERPRETATION = [
     "than a definitive fraud determination.",
 ]
 
-# --- Fixed values: instructions placed before an evidence package -----------------------
-PROMPT_INSTRUCTIONS = """You are an insurance fraud investigation assistant.
+# Placed before an evidence package by default; no result depends on the wording.
+PROMPT_INSTRUCTIONS = """Below is the evidence on one insurance claim, as JSON. Write a short report for the
+investigator who has the claim on their desk.
 
-Your job is to summarize the evidence supplied to you.
+Keep to what the evidence says. Where a part of it is null, say that this part is missing
+instead of filling the gap. Keep three things apart: what is recorded about the claim, what the
+model computed, and what the guidance recommends. A score, a shared location or a passage of
+guidance is a reason to look closer; whether there was fraud is not yours to decide.
 
-Rules:
-1. Use only the supplied evidence.
-2. Do not invent claim facts, relationships, documents, or model results.
-3. Clearly distinguish model signals from factual evidence.
-4. Retrieved procedural guidance is guidance, not proof that a claim is fraudulent.
-5. A model score or graph relationship alone is not proof of fraud.
-6. Mention missing or unavailable evidence when relevant.
-7. Do not make a definitive fraud determination.
-8. Produce a concise investigator-oriented report.
-
-Structure the response as:
-- Executive Summary
-- Claim Facts
-- Fraud Model Signal
-- Graph Evidence
-- Retrieved Guidance
-- Investigation Considerations
-- Evidence Limitations
+Give each of these a heading of its own: summary, recorded facts, model score, graph, guidance,
+what to look at next, what is missing.
 """

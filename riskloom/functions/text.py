@@ -32,7 +32,8 @@ def text_or_none(c: Column) -> Column:
 
 
 def number_text(c: Column) -> Column:
-    """Shortest decimal text of a double, in plain notation from 0.001 up to 1e16."""
-    digits = F.regexp_replace(c.cast("string").try_cast("decimal(38,10)").cast("string"), "0+$", "")
+    """Shortest decimal text of a double, in plain notation from 0.0001 up to 1e16."""
+    digits = F.regexp_replace(c.cast("string").try_cast("decimal(38,21)").cast("string"), "0+$", "")
     plain = F.when(digits.endswith("."), F.concat(digits, F.lit("0"))).otherwise(digits)
-    return F.when((F.abs(c) >= 1e7) & (F.abs(c) < 1e16), plain).otherwise(c.cast("string"))
+    large, small = (F.abs(c) >= 1e7) & (F.abs(c) < 1e16), (F.abs(c) >= 1e-4) & (F.abs(c) < 1e-3)
+    return F.when(large | small, plain).otherwise(c.cast("string"))

@@ -23,9 +23,16 @@ def trim_strings(df: DataFrame) -> DataFrame:
     )
 
 
-def parse_dates(df: DataFrame, column: str = "incident_date") -> DataFrame:
+def read_date(text: Column, formats: list[str] | None = None) -> Column:
+    """The date that a text gives in ISO form, or in the first of `formats` (Spark date
+    patterns) that fits; missing if there is none."""
+    given = text.cast("string")
+    return F.coalesce(given.try_cast("date"), *[F.try_to_date(given, pattern) for pattern in formats or []])
+
+
+def parse_dates(df: DataFrame, column: str = "incident_date", formats: list[str] | None = None) -> DataFrame:
     """Turn date text into dates; text that is no date becomes missing."""
-    return df.withColumn(column, F.col(column).try_cast("date"))
+    return df.withColumn(column, read_date(F.col(column), formats))
 
 
 def map_label(df: DataFrame, column: str = "fraud_reported", name: str = "fraud_label") -> DataFrame:
@@ -41,9 +48,38 @@ def reject_bad_rows(raw: DataFrame) -> None:
         raise DataQualityError(f"unexpected labels: {found or 'missing'}")
 
 
-def clean_raw(raw: DataFrame) -> DataFrame:
-    """Trimmed raw rows with parsed dates and the boolean label."""
-    return map_label(parse_dates(trim_strings(raw)))
+def bad_rows(raw: DataFrame, formats: list[str] | None = None) -> DataFrame:
+    """Rows `policy_id, column, value` whose date or label cannot be read."""
+    trimmed = trim_strings(raw)
+    date, label = F.col("incident_date").cast("string"), F.col("fraud_reported").cast("string")
+    found = F.array_compact(
+        F.array(
+            F.when(read_date(date, formats).isNull(), F.struct(F.lit("incident_date").alias("column"), date.alias("value"))),
+            F.when(~F.coalesce(label.isin("Y", "N"), F.lit(False)), F.struct(F.lit("fraud_reported").alias("column"), label.alias("value"))),
+        )
+    )
+    return trimmed.select("policy_id", F.inline(found))
+
+
+def clean_raw(raw: DataFrame, strict: bool = True, formats: list[str] | None = None) -> DataFrame:
+    """Trimmed raw rows with parsed dates and the boolean label.
+
+    A date or label that cannot be read stops the job that reads it, in the same pass,
+    unless `strict` is off: then it is missing. `bad_rows` lists such rows.
+    """
+    trimmed = trim_strings(raw)
+    parsed = map_label(parse_dates(trimmed, formats=formats))
+    if not strict:
+        return parsed
+
+    def must(name: str, source: str) -> Column:
+        said = F.concat(F.lit(f"{source} cannot be read: "), F.coalesce(F.col(f"_{source}").cast("string"), F.lit("missing")))
+        return F.when(F.col(name).isNull(), F.raise_error(said)).otherwise(F.col(name)).alias(name)
+
+    checked = {"incident_date": must("incident_date", "incident_date"), "fraud_label": must("fraud_label", "fraud_reported")}
+    kept = trimmed.withColumns({"_incident_date": F.col("incident_date"), "_fraud_reported": F.col("fraud_reported")})
+    kept = map_label(parse_dates(kept, formats=formats))
+    return kept.select(*[checked.get(c, F.col(f"`{c}`")) for c in parsed.columns])
 
 
 def canonical_policies(cleaned: DataFrame) -> DataFrame:

@@ -41,6 +41,14 @@ def test_canonical_tables(spark):
 
 def test_unreadable_rows_are_refused(spark):
     n.reject_bad_rows(raw(spark))
+    assert n.bad_rows(raw(spark)).count() == 0
+    odd = raw(spark).withColumn("incident_date", F.lit("13.06.2024")).withColumn("fraud_reported", F.lit("maybe"))
+    assert sorted(tuple(r)[1:] for r in n.bad_rows(odd).collect()) == [("fraud_reported", "maybe"), ("incident_date", "13.06.2024")]
+    with pytest.raises(Exception, match="cannot be read"):
+        n.clean_raw(odd).select("incident_date", "fraud_label").collect()
+    assert n.clean_raw(odd, strict=False).first()["incident_date"] is None
+    german = odd.withColumn("fraud_reported", F.lit("Y"))
+    assert str(n.clean_raw(german, formats=["dd.MM.yyyy"]).first()["incident_date"]) == "2024-06-13"
     with pytest.raises(DataQualityError, match="incident_date"):
         n.reject_bad_rows(raw(spark).withColumn("incident_date", F.lit("13.06.2024?")))
     for label in ["maybe", None]:
