@@ -11,7 +11,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml import Pipeline
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -19,8 +19,9 @@ from pyspark.sql.window import Window
 from riskloom.fixed import DEFAULT_TOP_K
 from riskloom.session import materialize
 
-# Query vectors sent to every executor at once: larger tables are taken in several passes.
-QUERY_BYTES = 64 * 1024 * 1024
+# Queries and chunks that meet in one task. Both tables may be larger than any memory.
+QUERY_ROWS = 2048
+CHUNK_ROWS = 16_384
 
 # Distances computed at a time within a task.
 TILE_CELLS = 4_000_000
@@ -94,111 +95,91 @@ def _keep_best(found: pa.Table, k: int) -> pa.Table:
     return pa.table({"query": found["query"], "chunk_id": found["chunk_id"], "distance": found["distance_min"]})
 
 
-def _search(
-    queries: np.ndarray, vectors: np.ndarray, ids: pa.Array, k: int, groups: Iterator[tuple[np.ndarray, np.ndarray]]
-) -> pa.Table | None:
-    """The k nearest of a batch for each query, looking at the (query rows, vector rows)
-    pairs that `groups` names."""
+def _search(queries: np.ndarray, vectors: np.ndarray, ids: pa.Array, k: int) -> pa.Table:
+    """The k nearest vectors for each query, as `query, chunk_id, distance`."""
     parts = []
-    for query_rows, vector_rows in groups:
-        tile = max(1, TILE_CELLS // max(len(vector_rows), 1))
-        for start in range(0, len(query_rows), tile):
-            rows = query_rows[start : start + tile]
-            distance = np.round(1.0 - queries[rows] @ vectors[vector_rows].T, DIGITS)
-            if distance.shape[1] > k:
-                near = distance <= np.partition(distance, k - 1, axis=1)[:, k - 1 : k]
-            else:
-                near = np.ones_like(distance, dtype=bool)
-            q, v = np.nonzero(near)
-            parts.append(
-                pa.table({"query": rows[q], "chunk_id": ids.take(pa.array(vector_rows[v])), "distance": distance[q, v]})
-            )
-    return _keep_best(pa.concat_tables(parts), k) if parts else None
-
-
-def _bits(vectors: np.ndarray, planes: np.ndarray) -> np.ndarray:
-    """Per table, the side of each plane a vector lies on, as one number."""
-    sides = np.einsum("nd,tbd->tnb", vectors, planes) > 0
-    return sides @ (1 << np.arange(planes.shape[1]))
-
-
-def _same_bucket(queries: np.ndarray, vectors: np.ndarray, planes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for query_bits, vector_bits in zip(_bits(queries, planes), _bits(vectors, planes)):
-        for bucket in np.intersect1d(query_bits, vector_bits):
-            yield np.flatnonzero(query_bits == bucket), np.flatnonzero(vector_bits == bucket)
-
-
-def _query_passes(queries: DataFrame, dimensions: int) -> list[DataFrame]:
-    """The query table in parts whose vectors fit the broadcast bound on average twice."""
-    rows = queries.count()
-    parts = -(-rows * dimensions * 8 * 2 // QUERY_BYTES)
-    if parts <= 1:
-        return [queries]
-    return [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i) for i in range(parts)]
-
-
-def _topk(queries: DataFrame, chunks: DataFrame, k: int, planes: np.ndarray | None) -> DataFrame:
-    spark = chunks.sparkSession
-    queries = materialize(queries.select("query_id", "embedding").where("embedding is not null"), "queries")
-    id_type = chunks.schema["chunk_id"].dataType
+    tile = max(1, TILE_CELLS // max(len(vectors), 1))
+    for start in range(0, len(queries), tile):
+        distance = np.round(1.0 - queries[start : start + tile] @ vectors.T, DIGITS)
+        if distance.shape[1] > k:
+            near = distance <= np.partition(distance, k - 1, axis=1)[:, k - 1 : k]
+        else:
+            near = np.ones_like(distance, dtype=bool)
+        q, v = np.nonzero(near)
+        parts.append(pa.table({"query": q + start, "chunk_id": ids.take(pa.array(v)), "distance": distance[q, v]}))
+    return _keep_best(pa.concat_tables(parts), k)
+
+
+def _meet(chunks: DataFrame, queries: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """The k nearest chunks per query within each group of `keys`."""
     schema = T.StructType(
-        [
-            queries.schema["query_id"],
-            T.StructField("chunk_id", id_type),
-            T.StructField("distance", T.DoubleType()),
-        ]
+        [queries.schema["query_id"], chunks.schema["chunk_id"], T.StructField("distance", T.DoubleType())]
     )
-    sample = queries.select(F.size("embedding")).first()
-    if sample is None:
-        return spark.createDataFrame([], schema.add("rank", T.LongType()))
-
-    results = []
-    for part in _query_passes(queries, sample[0]):
-        table = part.toArrow().combine_chunks()  # bounded by QUERY_BYTES
-        if not table.num_rows:
-            continue
-        shared = spark.sparkContext.broadcast(
-            (table["query_id"].combine_chunks(), _matrix(table["embedding"].combine_chunks()))
-        )
-
-        def nearest(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            names, matrix = shared.value
-            best = None
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                vectors, ids = _matrix(batch.column("embedding")), batch.column("chunk_id")
-                if planes is None:
-                    groups = iter([(np.arange(len(matrix)), np.arange(len(vectors)))])
-                else:
-                    groups = _same_bucket(matrix, vectors, planes)
-                found = _search(matrix, vectors, ids, k, groups)
-                if found is not None:
-                    best = found if best is None else _keep_best(pa.concat_tables([best, found]), k)
-            if best is not None:
-                rows = names.take(best["query"].combine_chunks())
-                out = pa.table({"query_id": rows, "chunk_id": best["chunk_id"], "distance": best["distance"]})
-                yield from out.combine_chunks().to_batches()
-
-        results.append(
-            chunks.select("chunk_id", "embedding").where("embedding is not null").mapInArrow(nearest, schema)
-        )
-    merged = results[0]
-    for other in results[1:]:
-        merged = merged.unionAll(other)
+
+    def nearest(chunks: pa.Table, queries: pa.Table) -> pa.Table:
+        chunks, queries = chunks.combine_chunks(), queries.combine_chunks()
+        if not len(chunks) or not len(queries):
+            return pa.table({f.name: pa.array([], t) for f, t in zip(schema, [queries.schema.field("query_id").type, chunks.schema.field("chunk_id").type, pa.float64()], strict=True)})
+        one = lambda t, c: t[c].combine_chunks()
+        best = _search(_matrix(one(queries, "embedding")), _matrix(one(chunks, "embedding")), one(chunks, "chunk_id"), k)
+        return pa.table({"query_id": one(queries, "query_id").take(best["query"].combine_chunks()), "chunk_id": best["chunk_id"], "distance": best["distance"]})
+
+    return chunks.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(nearest, schema)
+
+
+def _usable(table: DataFrame, name: str) -> DataFrame:
+    return table.select(name, "embedding").where("embedding is not null")
+
+
+def _blocks(rows: int, size: int) -> int:
+    return max(1, -(-rows // size))
+
+
+def _every(n: Column | int) -> Column:
+    return F.explode(F.sequence(F.lit(0), (F.lit(n) if isinstance(n, int) else n) - 1))
+
+
+def _place(name: str, n: Column | int) -> Column:
+    return F.pmod(F.xxhash64(name, "embedding"), F.lit(n) if isinstance(n, int) else n).cast("int")
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     by_distance = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
-    return merged.withColumn("rank", F.row_number().over(by_distance).cast("long")).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(by_distance).cast("long")).where(F.col("rank") <= k)
 
 
 def topk_cosine(queries: DataFrame, chunks: DataFrame, k: int | None = DEFAULT_TOP_K) -> DataFrame:
     """The k nearest chunks `chunk_id, embedding` per query `query_id, embedding` (unit
     vectors), exactly: rows `query_id, chunk_id, distance, rank`, ties by chunk id.
 
-    Chunks stay where they are: each task multiplies its batches with the query matrix
-    and passes on its own k nearest per query, which are then ranked. Query tables over
-    the broadcast bound are taken in several passes.
+    Both tables are dealt into blocks by a hash, and every block of queries meets every
+    block of chunks in a task of its own, which passes on its k nearest per query. Nothing
+    goes through the driver but two counts.
     """
-    return _topk(queries, chunks, _checked_k(k), None)
+    k = _checked_k(k)
+    queries, chunks = materialize(_usable(queries, "query_id"), "queries"), materialize(_usable(chunks, "chunk_id"), "chunks")
+    query_blocks, chunk_blocks = _blocks(queries.count(), QUERY_ROWS), _blocks(chunks.count(), CHUNK_ROWS)
+    left = chunks.withColumn("_c", _place("chunk_id", chunk_blocks)).withColumn("_q", _every(query_blocks))
+    right = queries.withColumn("_q", _place("query_id", query_blocks)).withColumn("_c", _every(chunk_blocks))
+    return _ranked(_meet(left, right, ["_q", "_c"], k), k)
+
+
+def signatures(table: DataFrame, name: str, tables: int, bits: int, seed: int, dimensions: int) -> DataFrame:
+    """`name, embedding, buckets`: for each of several tables, the sides of random planes
+    that a vector lies on, as one number."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes = np.random.default_rng(seed).standard_normal((tables, bits, dimensions))
+        for batch in batches:
+            if batch.num_rows:
+                sides = np.einsum("nd,tbd->ntb", _matrix(batch.column("embedding")), planes) > 0
+                buckets = (sides @ (1 << np.arange(bits))).astype(np.int32)
+                lists = pa.FixedSizeListArray.from_arrays(pa.array(buckets.ravel()), tables).cast(pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, lists], [name, "embedding", "buckets"])
+
+    usable = _usable(table, name)
+    schema = T.StructType([*usable.schema, T.StructField("buckets", T.ArrayType(T.IntegerType()))])
+    return usable.mapInArrow(sign, schema)
 
 
 def topk_cosine_lsh(
@@ -211,12 +192,24 @@ def topk_cosine_lsh(
 ) -> DataFrame:
     """As `topk_cosine`, but looking only at chunks that fall on the same side of random
     planes as the query, in one of several tables. Distances are exact; near chunks may
-    be missed. Buckets are matched within each batch, so a full bucket is spread over
-    all tasks that read chunks."""
+    be missed, the fewer the more tables; more bits have each query read less.
+
+    Signatures are written once. Queries and chunks meet by table and bucket; a bucket
+    with more than CHUNK_ROWS chunks is dealt over several tasks.
+    """
+    k = _checked_k(k)
     first = queries.select(F.size("embedding").alias("n")).where("n > 0").first()
     dimensions = first["n"] if first else 1
-    planes = np.random.default_rng(seed).standard_normal((tables, bits, dimensions))
-    return _topk(queries, chunks, _checked_k(k), planes)
+    signed = materialize(signatures(chunks, "chunk_id", tables, bits, seed, dimensions), "signatures")
+    asked = materialize(signatures(queries, "query_id", tables, bits, seed, dimensions), "signatures")
+    by_bucket = lambda t: t.select("*", F.posexplode("buckets").alias("_table", "_bucket")).drop("buckets")
+    # One row per table and bucket: tables * 2 ** bits at most.
+    counts = by_bucket(signed).groupBy("_table", "_bucket").agg(F.ceil(F.count(F.lit(1)) / CHUNK_ROWS).cast("int").alias("_parts"))
+    counts = F.broadcast(materialize(counts, "buckets"))
+    left = by_bucket(signed).join(counts, ["_table", "_bucket"]).withColumn("_part", _place("chunk_id", F.col("_parts")))
+    right = by_bucket(asked).join(counts, ["_table", "_bucket"]).withColumn("_part", _every(F.col("_parts")))
+    found = _meet(left.drop("_parts"), right.drop("_parts"), ["_table", "_bucket", "_part"], k)
+    return _ranked(found.groupBy("query_id", "chunk_id").agg(F.min("distance").alias("distance")), k)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

@@ -31,10 +31,11 @@ def found(df):
     return {(x["query_id"], x["rank"]): (x["chunk_id"], round(x["distance"], 9)) for x in df.collect()}
 
 
-@pytest.mark.parametrize("query_bytes,cells", [(64 << 20, 4_000_000), (3000, 50)])
-def test_exact_with_copies(spark, monkeypatch, query_bytes, cells):
+@pytest.mark.parametrize("query_rows,chunk_rows,cells", [(2048, 16_384, 4_000_000), (7, 30, 50)])
+def test_exact_with_copies(spark, monkeypatch, query_rows, chunk_rows, cells):
     """A third of the chunks are copies of one vector; ties go to the smallest id."""
-    monkeypatch.setattr(r, "QUERY_BYTES", query_bytes)
+    monkeypatch.setattr(r, "QUERY_ROWS", query_rows)
+    monkeypatch.setattr(r, "CHUNK_ROWS", chunk_rows)
     monkeypatch.setattr(r, "TILE_CELLS", cells)
     queries, vectors = unit(20, 16, 1), unit(200, 16, 2)
     vectors[100:170] = vectors[3]
@@ -53,7 +54,9 @@ def test_k(spark):
     assert r.topk_cosine(queries.limit(0), vectors).count() == 0
 
 
-def test_lsh_finds_only_true_distances(spark):
+@pytest.mark.parametrize("chunk_rows", [16_384, 9])
+def test_lsh_finds_only_true_distances(spark, monkeypatch, chunk_rows):
+    monkeypatch.setattr(r, "CHUNK_ROWS", chunk_rows)
     queries, vectors = unit(30, 16, 3), unit(300, 16, 4)
     q, v = table(spark, queries, "query_id"), table(spark, vectors, "chunk_id")
     exact, near = r.topk_cosine(q, v, 3), r.topk_cosine_lsh(q, v, 3)
