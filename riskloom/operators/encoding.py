@@ -9,7 +9,8 @@ from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.exchange import fits_broadcast, key_counts, number_rows, running_totals, sized_join
+from riskloom import exchange
+from riskloom.exchange import key_counts, number_rows, running_totals, sized_join
 from riskloom.fixed import INFREQUENT_NAME, MIN_CATEGORY_COUNT
 from riskloom.session import materialize
 
@@ -187,14 +188,16 @@ class ClaimEncoder:
     vocabulary: DataFrame
     slots: int = 0
     rare_slots: dict[str, tuple[int, int]] = field(default_factory=dict)
-    small: bool = True
+    small: dict[str, bool] = field(default_factory=dict)
     column_slots: dict[str, int] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         found = {r["column"]: r["n"] for r in self.vocabulary.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
         self.column_slots = {c: found.get(c, 0) for c in self.categorical}  # in the order of positions
         self.slots = sum(found.values())
-        self.small = fits_broadcast(self.vocabulary, "value")
+        size = F.count(F.lit(1)) * 64 + F.coalesce(F.sum(F.octet_length("value")), F.lit(0))
+        sizes = self.vocabulary.groupBy("column").agg(size.alias("bytes")).collect()
+        self.small = {r["column"]: r["bytes"] <= exchange.BROADCAST_BYTES for r in sizes}
         rare = self.vocabulary.where("infrequent").collect()  # one row per column at most
         self.rare_slots = {r["column"]: (r["slot"], r["position"]) for r in rare}
 
@@ -236,8 +239,9 @@ class ClaimEncoder:
                 F.col("value").alias(c), F.struct("slot", "position").alias("_slot")
             )
             filled = F.coalesce(F.col(c), F.lit(self.modes[c])).alias(c)
+            # Only the columns with many values are counted and shuffled.
             counts = key_counts(source.select(filled), c)
-            df = sized_join(df.withColumn(c, filled), known, c, key, self.small, counts)
+            df = sized_join(df.withColumn(c, filled), known, c, key, self.small.get(c, True), counts)
             rare = F.lit(None)
             if c in self.rare_slots:
                 slot, position = self.rare_slots[c]

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from riskloom.fixed import ATTRIBUTE_FEATURES, IDENTIFIER_COLUMNS, LOCATION_FEATURES, NON_FEATURE_COLUMNS
 from riskloom.functions.numbers import hour_angle, ratio
 from riskloom.operators.normalize import drop_columns
-from riskloom.operators.quality import any_missing, check_complete, one_to_one_join, require
+from riskloom.operators.quality import any_missing, one_to_one_join
 
 
 def date_features(df: DataFrame, date: str = "incident_date") -> DataFrame:
@@ -57,10 +57,13 @@ def base_features(claims: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 def _joined(claims: DataFrame, graph: DataFrame, columns: list[str], keep: tuple[str, ...]) -> DataFrame:
     data = one_to_one_join(claims, graph.select("claim_id", *columns), "claim_id", "left")
-    # A claim without graph features stops the job, in the same pass that reads it.
+    return _model_features(_complete(data, columns), False, list(keep))
+
+
+def _complete(data: DataFrame, columns: list[str]) -> DataFrame:
+    """A row without all graph features stops the job, in the same pass that reads it."""
     missing = F.when(any_missing(columns), F.raise_error(F.lit("missing graph features after join")))
-    guarded = data.withColumn(columns[0], F.coalesce(missing.cast("long"), F.col(columns[0])))
-    return _model_features(guarded, False, list(keep))
+    return data.withColumn(columns[0], F.coalesce(missing.cast("long"), F.col(columns[0])))
 
 
 def graph_features(claims: DataFrame, graph: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -73,8 +76,7 @@ def combine_graph_features(location: DataFrame, attributes: DataFrame) -> DataFr
     combined = one_to_one_join(
         location.select("claim_id", *LOCATION_FEATURES), attributes.select("claim_id", *ATTRIBUTE_FEATURES), "claim_id"
     )
-    require(check_complete(combined, LOCATION_FEATURES + ATTRIBUTE_FEATURES))
-    return combined
+    return _complete(combined, LOCATION_FEATURES + ATTRIBUTE_FEATURES)
 
 
 def multigraph_features(claims: DataFrame, graph: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
