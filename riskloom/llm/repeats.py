@@ -321,14 +321,6 @@ def _key(docs: DataFrame, id: str, text: str) -> list[Column]:
     return [F.col(id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash")]
 
 
-def _by_document(runs: DataFrame) -> DataFrame:
-    """Settled and open runs of each text, bounded by its length."""
-    run = F.struct("anchor", "first", "last")
-    return runs.groupBy(*KEY).agg(
-        F.collect_list(F.when(F.col("settled"), run)).alias("ranges"), F.collect_list(F.when(~F.col("settled"), run)).alias("open")
-    )
-
-
 def _same(a: DataFrame, b: DataFrame) -> Column:
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_hash"] == b["text_hash"])
 
@@ -351,34 +343,29 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id: str = "doc_id", te
         raise ValueError("a cell of suffixes must have a core")
     texts = docs.where(F.octet_length(F.col(text)) >= length).select(*_key(docs, id, text), F.col(text).alias("text"))
     found = texts.mapInArrow(lambda it: (x for b in it for x in text_runs(b, length, gram, cells[0])), RUNS)
-    state = _by_document(settle(materialize(found, "runs"), cells[0] == 1))
-
-    kept_columns = [c for c in docs.columns if c != "repeats"]
-    row = docs.withColumn("_key", F.struct(*_key(docs, id, text))).select(*kept_columns, "_key.doc_id", "_key.text_hash") if "doc_id" not in kept_columns and "text_hash" not in kept_columns else None
-    if row is None:
-        row = docs.select(F.struct(*kept_columns).alias("_row"), *_key(docs, id, text))
-    else:
-        row = row.select(F.struct(*kept_columns).alias("_row"), *KEY)
-    # Only texts that hold a repeat go on as texts; the others are done here.
-    joined = row.join(state, _same(row, state), "left").select("_row", row["doc_id"], row["text_hash"], "ranges", "open")
-    joined = materialize(joined, "states")
-    own = F.col("_row")[text]
-    ranges = joined.select("doc_id", "text_hash", "_row", "open", "ranges")
-
-    pieces = ranges.where(F.size("open") > 0).select(*KEY, own.alias("text"), "open").dropDuplicates(KEY)
-    pieces = pieces.mapInArrow(lambda it: (x for b in it for x in cut_pieces(b, length, cells[0])), PIECES)
-    more = None
+    first = materialize(settle(materialize(found, "runs"), cells[0] == 1), "settled")
+    run = F.struct("anchor", "first", "last")
+    # Texts meet their open runs here and all their repeated ones at the end; in between
+    # only pieces of them go on.
+    opened = first.where("NOT settled").groupBy(*KEY).agg(F.collect_list(run).alias("open"))
+    joined = texts.join(opened, _same(texts, opened)).select(texts["doc_id"], texts["text_hash"], "text", "open")
+    pieces = joined.mapInArrow(lambda it: (x for b in it for x in cut_pieces(b, length, cells[0])), PIECES)
+    settled_runs = first.where("settled").select(*KEY, run.alias("run"))
     for k in range(1, len(cells)):
+        # A row that occurs twice gives its pieces twice; they count as two.
         pieces = materialize(pieces, "pieces")
         cell = cells[k]
         finer = pieces.mapInArrow(lambda it, cell=cell: (x for b in it for x in piece_runs(b, length, cell)), RUNS)
-        settled = settle(materialize(finer, "runs"), cell == 1)
-        settled = materialize(settled, "settled") if cell > 1 else settled
-        more = settled.where("settled") if more is None else more.unionByName(settled.where("settled"))
+        now = settle(materialize(finer, "runs"), cell == 1)
+        now = materialize(now, "settled") if cell > 1 else now
+        settled_runs = settled_runs.unionByName(now.where("settled").select(*KEY, run.alias("run")))
         if cell > 1:
-            pieces = _finer_pieces(pieces, settled.where("NOT settled"), length, cell)
-    late = (more if more is not None else found.limit(0)).groupBy(*KEY).agg(F.collect_list(F.struct("anchor", "first", "last")).alias("late"))
-    whole = ranges.join(late, _same(ranges, late), "left").select("_row", F.concat(F.coalesce("ranges", F.array()), F.coalesce("late", F.array())).alias("all"))
+            pieces = _finer_pieces(pieces, now.where("NOT settled"), length, cell)
+    everything = settled_runs.groupBy(*KEY).agg(F.collect_list("run").alias("all"))
+    kept_columns = [c for c in docs.columns if c != "repeats"]
+    rows = docs.select(F.struct(*kept_columns).alias("_row"), *_key(docs, id, text))
+    whole = rows.join(everything, _same(rows, everything), "left").select("_row", F.coalesce("all", F.array()).alias("all"))
+    own = F.col("_row")[text]
     touched = F.size("all") > 0
     size = F.coalesce(F.octet_length(own), F.lit(0)).cast("long")
     cut = cut_text(length)
