@@ -161,4 +161,38 @@ SELECT page_id, payload_bytes, {_base32_sql("sha")} AS payload_digest,
 FROM f
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_mixing": MIXING_SQL, "op9_nearest": NEAREST_SQL, "op10_warc": WARC_SQL}
+# Strings are looked at as hexadecimal digits, two for a byte.
+REPEATS_SQL = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n_bytes FROM documents
+), p AS (SELECT doc_id, i, hash(substr(h, 2 * i + 1, 800)) AS k FROM (SELECT doc_id, h, unnest(range(0, n_bytes - 399)) AS i FROM d)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY k) AS c FROM p) WHERE c > 1),
+b AS (SELECT doc_id, i, CAST(coalesce(i > lag(i) OVER o + 400, TRUE) AS INTEGER) AS new FROM r WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM b),
+s AS (SELECT doc_id, span, min(i) AS lo, max(i) + 400 AS hi FROM g GROUP BY doc_id, span),
+gaps AS (
+  SELECT doc_id, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS a, lo AS z FROM s
+  UNION ALL SELECT doc_id, coalesce(max(s.hi), 0), max(n_bytes) FROM d LEFT JOIN s USING (doc_id) GROUP BY doc_id
+), k AS (SELECT doc_id, string_agg(substr(h, 2 * a + 1, 2 * (z - a)), '' ORDER BY a) AS kept FROM gaps JOIN d USING (doc_id) GROUP BY doc_id),
+c AS (SELECT doc_id, CAST(sum(hi - lo) AS BIGINT) AS n_removed, count(*) AS n_spans FROM s GROUP BY doc_id)
+SELECT doc_id, n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(kept)) AS kept_sha256
+FROM d JOIN k USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
+NGRAM_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS doc, doc_id AS root FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON r.doc = e.a)
+SELECT d.doc_id, coalesce(max(n.n), 0) AS n_shingles, min(r.root) AS component_id
+FROM documents d JOIN r ON r.doc = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_mixing": MIXING_SQL, "op4_repeats": REPEATS_SQL, "op7_ngram_join": NGRAM_SQL, "op9_nearest": NEAREST_SQL, "op10_warc": WARC_SQL}
