@@ -48,7 +48,8 @@ def graph_roundtrip(spark, sf):
 
 def manifest_row(spark, sf):
     raw = fx.claims_raw(spark, sf)
-    digest = manifest.combined_digest(manifest.file_digests(spark, f"{sf}/orders.parquet"))
+    sources = [manifest.file_digests(spark, f"{sf}/{name}.parquet") for name in ("orders", "customer", "nation")]
+    digest = manifest.combined_digest(sources[0].unionAll(sources[1]).unionAll(sources[2]))
     row = manifest.manifest(raw, fx.policies(spark, sf), fx.claims(spark, sf), "claims_raw", digest)
     return row.withColumn("digest_length", F.length("source_sha256").cast("long")).drop("source_sha256")
 
