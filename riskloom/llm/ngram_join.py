@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.llm.batches import bound_batches, flat_bytes, groups
@@ -273,12 +273,10 @@ def tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """Pairs (`a, b`) that sizes and summed coordinate minima allow."""
+    """Pairs (`a, b`) that summed coordinate minima allow."""
     left = points.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("point").alias("p_a"))
     right = points.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("point").alias("p_b"))
-    sizes = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    joined = pairs.join(left.drop("p_a"), "a").join(right.drop("p_b"), "b").where(sizes)
-    joined = joined.join(left.select("a", "p_a"), "a").join(right.select("b", "p_b"), "b")
+    joined = pairs.join(left, "a").join(right, "b")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -346,28 +344,25 @@ def similarity_components(docs: DataFrame, percent: int = PERCENT, words: int =
     # Every document of a node shows its keys; those of the node's own row are kept.
     shown = own.select(F.col("row").alias("node"), F.explode("keys").alias("key"))
     many = materialize(shown.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), "keys")
-    met = materialize(shown.join(many, "key").join(nodes.select("node"), "node", "left_semi"), "met")
+    met = materialize(shown.join(many, "key").join(nodes.select("node", "n"), "node"), "met")
 
     points = nodes.select("node", "n", "point")
     texts = docs.select(F.col(id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("text"))
-    roots = links = tried = None
+    roots = links = None
     for turn in range(3):
         now = met.withColumn("root", F.col("node"))
         if roots is not None:
             now = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         if turn < 2:
             # First the smallest node, then any.
-            pick = F.struct("node", "root") if turn == 0 else F.struct(F.xxhash64("node"), "node", "root")
-            star = now.groupBy("key").agg(F.min(pick).alias("f"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-            star = materialize(star.select("key", F.col("f.node").alias("star"), F.col("f.root").alias("star_root")), "stars")
-            pairs = now.join(star, "key").where("root <> star_root").select(F.least("star", "node").alias("a"), F.greatest("star", "node").alias("b")).distinct()
-            if tried is not None:
-                pairs = pairs.join(tried, ["a", "b"], "left_anti")
-            pairs = materialize(pairs, "pairs")
-            tried = pairs if tried is None else tried.union(pairs)
+            star = now.groupBy("key").agg(F.min(_pick(turn)).alias("f"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+            star = materialize(star.select("key", F.col("f.node").alias("star"), F.col("f.root").alias("star_root"), F.col("f.n").alias("star_n")), "stars")
+            sizes = 100 * F.least("n", "star_n") >= percent * F.greatest("n", "star_n")
+            pairs = now.join(star, "key").where("root <> star_root").where(sizes)
+            pairs = pairs.select(F.least("star", "node").alias("a"), F.greatest("star", "node").alias("b")).distinct()
             pairs = materialize(bounded(pairs, points, percent), "near")
         else:
-            pairs = materialize(_across(now, points, percent).join(tried, ["a", "b"], "left_anti"), "near")
+            pairs = materialize(_across(now, points, percent), "near")
         if pairs.isEmpty():
             continue
         new = materialize(verified(pairs, nodes, texts, percent, words), "linked")
@@ -383,11 +378,28 @@ def similarity_components(docs: DataFrame, percent: int = PERCENT, words: int =
     return joined.select(F.col("doc_id").alias(id), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
+def _pick(turn: int) -> Column:
+    order = [F.xxhash64("node").alias("order")] if turn else []
+    return F.struct(*order, "node", "root", "n")
+
+
 def _across(now: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """Pairs across components at keys that hold several, by their trees."""
-    keys = now.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    """Pairs across components at keys that hold several, by their trees.
+
+    What the rounds before compared at a key, its stars, has met all others there. Of the
+    rest a row goes on if there is another within the limits of size. Keys with the same
+    first star are one meeting: like sets share many keys, and would meet at each."""
+    stars = now.groupBy("key").agg(F.min(_pick(0)).alias("f"), F.min(_pick(1)).alias("g"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    stars = materialize(stars.select("key", F.col("f.node").alias("f"), F.col("g.node").alias("g")), "stars")
+    rest = now.join(stars, "key").where("node <> f AND node <> g").select("key", "node", "n", "root")
+    by_size = Window.partitionBy("key").orderBy("n", "node")
+    near = (100 * F.lag("n").over(by_size) >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.lead("n").over(by_size))
+    rest = rest.withColumn("near", near).where("near").select("key", "node", "n", "root")
+    rest = rest.join(stars.select("key", "f"), "key").select(F.col("f").alias("key"), "node", "n", "root")
+    rest = materialize(rest.distinct(), "rest")
+    keys = rest.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
     keys = materialize(keys.select("key", F.ceil(F.col("m") / MEETING).cast("int").alias("blocks")), "open")
-    rows = now.join(keys, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rest.join(keys, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # Every block of a key meets every block, itself included.
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low = F.least("own", "other")
