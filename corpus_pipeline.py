@@ -19,6 +19,9 @@ from riskloom.session import materialize
 # document has to look quite unlike the others to be lost.
 REJECT_BELOW = 0.2
 
+# Passages of so many words that stand elsewhere too are removed, whatever their bytes.
+PASSAGE_WORDS = 51
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the classifier rejects. It is fitted on the labels of
@@ -38,8 +41,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without passages that stand elsewhere too. Letters that were cut are left out."""
-    done = repeats.remove_repeats(docs)
+    """Without passages of over 50 words, or of 400 bytes, that stand elsewhere too.
+    Letters that were cut are left out."""
+    done = repeats.remove_repeats(docs, words=PASSAGE_WORDS)
     changed = F.col("repeats.n_removed") > 0
     text = F.when(changed, repeats.whole_letters(F.col("repeats.kept"))).otherwise(F.col("text"))
     done = done.withColumn("text", text).withColumn("n_chars", F.when(changed, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))

@@ -43,8 +43,13 @@ CELLS = (192, 16, 1)
 # Bytes of text that are looked at together.
 BLOCK = 1 << 19
 
+# Passages of words meet at their smallest run of so many words.
+WORD_GRAM = 17
+
 RUNS = "doc_id bigint, text_hash bigint, anchor bigint, first bigint, last bigint, core bigint, hull_a bigint, hull_b bigint, weight int, settled boolean"
 PIECES = "doc_id bigint, text_hash bigint, anchor bigint, first bigint, last bigint, begin bigint, piece binary"
+SPOTS = "doc_id bigint, text_hash bigint, spot bigint, name bigint"
+PASSAGES = "doc_id bigint, text_hash bigint, first bigint, past bigint, name_a bigint, name_b bigint"
 KEY = ["doc_id", "text_hash"]
 
 
@@ -274,6 +279,113 @@ def settle(runs: DataFrame, single: bool) -> DataFrame:
     return ranges.unionByName(known.select(*shape, "settled")).unionByName(copies)
 
 
+class Phrases(Names):
+    """Identifiers of runs of words, each word given by two numbers."""
+
+    def __init__(self, words: np.ndarray):
+        size = 1 << max(10, int(words.shape[1] + 1).bit_length())
+        self.sums, self.inverse = [], []
+        for own, (_, base) in zip(words, _tables(), strict=True):
+            power, inverse = _powers(size, base)
+            sums = np.zeros(len(own) + 1, np.uint64)
+            np.cumsum(own * power[: len(own)], out=sums[1:])
+            self.sums.append(sums)
+            self.inverse.append(inverse)
+
+
+def find_words(flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each stretch without ASCII white space begins and ends, texts kept apart."""
+    inside = (flat != 32) & ((flat < 9) | (flat > 13))
+    opens = inside.copy()
+    opens[1:] &= ~inside[:-1]
+    closes = inside.copy()
+    closes[:-1] &= ~inside[1:]
+    firsts = starts[:-1][np.diff(starts) > 0]
+    opens[firsts] = inside[firsts]
+    lasts = starts[1:][np.diff(starts) > 0] - 1
+    closes[lasts] = inside[lasts]
+    return np.flatnonzero(opens), np.flatnonzero(closes) + 1
+
+
+def name_words(flat: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Two numbers for each word, the same wherever it stands."""
+    out = np.empty((2, len(begin)), np.uint64)
+    long = end - begin > BLOCK
+    for rows in np.split(np.arange(len(begin)), np.flatnonzero(np.diff(begin // BLOCK)) + 1):
+        rows = rows[~long[rows]]
+        if len(rows):
+            base = begin[rows[0]]
+            names = Names(flat[base : end[rows[-1]]])
+            for which in range(2):
+                out[which, rows] = names.of(begin[rows] - base, end[rows] - base, which)
+    for i in np.flatnonzero(long):
+        out[:, i] = np.frombuffer(hashlib.blake2b(flat[begin[i] : end[i]].tobytes(), digest_size=16).digest(), np.uint64)
+    return out
+
+
+def passages(batch: pa.RecordBatch, words: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Every run of `words` words: text, first word of the text and of the run, place of
+    its smallest run of WORD_GRAM words, all in one count; where it begins and ends among
+    the bytes of its text; and the names of words that it is told by."""
+    flat, starts = flat_bytes(batch.column("text"))
+    begin, end = find_words(flat, starts)
+    doc = np.searchsorted(starts, begin, "right") - 1
+    gram = min(WORD_GRAM, words)
+    for lo in range(0, max(0, len(begin) - words + 1), BLOCK):
+        hi = min(len(begin), lo + BLOCK + words - 1)
+        own = np.arange(lo, hi - words + 1)
+        own = own[doc[own] == doc[own + words - 1]]
+        if len(own):
+            phrases = Phrases(name_words(flat, begin[lo:hi], end[lo:hi]))
+            spot = anchors(phrases, begin[lo:hi], words, gram)[own - lo] + lo
+            text = doc[own]
+            shift = np.searchsorted(doc, text)
+            named = phrases.of(spot - lo, spot - lo + gram)
+            yield text, spot - shift, named, begin[own] - starts[text], end[own + words - 1] - starts[text], phrases, own - lo
+
+
+def passage_spots(batch: pa.RecordBatch, words: int) -> Iterator[pa.RecordBatch]:
+    """Where runs of `words` words may meet others; `doc_id, text_hash, text` come in."""
+    for text, spot, named, *_ in passages(batch, words):
+        new = np.concatenate(([True], (text[1:] != text[:-1]) | (spot[1:] != spot[:-1])))
+        at = pa.array(text[new])
+        yield _batch([batch.column("doc_id").take(at), batch.column("text_hash").take(at), spot[new], _signed(named[new])], SPOTS)
+
+
+def met_passages(batch: pa.RecordBatch, words: int) -> Iterator[pa.RecordBatch]:
+    """The runs of words at given spots; `doc_id, text_hash, text, spots` come in."""
+    spots = batch.column("spots")
+    # A spot's number beyond all others of the texts before it.
+    far = 1 << 32
+    given = np.unique(np.repeat(np.arange(batch.num_rows), [len(x) for x in spots]) * far + spots.flatten().to_numpy())
+    for text, spot, _, first, past, phrases, own in passages(batch, words):
+        met = np.isin(text * far + spot, given)
+        if met.any():
+            at, own = pa.array(text[met]), own[met]
+            names = [_signed(phrases.of(own, own + words, which)) for which in range(2)]
+            yield _batch([batch.column("doc_id").take(at), batch.column("text_hash").take(at), first[met], past[met], *names], PASSAGES)
+
+
+def repeated_words(docs: DataFrame, words: int, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """`doc_id, text_hash, first, past`: the bytes of every run of `words` words that also
+    stands somewhere else, in the same text or another. Words are what stands between
+    ASCII white space, and are all that is compared.
+
+    Equal runs of words hold the same smallest run of WORD_GRAM words at the same place.
+    So these are counted first, about one for every 18 words, and of the runs of `words`
+    words only those whose smallest occurs twice are counted in turn, by 128 bits."""
+    bound_batches(docs.sparkSession)
+    texts = docs.where(F.octet_length(F.col(text)) >= 2 * words - 1).select(*_key(docs, id, text), F.col(text).alias("text"))
+    shown = materialize(texts.mapInArrow(lambda it: (x for b in it for x in passage_spots(b, words)), SPOTS), "spots")
+    counted = materialize(shown.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name"), "names")
+    given = shown.join(counted, "name").groupBy(*KEY).agg(F.collect_set("spot").alias("spots"))
+    joined = texts.join(given, _same(texts, given)).select(texts["doc_id"], texts["text_hash"], "text", "spots")
+    met = materialize(joined.mapInArrow(lambda it: (x for b in it for x in met_passages(b, words)), PASSAGES), "passages")
+    names = ["name_a", "name_b"]
+    again = materialize(met.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*names), "again")
+    return met.join(again, names).select(*KEY, "first", "past")
+
+
 def cut_text(length: int):
     """An Arrow function from a text and the repeated suffixes in it to what is left."""
 
@@ -325,7 +437,7 @@ def _same(a: DataFrame, b: DataFrame) -> Column:
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_hash"] == b["text_hash"])
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, id: str = "doc_id", text: str = "text", gram: int = GRAM, cells: tuple[int, ...] = CELLS) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, id: str = "doc_id", text: str = "text", gram: int = GRAM, cells: tuple[int, ...] = CELLS, words: int | None = None) -> DataFrame:
     """Add `repeats` to `docs`: `n_bytes, n_removed, n_spans, kept_sha256, kept`.
 
     Every byte that lies in a string of `length` bytes which also begins somewhere else,
@@ -334,6 +446,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id: str = "doc_id", te
     cut). Null texts are empty; texts shorter than `length` stay whole; a row that occurs
     twice is a repeat of itself; rows without an id count as others do. Columns pass
     through; one named `repeats` is replaced. An empty table gives none.
+
+    With `words`, the bytes of every run of so many words that also stands somewhere else
+    are removed as well, however short it is (`repeated_words`).
     """
     spark = docs.sparkSession
     bound_batches(spark)
@@ -361,6 +476,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id: str = "doc_id", te
         settled_runs = settled_runs.unionByName(now.where("settled").select(*KEY, run.alias("run")))
         if cell > 1:
             pieces = _finer_pieces(pieces, now.where("NOT settled"), length, cell)
+    if words is not None:
+        # As runs of suffixes they end `length` bytes after the last one.
+        again = repeated_words(docs, words, id, text)
+        span = F.struct(F.lit(None).cast("long").alias("anchor"), "first", (F.col("past") - length).alias("last"))
+        settled_runs = settled_runs.unionByName(again.select(*KEY, span.alias("run")))
     everything = settled_runs.groupBy(*KEY).agg(F.collect_list("run").alias("all"))
     kept_columns = [c for c in docs.columns if c != "repeats"]
     rows = docs.select(F.struct(*kept_columns).alias("_row"), *_key(docs, id, text))

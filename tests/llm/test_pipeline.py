@@ -82,3 +82,17 @@ def test_odd_documents(spark):
             table = materialize(stage(spark, table, SF))
     assert table.count() == 0
     assert pipeline.quality(spark, docs.where("false"), SF).count() == 0
+
+
+def test_short_passages(spark):
+    """A passage of 51 words and about 300 bytes goes, one of 50 words stays."""
+    own = lambda k, n: " ".join(f"own{k}x{i}" for i in range(n))
+    passage, short = (" ".join(f"{x}{i:04d}" for i in range(n)) for x, n in (("p", 51), ("s", 50)))
+    assert len(passage) == 305
+    texts = {k: f"{own(k, 30)} {p} {own(k + 10, 30)}" for k, p in enumerate([passage, passage, short, short])}
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    after = rows(pipeline.repeated_passages(spark, docs, SF))
+    for k in (0, 1):
+        assert after[k]["text"] == f"{own(k, 30)}  {own(k + 10, 30)}"
+        assert after[k]["n_chars"] == len(after[k]["text"])
+    assert all(after[k]["text"] == texts[k] for k in (2, 3))

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -76,3 +77,58 @@ def test_blocks_of_one_text(monkeypatch):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert op.remove_repeats(docs).count() == 0
+
+
+def plain_words(texts, words):
+    """Bytes left without runs of so many words that stand twice."""
+    found = [[(m.start(), m.end()) for m in re.finditer(rb"[^ \t\n\r\f\x0b]+", t)] for t in texts]
+    runs = lambda t, w: [(tuple(t[a:b] for a, b in w[i : i + words]), w[i][0], w[i + words - 1][1]) for i in range(len(w) - words + 1)]
+    count = Counter(r[0] for t, w in zip(texts, found, strict=True) for r in runs(t, w))
+    out = []
+    for t, w in zip(texts, found, strict=True):
+        gone = [False] * len(t)
+        for run, a, b in runs(t, w):
+            if count[run] > 1:
+                gone[a:b] = [True] * (b - a)
+        out.append(bytes(x for x, g in zip(t, gone, strict=True) if not g))
+    return out
+
+
+def test_words_against_plain(spark):
+    rng = random.Random(8)
+    make = lambda n: [rng.choice(["a", "be", "sé", "word", "Ünder"]) for _ in range(n)]
+    shared = [make(rng.randrange(19, 60)) for _ in range(6)]
+    texts = [None, "", "a", " a\n" * 90, "x" * 500, "\t"]
+    for _ in range(60):
+        own = make(rng.randrange(40))
+        for _ in range(rng.randrange(3)):
+            own += rng.choice(shared)[rng.randrange(4) :] + make(rng.randrange(30))
+        texts.append("".join(w + rng.choice([" ", "  ", "\n"]) for w in own))
+    texts += [texts[20], texts[20]]
+    docs = spark.createDataFrame([(k if k % 9 else None, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    # Only words decide, as no string of 5,000 bytes is here.
+    got = op.remove_repeats(docs, 5000, words=20).collect()
+    data = [(t or "").encode() for t in texts]
+    want = plain_words(data, 20)
+    assert sorted(((r["text"] or "").encode(), bytes(r["repeats"]["kept"])) for r in got) == sorted(zip(data, want, strict=True))
+    assert sum(a != b for a, b in zip(data, want, strict=True)) > 20
+
+
+def test_words_in_stretches(monkeypatch):
+    """Texts and words longer than a block have the passages of the whole."""
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    texts = [" ".join("z" * rng.choice([1, 2, 3, 90]) for _ in range(n)) for n in (70, 3, 0, 45)]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4]), pa.array([5, 6, 7, 8]), pa.array(texts)], ["doc_id", "text_hash", "text"])
+
+    def spans():
+        spots = [r for b in op.passage_spots(batch, 20) for r in b.to_pylist()]
+        own = [sorted({r["spot"] for r in spots if r["doc_id"] == k}) for k in (1, 2, 3, 4)]
+        given = batch.append_column("spots", pa.array(own, pa.list_(pa.int64())))
+        return sorted((r["doc_id"], r["first"], r["past"]) for b in op.met_passages(given, 20) for r in b.to_pylist())
+
+    whole = spans()
+    assert len(whole) == 51 + 26
+    monkeypatch.setattr(op, "BLOCK", 40)
+    assert spans() == whole
