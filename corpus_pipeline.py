@@ -15,22 +15,18 @@ from riskloom.llm import bpe, mixing, ngram_join, quality_net, queries, repeats
 from riskloom.llm.batches import fold
 from riskloom.session import materialize
 
-# Documents that score below go. Lower than the even odds of `predicted`, so that a clean
-# document has to look quite unlike the others to be lost.
-REJECT_BELOW = 0.2
-
 # Passages of so many words that stand elsewhere too are removed, whatever their bytes.
 PASSAGE_WORDS = 51
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the classifier rejects. It is fitted on the labels of
-    two folds of three and on the documents given."""
+    """Without the documents that the classifier rejects, those `predicted` to be of label
+    0. It is fitted on the labels of two folds of three and on the documents given."""
     labels = queries.table(spark, sf_dir, "labels").where(fold("doc_id", 3) != 1)
     net = quality_net.learn(docs, labels)
     scored = docs.withColumn("_docs", F.struct(*docs.columns))
     scored = quality_net.score_quality(scored.select("_docs", "text"), net)
-    return scored.where(F.col("score") >= REJECT_BELOW).select("_docs.*")
+    return scored.where("predicted = 1").select("_docs.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

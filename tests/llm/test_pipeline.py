@@ -96,3 +96,14 @@ def test_short_passages(spark):
         assert after[k]["text"] == f"{own(k, 30)}  {own(k + 10, 30)}"
         assert after[k]["n_chars"] == len(after[k]["text"])
     assert all(after[k]["text"] == texts[k] for k in (2, 3))
+
+
+def test_quality_rejects_predicted(spark, monkeypatch):
+    """Scores from 0.2 to 0.5 go too."""
+    def scored(docs, net):
+        return docs.withColumn("score", pipeline.F.col("text").cast("double")).withColumn("predicted", (pipeline.F.col("score") >= 0.5).cast("int"))
+
+    monkeypatch.setattr(pipeline.quality_net, "learn", lambda *a: 0.5)
+    monkeypatch.setattr(pipeline.quality_net, "score_quality", scored)
+    docs = spark.createDataFrame([(k, t, "en", "s", 3) for k, t in enumerate(["0.1", "0.3", "0.49", "0.5", "0.9"])], "doc_id long, text string, lang string, source string, n_chars long")
+    assert set(rows(pipeline.quality(spark, docs, SF))) == {3, 4}
