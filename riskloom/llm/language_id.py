@@ -8,18 +8,25 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.llm.batches import bound_batches, flat_bytes, groups
+from riskloom.session import materialize
 
 # Bytes before the predicted one that a context may hold.
 ORDER = 3
 
-# Text that each language is learned from: rows are drawn by a hash so that their bytes
-# are about this many. Bounds the model, whatever the size of the corpus.
+# Text that each language is learned from: texts are taken in the order of a hash until
+# their bytes are this many. Bounds the model, whatever the size of the corpus.
 TRAIN_BYTES = 400_000
 
+# Of a longer text so many pieces, evenly spaced, stand for the whole.
+PIECES = 16
+
+# Hashes are counted in so many classes for each language before any is ranked.
+CLASSES = 1 << 16
+
 # What stands before a text's first byte.
 PAD = 10
 
@@ -156,21 +163,46 @@ def build_model(counts: dict[str, list[tuple[np.ndarray, np.ndarray]]]) -> Model
     return Model(languages, seen, coded, contexts, escapes)
 
 
+def draw(rows: DataFrame, train_bytes: int) -> DataFrame:
+    """Of the distinct texts of each language those that come first by their hash, until
+    `train_bytes` are reached; one at least. A text over `train_bytes` is given as PIECES
+    pieces of about as many bytes together.
+
+    Only hashes and sizes are shuffled. In which class of hashes a language's bytes are
+    reached is seen from sums; only the texts up to that class are ranked."""
+    hashed = rows.withColumn("h", F.xxhash64("text"))
+    texts = hashed.groupBy("lang", "h").agg(F.max(F.octet_length("text")).cast("long").alias("n"))
+    texts = materialize(texts.withColumn("class", F.pmod("h", F.lit(CLASSES))), "texts")
+
+    def before(*order: str) -> Column:
+        return F.coalesce(F.sum("n").over(Window.partitionBy("lang").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    sums = texts.groupBy("lang", "class").agg(F.sum("n").alias("n"))
+    sums = sums.withColumn("before", before("class")).where(F.col("before") < train_bytes)
+    near = texts.join(F.broadcast(sums.select("lang", "class")), ["lang", "class"])
+    taken = near.withColumn("before", before("class", "h")).where(F.col("before") < train_bytes).select("lang", "h")
+    chosen = hashed.join(F.broadcast(materialize(taken, "taken")), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    n = F.char_length("text")
+    size = F.greatest(F.lit(1), F.floor(n * (train_bytes / PIECES) / F.octet_length("text"))).cast("int")
+    begin = lambda i: F.floor(i * (n - size) / (PIECES - 1)).cast("int") + 1
+    pieces = F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda i: F.substring("text", begin(i), size))
+    pieces = F.when(F.octet_length("text") > train_bytes, pieces).otherwise(F.array("text"))
+    return chosen.select("lang", F.explode(pieces).alias("text"))
+
+
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", train_bytes: int = TRAIN_BYTES) -> Model | None:
-    """Fit on whole texts with a language, about `train_bytes` of each language.
+    """Fit on texts with a language, at least `train_bytes` of each language or all it has,
+    and less than twice as many.
 
-    Rows without text or language are left out. None if nothing is left. What comes to
-    the driver is one row per language, and at most four grams per byte of the sample.
+    Rows without text or language are left out; of equal texts of a language one counts.
+    None if nothing is left. What comes to the driver is at most four grams per byte of
+    the sample.
     """
     bound_batches(labelled.sparkSession)
     rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & (F.col(text) != "")).select(
         F.col(text).alias("text"), F.col(lang).alias("lang")
     )
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
-    if not sizes:
-        return None
-    share = F.create_map(*[F.lit(x) for lang_, n in sizes.items() for x in (lang_, min(1.0, train_bytes / n))])
-    drawn = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < F.element_at(share, F.col("lang")) * 1_000_003)
+    drawn = draw(rows, train_bytes)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -75,3 +75,24 @@ def test_cases(spark):
     assert op.learn(docs.where("false")) is None
     assert {r["lang_pred"] for r in op.identify(docs, None).collect()} == {"und"}
     assert op.identify(docs.where("false"), model).count() == 0
+
+
+def test_rare_languages(spark):
+    """A language with one huge text is learned, from pieces; copies count once."""
+    rng = np.random.default_rng(4)
+    words = {"en": "the cat sat on a mat and saw his dog".split(), "fi": "kissa istui matolla ja koira juoksi".split()}
+    make = lambda lang, n: " ".join(rng.choice(words[lang], n))
+    copied = make("en", 60)
+    rows = [(make("en", 60), "en") for _ in range(200)] + [(copied, "en")] * 300 + [(make("fi", 300_000), "fi")]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    drawn = op.draw(docs, 4000).collect()
+    own = {k: [r["text"] for r in drawn if r["lang"] == k] for k in words}
+    assert len(set(own["en"])) == len(own["en"]) and 4000 <= sum(len(t) for t in own["en"]) < 8000
+    assert len(own["fi"]) == op.PIECES and 3900 <= sum(len(t) for t in own["fi"]) <= 4000
+    assert all(t in rows[-1][0] for t in own["fi"])
+    everything = op.draw(docs, 10**9).collect()
+    assert sorted(map(tuple, everything)) == sorted((k, t) for t, k in set(rows))
+    model = op.learn(docs, train_bytes=4000)
+    assert model.languages == ["en", "fi"]
+    tests = spark.createDataFrame([(make(k, 20), k) for k in words for _ in range(5)], "text string, lang string")
+    assert op.identify(tests, model).where("lang = lang_pred").count() == 10
