@@ -21,6 +21,10 @@ ANCHORS = (
 # Content words in a chain.
 CHAIN = 2
 
+# Where so many content words have followed a common word, those after them open chains
+# too, up to the next common word.
+GAP = 8
+
 # Ids that share a range of this width are looked at together.
 RANGE = 1000
 
@@ -33,8 +37,11 @@ def signatures(text: Column, anchors: list[str] | None = None, chain: int = CHAI
 
     Every common word gives a signature with the `chain` content words that follow it,
     fewer at the end of the text, none if no content word follows. The beginning of the
-    text counts as a common word. A text without content words has one signature, of the
-    text itself; an empty or null text has none.
+    text counts as a common word. Of a stretch without common words the content words
+    after the first GAP give signatures in the same way, so that tables, lists and other
+    languages are covered to their end, and an edit changes only what is near it. A text
+    without content words has one signature, of the text itself; an empty or null text has
+    none.
     """
     common = sorted(set(anchors or ANCHORS))
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), WORDS), lambda w: w != "")
@@ -49,7 +56,16 @@ def signatures(text: Column, anchors: list[str] | None = None, chain: int = CHAI
         following = lambda at: [F.get(content, at + j) for j in range(chain)]
         own = F.transform(s["spots"], lambda i, k: F.when(F.get(content, i - k).isNotNull(), F.xxhash64(F.get(words, i), *following(i - k))))
         first = F.when(F.size(content) > 0, F.xxhash64(F.lit(""), *following(F.lit(0))))
-        return F.concat(F.array(first), own)
+        # The beginning counts as a common word at place -1.
+        spots = F.concat(F.array(F.lit(-1)), s["spots"])
+
+        def stretch(i: Column, k: Column) -> Column:
+            # The content words after place i, of which k - 1 common words stand before.
+            begin, count = i - k + 1, F.coalesce(F.get(s["spots"], k), F.size(words)) - i - 1
+            link = lambda at: F.when(F.get(content, at + 1).isNotNull(), F.xxhash64(F.get(content, at), *following(at + 1)))
+            return F.when(count > GAP, F.transform(F.sequence(begin + GAP, begin + count - 1), link)).otherwise(F.array().cast("array<bigint>"))
+
+        return F.concat(F.array(first), own, F.flatten(F.transform(spots, stretch)))
 
     # The words and the parts are handed on as values of lambdas, so each is made once.
     found = F.get(F.transform(F.transform(F.array(words), parts), chains), F.lit(0))

@@ -95,3 +95,34 @@ def test_no_python(docs):
     plan = op.fingerprint_edits(docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
     assert "signed" in F.col("signed")._jc.toString()
+
+
+def plain_whole(text):
+    """As `plain`, with the content words of stretches without common words."""
+    words = [w for w in re.split(r"[^\w]+|_+", (text or "").lower()) if w]
+    out, since = plain(text), 0
+    for i, w in enumerate(words):
+        since = 0 if w in op.ANCHORS else since + 1
+        rest = [x for x in words[i + 1 :] if x not in op.ANCHORS][: op.CHAIN]
+        if since > op.GAP and rest:
+            out.add((w, *rest))
+    return out
+
+
+def test_without_common_words(spark):
+    """Long texts with few common words or none are told apart to their end."""
+    rng = random.Random(5)
+    many = lambda n: " ".join(rng.choice("kivi talo meri lumi puu joki saari taivas".split()) + str(rng.randrange(99)) for _ in range(n))
+    one, other = many(300), many(300)
+    texts = [f"alku sana {one}", f"alku sana {other}", f"alku sana {one} loppu", f"{one} the {other}", many(9), many(10), f"the {many(12)} and {many(9)} of the", f"{many(20)} the"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in op.fingerprint_edits(docs).collect()}
+    for k, text in enumerate(texts):
+        after = texts[(k + 1) % len(texts)]
+        cut = len(text) // 4
+        edited = text[: len(text) - cut] + after[:cut]
+        assert len(got[k]["fingerprint"].split()) == len(plain_whole(text))
+        assert got[k]["near_edited"] == pytest.approx(jaccard(plain_whole(text), plain_whole(edited)))
+        assert got[k]["near_next"] == pytest.approx(jaccard(plain_whole(text), plain_whole(after)))
+    assert got[0]["fingerprint"] != got[1]["fingerprint"] and got[0]["near_next"] < 0.1
+    assert len(got[0]["fingerprint"].split()) > 250 and 0.4 < got[0]["near_edited"] < 0.8
