@@ -1,8 +1,8 @@
 """Documents to training tokens, stage by stage.
 
 Every stage takes what the one before kept. Stages but the last return the columns of
-documents, with `text` and `n_chars` as the stage leaves them. Rows that repeat an id go
-through each stage together; rows without an id pass the join untouched; null texts are
+documents, with `text` and `n_chars` as the stage leaves them. Rows that repeat an id
+are judged each by its own text; rows without an id pass the join untouched; null texts are
 kept as rows without tokens.
 """
 
@@ -30,10 +30,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id."""
-    groups = ngram_join.similarity_components(docs)
-    others = materialize(groups.where("component_id <> doc_id").select("doc_id").distinct(), "copies")
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of linked documents the one with the smallest id. Rows that repeat an
+    id are judged each by its own text; of those with equal text one stays."""
+    groups = ngram_join.similarity_components(docs, hashes=True).where("doc_id IS NOT NULL")
+    marks = groups.groupBy("doc_id", "text_hash").agg((F.first("component_id") != F.col("doc_id")).alias("copy"), (F.count(F.lit(1)) > 1).alias("again"))
+    marks = materialize(marks.where("copy OR again"), "copies")
+    rows = docs.withColumn("text_hash", F.xxhash64("text"))
+    kept = rows.join(marks, ["doc_id", "text_hash"], "left_anti").select(*docs.columns)
+    again = marks.where("NOT copy")
+    if again.isEmpty():
+        return kept
+    once = rows.join(again, ["doc_id", "text_hash"]).select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return kept.unionByName(once)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

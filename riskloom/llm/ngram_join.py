@@ -317,8 +317,9 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int,
     return joined.mapInArrow(check, "a bigint, b bigint").distinct()
 
 
-def similarity_components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, id: str = "doc_id", text: str = "text") -> DataFrame:
+def similarity_components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, id: str = "doc_id", text: str = "text", hashes: bool = False) -> DataFrame:
     """`id, n_shingles, component_id` for every row of `docs`; other columns are ignored.
+    With `hashes` also `text_hash`, which tells rows of one id apart.
 
     Words are what stands between ASCII white space, A-Z in lower case; a document's set
     is its distinct runs of `words` words, or all its words as one run if it has fewer. Two
@@ -373,9 +374,10 @@ def similarity_components(docs: DataFrame, percent: int = PERCENT, words: int =
         found = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = materialize(found.groupBy("root").agg(F.min("doc_id").alias("least")), "least")
     known = materialize(found.select(*sets, "root").join(least, "root").select(*sets, "least"), "known")
-    joined = rows.select("doc_id", *sets).join(known, sets, "left")
+    own_hash = ["text_hash"] if hashes else []
+    joined = rows.select("doc_id", *own_hash, *sets).join(known, sets, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
-    return joined.select(F.col("doc_id").alias(id), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return joined.select(F.col("doc_id").alias(id), F.col("n").alias("n_shingles"), component.alias("component_id"), *own_hash)
 
 
 def _pick(turn: int) -> Column:

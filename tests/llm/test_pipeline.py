@@ -107,3 +107,12 @@ def test_quality_rejects_predicted(spark, monkeypatch):
     monkeypatch.setattr(pipeline.quality_net, "score_quality", scored)
     docs = spark.createDataFrame([(k, t, "en", "s", 3) for k, t in enumerate(["0.1", "0.3", "0.49", "0.5", "0.9"])], "doc_id long, text string, lang string, source string, n_chars long")
     assert set(rows(pipeline.quality(spark, docs, SF))) == {3, 4}
+
+
+def test_repeated_ids(spark):
+    """Of rows with one id only the copy goes, and of equal ones all but one."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    texts = [(1, a), (2, a), (2, b), (3, c), (3, c), (None, a), (None, a), (4, None), (4, None)]
+    docs = spark.createDataFrame([(k, t, "en", "s", 3) for k, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r["doc_id"], r["text"]) for r in pipeline.near_duplicates(spark, docs, SF).collect()]
+    assert sorted(got, key=repr) == sorted([(1, a), (2, b), (3, c), (None, a), (None, a), (4, None)], key=repr)
