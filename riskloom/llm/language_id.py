@@ -187,7 +187,8 @@ def draw(rows: DataFrame, train_bytes: int) -> DataFrame:
     begin = lambda i: F.floor(i * (n - size) / (PIECES - 1)).cast("int") + 1
     pieces = F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda i: F.substring("text", begin(i), size))
     pieces = F.when(F.octet_length("text") > train_bytes, pieces).otherwise(F.array("text"))
-    return chosen.select("lang", F.explode(pieces).alias("text"))
+    # A bounded sample: each language in one task, so that grams are counted together.
+    return chosen.select("lang", F.explode(pieces).alias("text")).repartition("lang")
 
 
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", train_bytes: int = TRAIN_BYTES) -> Model | None:
