@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import language_id, mixing, nearest, ngram_join, quality_net, repeats, spot_signatures, warc
+from riskloom.llm import language_id, mixing, nearest, ngram_join, quality_net, repair, repeats, spot_signatures, warc
 from riskloom.llm.batches import fold
 from riskloom.llm.bpe import round_trip
 from riskloom.llm.token_counts import count_tokens
@@ -81,6 +81,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, archive)
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_conversations(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_language_id": op2_language_id,
@@ -92,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_spot_signatures": op8_spot_signatures,
     "op9_nearest": op9_nearest,
     "op10_warc": op10_warc,
+    "op11_repair": op11_repair,
 }
 
 # The exponent that bisection finds has a closed form here: the extremes of p^(a - 1) are
