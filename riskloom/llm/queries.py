@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import language_id, mixing, nearest, ngram_join, quality_net, repair, repeats, spot_signatures, warc
+from riskloom.llm import divergence, language_id, mixing, nearest, ngram_join, prefix_trie, quality_net, repair, repeats, spot_signatures, warc
 from riskloom.llm.batches import fold
 from riskloom.llm.bpe import round_trip
 from riskloom.llm.token_counts import count_tokens
@@ -85,6 +85,15 @@ def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair_conversations(table(spark, sf_dir, "conversations"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = divergence.judge_documents(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_language_id": op2_language_id,
@@ -97,6 +106,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_nearest": op9_nearest,
     "op10_warc": op10_warc,
     "op11_repair": op11_repair,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_divergence": op13_divergence,
 }
 
 # The exponent that bisection finds has a closed form here: the extremes of p^(a - 1) are
