@@ -115,7 +115,7 @@ def distance(counts: Column, shares: Column) -> Column:
     summed = let(total.cast("double"), lambda n: F.aggregate(
         F.zip_with(own, shares, lambda c, q: part(c / n, (c / n + q) / 2) + part(q, (c / n + q) / 2)), F.lit(0.0), lambda t, d: t + d
     ))
-    return F.when(total > 0, F.sqrt(F.greatest(F.lit(0.0), summed / 2)))
+    return F.when((total > 0) & shares.isNotNull(), F.sqrt(F.greatest(F.lit(0.0), summed / 2)))
 
 
 def common_words(docs: DataFrame, text: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from riskloom.fixed import ATTRIBUTE_FEATURES, IDENTIFIER_COLUMNS, LOCATION_FEATURES, NON_FEATURE_COLUMNS
 from riskloom.functions.numbers import hour_angle, ratio
 from riskloom.operators.normalize import drop_columns
-from riskloom.operators.quality import any_missing, one_to_one_join
+from riskloom.operators.quality import any_missing, one_to_one_join, stop_on
 
 
 def date_features(df: DataFrame, date: str = "incident_date") -> DataFrame:
@@ -61,9 +61,8 @@ def _joined(claims: DataFrame, graph: DataFrame, columns: list[str], keep: tuple
 
 
 def _complete(data: DataFrame, columns: list[str]) -> DataFrame:
-    """A row without all graph features stops the job, in the same pass that reads it."""
-    missing = F.when(any_missing(columns), F.raise_error(F.lit("missing graph features after join")))
-    return data.withColumn(columns[0], F.coalesce(missing.cast("long"), F.col(columns[0])))
+    """A row without all graph features stops the job, whatever columns are read."""
+    return stop_on(data, any_missing(columns), "missing graph features after join")
 
 
 def graph_features(claims: DataFrame, graph: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:

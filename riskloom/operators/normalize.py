@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from riskloom.fixed import CARRIED_COLUMNS
 from riskloom.functions.text import strip
-from riskloom.operators.quality import check_dates, check_domain, require, DataQualityError
+from riskloom.operators.quality import DataQualityError, check_dates, check_domain, require, stop_on
 
 DEFAULT_SOURCE = "claims_raw"
 
@@ -64,22 +64,18 @@ def bad_rows(raw: DataFrame, formats: list[str] | None = None) -> DataFrame:
 def clean_raw(raw: DataFrame, strict: bool = True, formats: list[str] | None = None) -> DataFrame:
     """Trimmed raw rows with parsed dates and the boolean label.
 
-    A date or label that cannot be read stops the job that reads it, in the same pass,
-    unless `strict` is off: then it is missing. `bad_rows` lists such rows.
+    A row whose date or label cannot be read stops every job that reads the rows,
+    whatever columns it takes, unless `strict` is off: then the value is missing.
+    `bad_rows` lists such rows. Dates and labels are parsed once.
     """
     trimmed = trim_strings(raw)
-    parsed = map_label(parse_dates(trimmed, formats=formats))
+    parsed = map_label(parse_dates(trimmed.withColumn("_given", F.col("incident_date").cast("string")), formats=formats))
     if not strict:
-        return parsed
-
-    def must(name: str, source: str) -> Column:
-        said = F.concat(F.lit(f"{source} cannot be read: "), F.coalesce(F.col(f"_{source}").cast("string"), F.lit("missing")))
-        return F.when(F.col(name).isNull(), F.raise_error(said)).otherwise(F.col(name)).alias(name)
-
-    checked = {"incident_date": must("incident_date", "incident_date"), "fraud_label": must("fraud_label", "fraud_reported")}
-    kept = trimmed.withColumns({"_incident_date": F.col("incident_date"), "_fraud_reported": F.col("fraud_reported")})
-    kept = map_label(parse_dates(kept, formats=formats))
-    return kept.select(*[checked.get(c, F.col(f"`{c}`")) for c in parsed.columns])
+        return parsed.drop("_given")
+    tell = lambda name, value: F.concat(F.lit(f"{name} cannot be read: "), F.coalesce(F.col(value).cast("string"), F.lit("missing")))
+    no_date, no_label = F.col("incident_date").isNull(), F.col("fraud_label").isNull()
+    said = F.when(no_date, tell("incident_date", "_given")).otherwise(tell("fraud_reported", "fraud_reported"))
+    return stop_on(parsed, no_date | no_label, said).drop("_given")
 
 
 def canonical_policies(cleaned: DataFrame) -> DataFrame:

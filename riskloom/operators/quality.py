@@ -217,20 +217,30 @@ def check_partition(parts: DataFrame, full: DataFrame, key: str) -> DataFrame:
     return _with_status(rows_as_report(one_row, named, ("check", "violations")))
 
 
+def stop_on(df: DataFrame, bad: Column, said: Column | str) -> DataFrame:
+    """The rows as they are; a row where `bad` holds stops the job, in the same pass.
+
+    The test is a filter, so it is made whatever columns are read, by a count too. It
+    depends on a row number, which keeps the optimizer from moving it to where `bad`
+    would be computed once more, and from trying it on a row of nulls.
+    """
+    message = F.lit(said) if isinstance(said, str) else said
+    numbered = df.withColumn("_row", F.monotonically_increasing_id())
+    return numbered.where(F.when(bad & (F.col("_row") >= 0), F.raise_error(message).cast("boolean")).otherwise(F.lit(True))).drop("_row")
+
+
 def one_to_one_join(a: DataFrame, b: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """Join two tables whose key is unique on both sides; a repeated key stops the job.
 
     Rows per key are counted where the join has them sorted by key, so neither table is
-    read or shuffled once more for the check.
+    read or shuffled once more for the check. The check is made whatever columns are read.
     """
     each = Window.partitionBy(key)
     left, right = a.withColumn("_left_rows", F.count(F.lit(1)).over(each)), b.withColumn("_right_rows", F.count(F.lit(1)).over(each))
     joined = left.join(right, key, how)
     repeated = (F.col("_left_rows") > 1) | (F.col("_right_rows") > 1)
     said = F.concat(F.lit(f"repeated key {key}: "), F.coalesce(F.col(key).cast("string"), F.lit("missing")))
-    guarded = F.when(repeated, F.raise_error(said)).otherwise(F.col(key)).alias(key)
-    rest = [c for c in joined.columns if c not in (key, "_left_rows", "_right_rows")]
-    return joined.select(guarded, *rest)
+    return stop_on(joined, repeated, said).drop("_left_rows", "_right_rows")
 
 
 def any_missing(columns: list[str]) -> Column:

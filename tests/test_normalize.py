@@ -46,6 +46,10 @@ def test_unreadable_rows_are_refused(spark):
     assert sorted(tuple(r)[1:] for r in n.bad_rows(odd).collect()) == [("fraud_reported", "maybe"), ("incident_date", "13.06.2024")]
     with pytest.raises(Exception, match="cannot be read"):
         n.clean_raw(odd).select("incident_date", "fraud_label").collect()
+    for read in [lambda c: c.count(), lambda c: n.canonical_policies(c).collect(), lambda c: n.canonical_claims(c).count(), lambda c: n.canonical_claims(c).select("incident_city").collect()]:
+        for bad in (odd, odd.withColumn("incident_date", F.lit("2024-06-13")), odd.withColumn("fraud_reported", F.lit("N"))):
+            with pytest.raises(Exception, match="cannot be read"):
+                read(n.clean_raw(bad))
     assert n.clean_raw(odd, strict=False).first()["incident_date"] is None
     german = odd.withColumn("fraud_reported", F.lit("Y"))
     assert str(n.clean_raw(german, formats=["dd.MM.yyyy"]).first()["incident_date"]) == "2024-06-13"
@@ -58,3 +62,9 @@ def test_unreadable_rows_are_refused(spark):
 
 def test_drop_ignores_absent_names(spark):
     assert n.drop_columns(spark.range(1).withColumn("a", F.lit(1)), ["a", "b"]).columns == ["id"]
+
+
+def test_dates_are_parsed_once(spark):
+    """The guard reads the parsed columns and is not moved below them."""
+    plan = n.canonical_claims(n.clean_raw(raw(spark)))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("try_cast(") == 1 and plan.index("raise_error") < plan.index("try_cast(")

@@ -15,6 +15,11 @@ def test_duplicates_and_nulls(spark):
     assert status(q.check_not_null(df, ["k", "v"])) == {"not_null:k": (1, "fail"), "not_null:v": (1, "fail")}
     with pytest.raises(Exception, match="repeated key k"):
         q.one_to_one_join(df, df.selectExpr("k", "v as w"), "k").collect()
+    joined = q.one_to_one_join(df, df.selectExpr("k", "v as w"), "k", "left")
+    for read in (lambda: joined.count(), lambda: joined.select("v", "w").collect(), lambda: joined.where("v > 0").select("w").count()):
+        with pytest.raises(Exception, match="repeated key k"):
+            read()
+    assert sorted(map(tuple, q.one_to_one_join(df.where("v = 2"), df.where("v = 2").selectExpr("k", "v as w"), "k").collect())) == [("a", 2, 2)]
 
 
 def test_values(spark):
@@ -62,3 +67,5 @@ def test_missing_graph_features_stop_the_job(spark):
     )
     with pytest.raises(Exception, match="missing graph features"):
         graph_features(claims, graph).collect()
+    with pytest.raises(Exception, match="missing graph features"):
+        graph_features(claims, graph).select("incident_month").count()
