@@ -41,38 +41,47 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
 def _after(array: Column) -> Column:
     return F.slice(array, F.lit(2), F.size(array))
 
 
-def repeated_words(words: Column, window: int = WINDOW) -> Column:
-    """How many words stand in a window of words that is found twice or more in the text."""
+def _joined(hashes: Column, reach: int) -> Column:
+    """Hashes of runs of twice `reach` words from those of `reach` words."""
+    left, right = F.slice(hashes, F.lit(1), F.size(hashes) - reach), F.slice(hashes, F.lit(reach + 1), F.size(hashes) - reach)
+    return F.zip_with(left, right, lambda a, b: F.xxhash64(a, b))
+
+
+def repeated_words(words: Column) -> Column:
+    """How many words stand in a window of WINDOW words that is found twice or more in the
+    text. Windows are looked at only where runs of two and of four words repeat."""
 
     def covered(hashes: Column) -> Column:
         """Equal hashes are neighbours once sorted; each place covers up to the next one."""
-        sorted_ = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-        pair = lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])).otherwise(F.array().cast("array<int>"))
-        places = let(sorted_, lambda s: F.array_sort(F.array_distinct(F.flatten(F.zip_with(s, _after(s), pair)))))
-        reach = lambda a, b: F.least(F.lit(window), F.coalesce(b - a, F.lit(window)))
+        ordered = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        pair = lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"]))
+        places = let(ordered, lambda s: F.sort_array(F.array_distinct(F.flatten(F.array_compact(F.zip_with(s, _after(s), pair))))))
+        reach = lambda a, b: F.least(F.lit(WINDOW), F.coalesce(b - a, F.lit(WINDOW)))
         return let(places, lambda p: F.aggregate(F.zip_with(p, _after(p), reach), F.lit(0), lambda t, n: t + n))
 
-    hashes = F.transform(F.sequence(F.lit(1), F.size(words) - (window - 1)), lambda i: F.xxhash64(F.slice(words, i, F.lit(window))))
-    some = let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), covered(h)).otherwise(F.lit(0)))
-    return F.when(F.size(words) > window, some).otherwise(F.lit(0)).cast("long")
+    def grown(hashes: Column, reach: int) -> Column:
+        longer = covered(hashes) if reach == WINDOW else let(_joined(hashes, reach), lambda h: grown(h, 2 * reach))
+        return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), longer).otherwise(F.lit(0))
+
+    single = F.transform(words, lambda w: F.xxhash64(w))
+    return F.when(F.size(words) > WINDOW, let(single, lambda h: grown(h, 1))).otherwise(F.lit(0)).cast("long")
 
 
 def base_counts(text: Column, words: Column) -> dict[str, Column]:
     """The counts of the base rules, from a text and its words."""
-    text = F.coalesce(text, F.lit(""))
     # Lines without a word are no lines here.
     lines = F.filter(F.split(text, "\n", -1), lambda line: line.rlike(WORD))
     return {
         "n_words": F.size(words).cast("long"),
-        "word_chars": F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long"),
-        "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
+        "word_chars": (F.length(text) - F.length(F.regexp_replace(text, WORD, ""))).cast("long"),
+        "n_symbols": F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long"),
         "n_dup_lines": let(lines, lambda s: F.size(s) - F.size(F.array_distinct(s))).cast("long"),
         "n_repeat_words": repeated_words(words),
     }
@@ -86,22 +95,19 @@ def class_counts(text: Column) -> Column:
             return F.array(F.length(left))
         return let(F.regexp_replace(left, patterns[0], ""), lambda rest: F.concat(F.array(F.length(left) - F.length(rest)), count(rest, patterns[1:])))
 
-    return let(F.coalesce(text, F.lit("")), lambda t: count(t, CLASSES))
-
-
-def lowered(words: Column) -> Column:
-    return F.transform(words, lambda w: F.lower(w))
+    return let(text, lambda t: count(t, CLASSES))
 
 
-def common_counts(words: Column, common: Column) -> Column:
-    """How often each of the words in `common` stands among `words`, and all others."""
-    found = F.array_remove(F.transform(words, lambda w: F.array_position(common, F.lower(w)).cast("int")), F.lit(0))
+def common_counts(words: Column, common: Column, longest: Column) -> Column:
+    """How often each of the words in `common` stands among `words`, and how many others
+    there are. Words over `longest` bytes, the most of a common one, are others."""
+    short = F.transform(F.filter(words, lambda w: F.octet_length(w) <= longest), lambda w: F.lower(w))
 
-    def count(places: Column) -> Column:
-        each = F.transform(common, lambda w, k: F.size(places) - F.size(F.array_remove(places, (k + 1).cast("int"))))
-        return F.concat(each, F.array(F.size(words) - F.size(places)))
+    def count(found: Column) -> Column:
+        each = F.transform(common, lambda w: F.size(found) - F.size(F.array_remove(found, w)))
+        return let(each, lambda n: F.concat(n, F.array(F.size(words) - F.aggregate(n, F.lit(0), lambda t, c: t + c))))
 
-    return let(found, count)
+    return let(short, count)
 
 
 def distance(counts: Column, shares: Column) -> Column:
@@ -119,14 +125,15 @@ def distance(counts: Column, shares: Column) -> Column:
 
 
 def common_words(docs: DataFrame, text: str) -> DataFrame:
-    """`key, common`: the words that stand in most documents of a language, ties by word."""
+    """`key, common, longest`: the words that stand in most documents of a language, once
+    for each way a document spells them, ties by word; and the bytes of the longest."""
     words = docs.select("key", words_of(F.col(text)).alias("words")).where(F.size("words") >= REFERENCE_WORDS)
-    each = words.select("key", F.explode(F.array_distinct(lowered(F.col("words")))).alias("word")).where(F.length("word") <= LONGEST)
-    counts = each.groupBy("key", "word").agg(F.count(F.lit(1)).alias("n"))
+    each = words.select("key", F.explode(F.array_distinct("words")).alias("word")).select("key", F.lower("word").alias("word"))
+    counts = each.where(F.length("word") <= LONGEST).groupBy("key", "word").agg(F.count(F.lit(1)).alias("n"))
     best = Window.partitionBy("key").orderBy(F.desc("n"), "word")
     top = counts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= COMMON)
-    gathered = top.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("rank", "word"))).alias("top"))
-    return materialize(gathered.select("key", F.col("top.word").alias("common")), "common")
+    gathered = top.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("rank", "word"))).alias("top"), F.max(F.octet_length("word")).alias("longest"))
+    return materialize(gathered.select("key", F.col("top.word").alias("common"), "longest"), "common")
 
 
 def references(counted: DataFrame) -> DataFrame:
@@ -176,8 +183,9 @@ def judge_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", lan
     common = common_words(rows, "text")
     found = sized_join(rows, common, "key", "doc_id", _small(common), languages)
     listed = F.coalesce("common", F.array().cast("array<string>"))
-    told = let(words_of(F.col("text")), lambda w: F.struct(*[c.alias(n) for n, c in base_counts(F.col("text"), w).items()], common_counts(w, listed).alias("common_counts")))
-    counted = found.select("doc_id", "key", told.alias("told"), class_counts(F.col("text")).alias("classes")).select("doc_id", "key", "told.*", "classes")
+    own = F.coalesce("text", F.lit(""))
+    told = let(words_of(own), lambda w: F.struct(*[c.alias(n) for n, c in base_counts(own, w).items()], common_counts(w, listed, F.coalesce("longest", F.lit(0))).alias("common_counts")))
+    counted = found.select("doc_id", "key", told.alias("told"), class_counts(own).alias("classes")).select("doc_id", "key", "told.*", "classes")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     counted = materialize(counted.withColumn("base_failed", failed), "counted")
     known = references(counted)

@@ -50,11 +50,12 @@ def verdicts(docs):
     kept = {}
     for lang in {x for x, _ in docs.values()}:
         own = [i for i in docs if docs[i][0] == lang]
-        seen = Counter(w for i in own if len(split[i]) >= op.REFERENCE_WORDS for w in {w.lower() for w in split[i]} if len(w) <= op.LONGEST)
+        seen = Counter(w for i in own if len(split[i]) >= op.REFERENCE_WORDS for w in set(split[i]) for w in [w.lower()] if len(w) <= op.LONGEST)
         common = [w for w, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0].encode()))[: op.COMMON]]
         counts = {}
         for i in own:
-            found = Counter(w.lower() for w in split[i])
+            longest = max((len(w.encode()) for w in common), default=0)
+            found = Counter(w.lower() for w in split[i] if len(w.encode()) <= longest)
             each = [found[w] for w in common]
             counts[i] = [*each, len(split[i]) - sum(each)]
         usable = [i for i in own if len(split[i]) >= op.REFERENCE_WORDS and not base[i][-1]]
