@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -11,17 +12,23 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml import Pipeline
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from riskloom.fixed import DEFAULT_TOP_K
+from riskloom.operators.cells import Cells, deal, hash_sample, matrix, nearest, squared, together, visits
 from riskloom.session import materialize
 
-# Queries and chunks that meet in one task. Both tables may be larger than any memory.
-QUERY_ROWS = 2048
-CHUNK_ROWS = 16_384
+# Rows for each cell of the exact search, as many as make a task worth while.
+CELL_ROWS = 4096
+
+# The approximate search scores by codes first, and reads so many vectors for each row
+# asked for. Its probes reach the stated recall on a sample of so many queries.
+REREAD = 10
+TRIAL_QUERIES = 256
+STATED_RECALL = 0.95
 
 # Distances computed at a time within a task.
 TILE_CELLS = 4_000_000
@@ -77,12 +84,6 @@ def _checked_k(k: int | None) -> int:
     return k
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    """Rows of a list column, all of one length, as a matrix of doubles."""
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1)
-
-
 def _keep_best(found: pa.Table, k: int) -> pa.Table:
     """The k nearest rows per query, ties by chunk id."""
     found = found.group_by(["query", "chunk_id"]).aggregate([("distance", "min")])
@@ -121,7 +122,7 @@ def _meet(chunks: DataFrame, queries: DataFrame, keys: list[str], k: int) -> Dat
         if not len(chunks) or not len(queries):
             return pa.table({f.name: pa.array([], t) for f, t in zip(schema, [queries.schema.field("query_id").type, chunks.schema.field("chunk_id").type, pa.float64()], strict=True)})
         one = lambda t, c: t[c].combine_chunks()
-        best = _search(_matrix(one(queries, "embedding")), _matrix(one(chunks, "embedding")), one(chunks, "chunk_id"), k)
+        best = _search(matrix(one(queries, "embedding")), matrix(one(chunks, "embedding")), one(chunks, "chunk_id"), k)
         return pa.table({"query_id": one(queries, "query_id").take(best["query"].combine_chunks()), "chunk_id": best["chunk_id"], "distance": best["distance"]})
 
     return chunks.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(nearest, schema)
@@ -131,85 +132,151 @@ def _usable(table: DataFrame, name: str) -> DataFrame:
     return table.select(name, "embedding").where("embedding is not null")
 
 
-def _blocks(rows: int, size: int) -> int:
-    return max(1, -(-rows // size))
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    by_distance = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
+    return found.withColumn("rank", F.row_number().over(by_distance).cast("long")).where(F.col("rank") <= k)
 
 
-def _every(n: Column | int) -> Column:
-    return F.explode(F.sequence(F.lit(0), (F.lit(n) if isinstance(n, int) else n) - 1))
+@dataclass(frozen=True)
+class Search:
+    """`found` as `topk_cosine` returns it, and `effort`, one row: `queries, rows, cells`,
+    `visits` (queries times the cells they were compared with), `compared` (rows in these),
+    and `vectors_read` (those of them whose vectors were read)."""
 
+    found: DataFrame
+    effort: DataFrame
 
-def _place(name: str, n: Column | int) -> Column:
-    return F.pmod(F.xxhash64(name, "embedding"), F.lit(n) if isinstance(n, int) else n).cast("int")
 
+def _effort(queries: DataFrame, index: Cells, visits: DataFrame, vectors_read: DataFrame | None) -> DataFrame:
+    """From written tables: a row for each visit with `visited`, and a row for each vector read."""
+    sizes = [(c, int(n)) for c, n in enumerate(index.sizes)]
+    sizes = F.broadcast(visits.sparkSession.createDataFrame(sizes, "visited int, n long"))
+    made = visits.join(sizes, "visited").agg(F.count(F.lit(1)).alias("visits"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("compared"))
+    asked = queries.agg(F.count(F.lit(1))).scalar()
+    read = F.col("compared") if vectors_read is None else vectors_read.agg(F.count(F.lit(1))).scalar()
+    rows, cells = int(index.sizes.sum()), int((index.sizes > 0).sum())
+    return made.select(asked.alias("queries"), F.lit(rows).cast("long").alias("rows"), F.lit(cells).cast("long").alias("cells"), "visits", "compared", read.alias("vectors_read"))
 
-def _ranked(found: DataFrame, k: int) -> DataFrame:
-    by_distance = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
-    return found.withColumn("rank", F.row_number().over(by_distance).cast("long")).where(F.col("rank") <= k)
 
+def search_exact(queries: DataFrame, chunks: DataFrame, k: int | None = DEFAULT_TOP_K, cell_rows: int | None = None) -> Search:
+    """The k nearest chunks of each query, exactly, without comparing what cannot be near.
 
-def topk_cosine(queries: DataFrame, chunks: DataFrame, k: int | None = DEFAULT_TOP_K) -> DataFrame:
-    """The k nearest chunks `chunk_id, embedding` per query `query_id, embedding` (unit
-    vectors), exactly: rows `query_id, chunk_id, distance, rank`, ties by chunk id.
-
-    Both tables are dealt into blocks by a hash, and every block of queries meets every
-    block of chunks in a task of its own, which passes on its k nearest per query. Nothing
-    goes through the driver but two counts.
+    Chunks are dealt into cells around centres. Every query is compared with its own cell first,
+    which gives a k-th nearest distance; then with every other cell that can hold a
+    nearer one by the product with its centre and its radius. Chunks of unit length lie
+    the nearer to their centres the more structure they have; without any, every cell
+    is visited, and only then is the work that of all pairs. Large cells are dealt over
+    several tasks, and so are the queries that visit a cell.
     """
     k = _checked_k(k)
     queries, chunks = materialize(_usable(queries, "query_id"), "queries"), materialize(_usable(chunks, "chunk_id"), "chunks")
-    query_blocks, chunk_blocks = _blocks(queries.count(), QUERY_ROWS), _blocks(chunks.count(), CHUNK_ROWS)
-    left = chunks.withColumn("_c", _place("chunk_id", chunk_blocks)).withColumn("_q", _every(query_blocks))
-    right = queries.withColumn("_q", _place("query_id", query_blocks)).withColumn("_c", _every(chunk_blocks))
-    return _ranked(_meet(left, right, ["_q", "_c"], k), k)
-
+    rows = chunks.count()
+    index = deal(chunks, "chunk_id", -(-rows // (cell_rows or CELL_ROWS)))
+    schema = T.StructType([queries.schema["query_id"], chunks.schema["chunk_id"], T.StructField("distance", T.DoubleType())])
+    if rows == 0 or queries.isEmpty():
+        empty = queries.sparkSession.createDataFrame([], schema)
+        return Search(_ranked(empty, k), _effort(queries, index, queries.select(F.lit(0).alias("visited")).where("false"), None))
+    own = materialize(visits(queries, index, nearest(1)), "visits")
+    found = materialize(_meet(*together(index.rows, own, index, "chunk_id", "query_id"), k), "found")
+    if (index.sizes > 0).sum() == 1:
+        return Search(_ranked(found, k), _effort(queries, index, own, None))
+    kth = _ranked(found, k).where(F.col("rank") == k).select("query_id", F.col("distance").alias("kth"))
+    asked = own.withColumnRenamed("visited", "own").join(kth, "query_id", "left")
+
+    def can_hold(x, products, bounds, batch):
+        worst = batch.column("kth").to_numpy(zero_copy_only=False).astype(float)
+        worst = np.where(np.isnan(worst), np.inf, worst)
+        chosen = 1 - bounds <= worst[:, None] + 10.0**-DIGITS
+        chosen[np.arange(len(x)), batch.column("own").to_numpy()] = False
+        return chosen
+
+    other = materialize(visits(asked, index, can_hold).select("query_id", "embedding", "visited"), "visits")
+    if not other.isEmpty():
+        found = found.unionByName(_meet(*together(index.rows, other, index, "chunk_id", "query_id"), k))
+    return Search(_ranked(found, k), _effort(queries, index, own.select("visited").unionByName(other.select("visited")), None))
 
-def signatures(table: DataFrame, name: str, tables: int, bits: int, seed: int, dimensions: int) -> DataFrame:
-    """`name, embedding, buckets`: for each of several tables, the sides of random planes
-    that a vector lies on, as one number."""
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes = np.random.default_rng(seed).standard_normal((tables, bits, dimensions))
+def topk_cosine(queries: DataFrame, chunks: DataFrame, k: int | None = DEFAULT_TOP_K) -> DataFrame:
+    """The k nearest chunks `chunk_id, embedding` per query `query_id, embedding` (unit
+    vectors), exactly: rows `query_id, chunk_id, distance, rank`, ties by chunk id. See
+    `search_exact`; neither table goes through the driver."""
+    return search_exact(queries, chunks, k).found
+
+
+def probes_for(index: Cells, queries: np.ndarray, k: int, wanted: float) -> int:
+    """How many cells a query has to visit so that the stated share of its k nearest lies
+    in them, measured on the sample that the centres were fitted on. In all rows the nearest are
+    nearer than in a sample, so fewer visits would do."""
+    if not len(queries) or not len(index.sample):
+        return 1
+    home = squared(index.sample, index.centres).argmin(axis=1)
+    products = np.where(index.sizes > 0, queries @ index.centres.T, -np.inf)
+    place = np.argsort(np.argsort(-products, axis=1, kind="stable"), axis=1, kind="stable")
+    k = min(k, len(index.sample))
+    hits = np.argpartition(-(queries @ index.sample.T), k - 1, axis=1)[:, :k]
+    needed = np.sort(np.take_along_axis(place, home[hits], axis=1).ravel())
+    return int(needed[min(len(needed) - 1, int(np.ceil(wanted * len(needed))))]) + 1
+
+
+def with_codes(rows: DataFrame) -> DataFrame:
+    """Index rows with their vectors as one byte a component, and the value of a step."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                sides = np.einsum("nd,tbd->ntb", _matrix(batch.column("embedding")), planes) > 0
-                buckets = (sides @ (1 << np.arange(bits))).astype(np.int32)
-                lists = pa.FixedSizeListArray.from_arrays(pa.array(buckets.ravel()), tables).cast(pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*batch.columns, lists], [name, "embedding", "buckets"])
-
-    usable = _usable(table, name)
-    schema = T.StructType([*usable.schema, T.StructField("buckets", T.ArrayType(T.IntegerType()))])
-    return usable.mapInArrow(sign, schema)
-
-
-def topk_cosine_lsh(
-    queries: DataFrame,
-    chunks: DataFrame,
-    k: int | None = DEFAULT_TOP_K,
-    tables: int = 8,
-    bits: int = 4,
-    seed: int = 42,
-) -> DataFrame:
-    """As `topk_cosine`, but looking only at chunks that fall on the same side of random
-    planes as the query, in one of several tables. Distances are exact; near chunks may
-    be missed, the fewer the more tables; more bits have each query read less.
-
-    Signatures are written once. Queries and chunks meet by table and bucket; a bucket
-    with more than CHUNK_ROWS chunks is dealt over several tasks.
+                x = matrix(batch.column("embedding"))
+                step = np.maximum(np.abs(x).max(axis=1), 1e-300) / 127
+                codes = np.rint(x / step[:, None]).astype(np.int8)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("chunk_id"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(step), batch.column("cell"), batch.column("away")],
+                    ["chunk_id", "code", "step", "cell", "away"],
+                )
+
+    extra = [T.StructField("code", T.BinaryType()), T.StructField("step", T.DoubleType())]
+    return rows.mapInArrow(encode, T.StructType([rows.schema["chunk_id"], *extra, rows.schema["cell"], rows.schema["away"]]))
+
+
+def search_cells(queries: DataFrame, chunks: DataFrame, k: int | None = DEFAULT_TOP_K, wanted: float = STATED_RECALL) -> Search:
+    """The k nearest chunks of each query, nearly: distances are exact, and the share of
+    nearest chunks found is about `wanted`.
+
+    A query visits as many of the nearest cells as the stated recall needs (`probes_for`).
+    What visits it meets are codes of a byte a component; only the vectors of the best
+    REREAD times k by their codes are read, by id.
     """
     k = _checked_k(k)
-    first = queries.select(F.size("embedding").alias("n")).where("n > 0").first()
-    dimensions = first["n"] if first else 1
-    signed = materialize(signatures(chunks, "chunk_id", tables, bits, seed, dimensions), "signatures")
-    asked = materialize(signatures(queries, "query_id", tables, bits, seed, dimensions), "signatures")
-    by_bucket = lambda t: t.select("*", F.posexplode("buckets").alias("_table", "_bucket")).drop("buckets")
-    # One row per table and bucket: tables * 2 ** bits at most.
-    counts = by_bucket(signed).groupBy("_table", "_bucket").agg(F.ceil(F.count(F.lit(1)) / CHUNK_ROWS).cast("int").alias("_parts"))
-    counts = F.broadcast(materialize(counts, "buckets"))
-    left = by_bucket(signed).join(counts, ["_table", "_bucket"]).withColumn("_part", _place("chunk_id", F.col("_parts")))
-    right = by_bucket(asked).join(counts, ["_table", "_bucket"]).withColumn("_part", _every(F.col("_parts")))
-    found = _meet(left.drop("_parts"), right.drop("_parts"), ["_table", "_bucket", "_part"], k)
-    return _ranked(found.groupBy("query_id", "chunk_id").agg(F.min("distance").alias("distance")), k)
+    queries, chunks = materialize(_usable(queries, "query_id"), "queries"), materialize(_usable(chunks, "chunk_id"), "chunks")
+    index = deal(chunks, "chunk_id", round(chunks.count() ** 0.5))
+    coded = materialize(with_codes(index.rows), "codes")
+    probes = probes_for(index, hash_sample(queries, "query_id", TRIAL_QUERIES), k, wanted)
+    visiting = materialize(visits(queries, index, nearest(probes)), "visits")
+    schema = T.StructType([queries.schema["query_id"], chunks.schema["chunk_id"], T.StructField("distance", T.DoubleType())])
+    kept = REREAD * k
+
+    def by_code(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        rows, asked = rows.combine_chunks(), asked.combine_chunks()
+        x = matrix(asked["embedding"])
+        codes = np.frombuffer(b"".join(rows["code"].to_pylist()), np.int8).reshape(len(rows), -1).astype(np.float32)
+        near = (x.astype(np.float32) @ codes.T) * rows["step"].to_numpy().astype(np.float32)
+        if near.shape[1] > kept:
+            best = np.argpartition(-near, kept - 1, axis=1)[:, :kept]
+        else:
+            best = np.broadcast_to(np.arange(near.shape[1]), near.shape)
+        query = np.repeat(np.arange(len(x)), best.shape[1])
+        found = asked.select(["query_id"]).take(pa.array(query))
+        return found.append_column("chunk_id", rows["chunk_id"].combine_chunks().take(pa.array(best.ravel()))).append_column(
+            "distance", pa.array(1.0 - np.take_along_axis(near, best, 1).ravel().astype(np.float64))
+        )
+
+    left, right, keys = together(coded, visiting, index, "chunk_id", "query_id")
+    guessed = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(by_code, schema)
+    best = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
+    chosen = guessed.withColumn("place", F.row_number().over(best)).where(F.col("place") <= kept)
+    chosen = materialize(chosen.select("query_id", "chunk_id"), "chosen")
+    product = F.aggregate(F.zip_with("asked", "embedding", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda t, p: t + p)
+    exact = chosen.join(chunks, "chunk_id").join(queries.withColumnRenamed("embedding", "asked"), "query_id").select("query_id", "chunk_id", F.round(1 - product, DIGITS).alias("distance"))
+    found = _ranked(exact.groupBy("query_id", "chunk_id").agg(F.min("distance").alias("distance")), k)
+    return Search(found, _effort(queries, index, visiting, chosen))
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

@@ -44,8 +44,19 @@ def embed_chunks(s, d):
 
 
 def topk_recall(s, d):
+    """The approximate search with what it read, against the exact one."""
     queries, table = vector_queries(s, d), vectors(s, d)
-    return retrieval.recall(retrieval.topk_cosine_lsh(queries, table), retrieval.topk_cosine(queries, table))
+    near = retrieval.search_cells(queries, table)
+    found = retrieval.recall(near.found, retrieval.topk_cosine(queries, table))
+    read = near.effort.select((F.col("vectors_read") < 0.1 * F.col("queries") * F.col("rows")).alias("under_tenth_read")).scalar()
+    return found.select("exact_rows", (F.col("recall") >= 0.9).alias("recall_reached"), read.alias("under_tenth_read"))
+
+
+def topk_effort(s, d):
+    """What both searches read, with cells small enough for these tables to have several."""
+    queries, table = vector_queries(s, d), vectors(s, d)
+    exact, near = retrieval.search_exact(queries, table, cell_rows=64), retrieval.search_cells(queries, table)
+    return exact.effort.withColumn("search", F.lit("exact")).unionByName(near.effort.withColumn("search", F.lit("cells")))
 
 
 _space = r"[\t-\r\x1c-\x20\x{85}\pZ]"
@@ -99,4 +110,9 @@ add(
     lambda s, d: retrieval.topk_cosine(vector_queries(s, d), vectors(s, d)).withColumn("distance", F.round("distance", 6) + 0.0),
     f"WITH {TOPK} SELECT query_id, chunk_id, round(distance, 6) + 0.0 AS distance, rank FROM hits",
 )
-add("topk_recall", topk_recall)
+add(
+    "topk_recall",
+    topk_recall,
+    "SELECT count(*) * least(3, count(*)) AS exact_rows, TRUE AS recall_reached, TRUE AS under_tenth_read FROM embeddings",
+)
+add("topk_effort", topk_effort)

@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.ml import PipelineModel
 
+from riskloom.operators import cells as c
 from riskloom.operators import retrieval as r
 
 
@@ -31,11 +32,12 @@ def found(df):
     return {(x["query_id"], x["rank"]): (x["chunk_id"], round(x["distance"], 9)) for x in df.collect()}
 
 
-@pytest.mark.parametrize("query_rows,chunk_rows,cells", [(2048, 16_384, 4_000_000), (7, 30, 50)])
-def test_exact_with_copies(spark, monkeypatch, query_rows, chunk_rows, cells):
+@pytest.mark.parametrize("query_rows,part_rows,cell_rows,cells", [(2048, 16_384, 4096, 4_000_000), (7, 30, 25, 50)])
+def test_exact_with_copies(spark, monkeypatch, query_rows, part_rows, cell_rows, cells):
     """A third of the chunks are copies of one vector; ties go to the smallest id."""
-    monkeypatch.setattr(r, "QUERY_ROWS", query_rows)
-    monkeypatch.setattr(r, "CHUNK_ROWS", chunk_rows)
+    monkeypatch.setattr(c, "QUERY_ROWS", query_rows)
+    monkeypatch.setattr(c, "PART_ROWS", part_rows)
+    monkeypatch.setattr(r, "CELL_ROWS", cell_rows)
     monkeypatch.setattr(r, "TILE_CELLS", cells)
     queries, vectors = unit(20, 16, 1), unit(200, 16, 2)
     vectors[100:170] = vectors[3]
@@ -54,17 +56,49 @@ def test_k(spark):
     assert r.topk_cosine(queries.limit(0), vectors).count() == 0
 
 
-@pytest.mark.parametrize("chunk_rows", [16_384, 9])
-def test_lsh_finds_only_true_distances(spark, monkeypatch, chunk_rows):
-    monkeypatch.setattr(r, "CHUNK_ROWS", chunk_rows)
-    queries, vectors = unit(30, 16, 3), unit(300, 16, 4)
+def grouped(n, groups, d, seed):
+    """Vectors in tight groups, as embeddings of related texts are."""
+    rng = np.random.default_rng(seed)
+    v = rng.standard_normal((groups, d))[rng.integers(groups, size=n)] + 0.05 * rng.standard_normal((n, d))
+    return (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+
+
+def test_exact_skips_cells(spark):
+    """Grouped vectors: few cells are visited, and nothing is lost."""
+    queries, vectors = grouped(60, 12, 16, 5), grouped(600, 12, 16, 5)
+    ids = list(range(600))
+    search = r.search_exact(table(spark, queries, "query_id"), table(spark, vectors, "chunk_id"), 4, cell_rows=50)
+    assert found(search.found) == brute(queries, vectors, ids, 4)
+    effort = search.effort.first()
+    assert effort["queries"] == 60 and effort["rows"] == 600 and effort["compared"] < 0.4 * 60 * 600
+
+
+def test_exact_of_any_length(spark):
+    """Bounds hold for vectors of any length, zero ones too."""
+    rng = np.random.default_rng(9)
+    queries, vectors = rng.standard_normal((20, 8)).astype(np.float32), (rng.standard_normal((200, 8)) * rng.exponential(1, (200, 1))).astype(np.float32)
+    vectors[:5] = 0
+    search = r.search_exact(table(spark, queries, "query_id"), table(spark, vectors, "chunk_id"), 3, cell_rows=20)
+    assert found(search.found) == brute(queries, vectors, list(range(200)), 3)
+
+
+@pytest.mark.parametrize("part_rows", [16_384, 9])
+@pytest.mark.parametrize("make", [unit, lambda n, d, seed: grouped(n, 25, d, seed % 2)])
+def test_cells_find_the_stated_share(spark, monkeypatch, part_rows, make):
+    monkeypatch.setattr(c, "PART_ROWS", part_rows)
+    queries, vectors = make(100, 24, 3), make(1500, 24, 5)
     q, v = table(spark, queries, "query_id"), table(spark, vectors, "chunk_id")
-    exact, near = r.topk_cosine(q, v, 3), r.topk_cosine_lsh(q, v, 3)
+    exact, near = r.topk_cosine(q, v, 3), r.search_cells(q, v, 3)
     distances = 1 - queries.astype(float) @ vectors.astype(float).T
-    for row in near.collect():
+    for row in near.found.collect():
         assert row["distance"] == pytest.approx(distances[row["query_id"], row["chunk_id"]], abs=1e-9)
-    assert r.recall(near, exact).first()["recall"] > 0.5
+    assert r.recall(near.found, exact).first()["recall"] >= 0.9
     assert r.recall(exact, exact).first()["recall"] == 1.0
+    effort = near.effort.first()
+    assert effort["vectors_read"] <= 100 * r.REREAD * 3 and effort["compared"] <= 100 * 1500
+    if make is not unit:
+        assert effort["compared"] < 0.2 * 100 * 1500
+    assert r.search_cells(q.limit(0), v).found.count() == 0
 
 
 def test_built_in_encoder(spark):
