@@ -72,8 +72,7 @@ def op8_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
-    index = materialize(nearest.build_index(vectors), "index")
-    return nearest.search(index, vectors.where(F.col("vec_id") % 50 == 0))
+    return nearest.search(nearest.build_index(vectors), vectors.where(F.col("vec_id") % 50 == 0))
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

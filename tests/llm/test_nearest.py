@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from riskloom.llm import nearest as op
+from riskloom.operators import cells
 from tests.conftest import SF
 
 
@@ -17,9 +18,11 @@ def brute(rows, asked, k=5):
 
 @pytest.fixture
 def small_blocks(monkeypatch):
-    monkeypatch.setattr(op, "INDEX_BLOCK", 100)
-    monkeypatch.setattr(op, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(op, "CELL_ROWS", 100)
+    monkeypatch.setattr(cells, "PART_ROWS", 60)
+    monkeypatch.setattr(cells, "QUERY_ROWS", 4)
     monkeypatch.setattr(op, "AT_ONCE", 3)
+    monkeypatch.setattr(op, "SCORED_FIRST", 20)
 
 
 def test_recall(spark, small_blocks):
@@ -60,3 +63,24 @@ def test_cases(spark, small_blocks):
     none = vectors.where("false")
     assert op.search(op.build_index(none), none).count() == 0
     assert op.search(op.build_index(vectors), none).count() == 0
+
+
+def test_cells_are_skipped(spark, small_blocks):
+    """Grouped vectors: most cells cannot hold a near row and are not visited; with the
+    error bound wide, nothing is lost."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((10, 32))[rng.integers(10, size=800)] + 0.05 * rng.standard_normal((800, 32))
+    vectors = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    index = op.build_index(vectors)
+    assert index[1].cells() == 8
+    rows = [(r["vec_id"], r["embedding"]) for r in vectors.collect()]
+    want = brute(rows, rows[::50])
+    got = {}
+    for r in op.search(index, vectors.where("vec_id % 50 = 0")).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert sum(got[q][i][0] == want[q][i][0] for q in want for i in range(5)) >= 0.95 * 5 * len(want)
+    radius, held = np.zeros(8), np.ones(8, bool)
+    for r in index[0].groupBy("cell").agg({"away": "max"}).collect():
+        radius[r["cell"]] = r["max(away)"]
+    asked = op.usable(vectors.where("vec_id % 50 = 0"), "vec_id", "embedding").selectExpr("id", "vector", "size", "0.95D AS least")
+    assert op._visits(asked, index[1], radius, held, True).count() < 16 * 2
