@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from contextlib import suppress
+from functools import wraps
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -50,3 +54,44 @@ def groups(starts: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
 def stamped(texts: pa.Array) -> list[str]:
     """Python strings; null is empty."""
     return pc.fill_null(texts, "").to_pylist()
+
+
+_owner: str | None = None
+_kept: dict[Any, Any] = {}
+
+
+def kept(owner: str, key: Any, make: Callable[[], Any]) -> Any:
+    """What the tasks of one operator share in a worker. It goes as soon as a task of another
+    operator runs there, so that what one stage has kept is no burden on the next."""
+    only(owner)
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
+def only(owner: str) -> None:
+    global _owner
+    if owner != _owner:
+        _kept.clear()
+        _owner = owner
+
+
+def tidied(owner: str) -> Callable[[Callable], Callable]:
+    """For functions over the batches of a task: lets go what other operators have kept in
+    the worker, and gives unused memory back to the machine when the task ends, as workers
+    go on to other tasks."""
+
+    def decorate(function: Callable) -> Callable:
+        @wraps(function)
+        def run(batches):
+            only(owner)
+            try:
+                yield from function(batches)
+            finally:
+                pa.default_memory_pool().release_unused()
+                with suppress(OSError, AttributeError):
+                    ctypes.CDLL(None).malloc_trim(0)
+
+        return run
+
+    return decorate

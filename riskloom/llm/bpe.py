@@ -6,13 +6,12 @@ import hashlib
 import json
 from array import array
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.batches import bound_batches, stamped
+from riskloom.llm.batches import bound_batches, kept, stamped, tidied
 from riskloom.llm.pretokens import read_tokenizer, special_ids, splitter
 
 NEVER = 1 << 40
@@ -21,7 +20,7 @@ NEVER = 1 << 40
 # is emptied when it is full.
 REMEMBERED = 200_000
 LONG_PIECE = 64
-PAIRS = 1_000_000
+PAIRS = 300_000
 
 ROW = "struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>"
 
@@ -147,9 +146,8 @@ class Encoder:
         return b"".join(map(self.bytes.__getitem__, memoryview(ids).cast("I"))).decode("utf-8", "replace")
 
 
-@lru_cache(2)
 def encoder(text: str) -> Encoder:
-    return Encoder(text)
+    return kept("bpe", text, lambda: Encoder(text))
 
 
 def encode_documents(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -163,6 +161,7 @@ def encode_documents(docs: DataFrame, path: str, id: str = "doc_id", text: str =
     table = docs.sparkSession.sparkContext.broadcast(read_tokenizer(path))
 
     @F.arrow_udf("array<int>")
+    @tidied("bpe")
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model, parts = encoder(table.value), splitter(table.value)
         for texts in batches:
@@ -185,6 +184,7 @@ def decode_ids(encoded: DataFrame, path: str, id: str = "doc_id", ids: str = "id
     table = encoded.sparkSession.sparkContext.broadcast(read_tokenizer(path))
 
     @F.arrow_udf("string")
+    @tidied("bpe")
     def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = encoder(table.value)
         for rows in batches:
@@ -201,6 +201,7 @@ def round_trip(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text
     table = docs.sparkSession.sparkContext.broadcast(read_tokenizer(path))
 
     @F.arrow_udf(ROW)
+    @tidied("bpe")
     def digests(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model, parts = encoder(table.value), splitter(table.value)
         for texts in batches:

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.batches import bound_batches, flat_bytes, groups
+from riskloom.llm.batches import bound_batches, flat_bytes, groups, tidied
 from riskloom.session import materialize
 
 # Bytes before the predicted one that a context may hold.
@@ -34,7 +34,7 @@ PAD = 10
 BLOCK = 1 << 20
 
 UNDETERMINED = "und"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 def grams(flat: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
@@ -261,6 +261,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
     frozen = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang:string,score:double>")
+    @tidied("language_id")
     def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = frozen.value
         for texts in batches:
@@ -275,5 +276,5 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores)], ["lang", "score"])
 
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    judged = docs.withColumn("_judged", judge(F.col(text)))
-    return judged.select(*kept, F.col("_judged.lang").alias("lang_pred"), F.col("_judged.score").alias("score"))
+    judged = docs.select(F.struct(*docs.columns).alias("row"), judge(F.col(text)).alias("judged"))
+    return judged.select(*[F.col("row")[c].alias(c) for c in kept], F.col("judged.lang").alias("lang_pred"), F.col("judged.score").alias("score"))

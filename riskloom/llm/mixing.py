@@ -167,8 +167,8 @@ def mix_documents(
     rows = materialize(sized(docs, id, source, count_words(F.col(text))), "sized")
     mix = plan_mix(rows, budget, entropy, repetition)
     cuts = cut_keys(rows, mix, seed).select(F.col("source").alias("_source"), F.col("copies").alias("_copies"), F.col("last_key").alias("_last"))
-    own = docs.withColumn("doc_id_", F.col(id)).withColumn("_join", F.col(source).cast("string"))
+    own = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id).cast("string").alias("_id"), F.col(source).cast("string").alias("_join"))
     joined = own.join(cuts, F.col("_join").eqNullSafe(F.col("_source")))
-    key = F.md5(F.concat_ws("|", F.lit(seed), F.col("_copies"), F.coalesce(F.col("doc_id_").cast("string"), F.lit("null"))))
+    key = F.md5(F.concat_ws("|", F.lit(seed), F.col("_copies"), F.coalesce("_id", F.lit("null"))))
     times = F.col("_copies") + F.coalesce((key <= F.col("_last")).cast("int"), F.lit(0))
-    return joined.where(times > 0).withColumn("_time", F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
+    return joined.where(times > 0).select("_row", F.explode(F.sequence(F.lit(1), times)).alias("_time")).select("_row.*")

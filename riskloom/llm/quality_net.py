@@ -7,15 +7,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.batches import bound_batches, flat_bytes, groups
+from riskloom.llm.batches import bound_batches, flat_bytes, groups, tidied
 
 # Labelled rows that the network is fitted on, half of them of either label, drawn by a
 # hash, and the longest text among them. Bounds the fit, whatever the number of labels.
 TRAIN_ROWS = 2400
 TRAIN_TEXT_BYTES = 40_000
+PIECES = 16
 EPOCHS = 12
 RATE = 0.01
 
@@ -199,8 +200,19 @@ def gradients(net: Net, chunks: np.ndarray, n: np.ndarray, labels: np.ndarray, w
     ]
 
 
+def bounded(text: str) -> Column:
+    """A text of TRAIN_TEXT_BYTES at most: of a longer one PIECES pieces from its beginning
+    to its end, one a line."""
+    n = F.char_length(text)
+    size = F.greatest(F.lit(1), F.floor(n * (TRAIN_TEXT_BYTES / PIECES) / F.octet_length(text)) - 1).cast("int")
+    piece = lambda i: F.substr(F.col(text), F.floor(i * (n - size) / (PIECES - 1)).cast("int") + 1, size)
+    pieces = F.array_join(F.array(*[piece(F.lit(i)) for i in range(PIECES)]), "\n")
+    return F.when(F.octet_length(text) > TRAIN_TEXT_BYTES, pieces).otherwise(F.col(text))
+
+
 def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality") -> Net | float:
-    """Fit on a bounded sample of labelled whole texts (TRAIN_ROWS, TRAIN_TEXT_BYTES).
+    """Fit on a bounded sample of labelled texts: of each label the first TRAIN_ROWS / 2 ids
+    by their hash, texts whole up to TRAIN_TEXT_BYTES and in pieces beyond.
 
     `labels` holds `id` and a label 0 or 1; other labels and nulls are left out. With one
     label only, its value is returned in place of a network, 0.5 without any.
@@ -209,11 +221,10 @@ def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(counts) < 2:
         return float(next(iter(counts), 0.5))
-    share = F.when(F.col("label") == 1, F.lit(TRAIN_ROWS / 2 / counts[1])).otherwise(F.lit(TRAIN_ROWS / 2 / counts[0]))
-    drawn = known.where(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < share * 1_000_003)
-    # About TRAIN_ROWS ids whatever the input, so they may be broadcast.
-    rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).join(F.broadcast(drawn), "id")
-    sample = rows.where(F.octet_length("text") <= TRAIN_TEXT_BYTES).select("id", "text", "label").toArrow().sort_by([("id", "ascending"), ("text", "ascending")])
+    drawn = [known.where(F.col("label") == x).dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(TRAIN_ROWS // 2) for x in (0, 1)]
+    # TRAIN_ROWS ids at most, so they may be broadcast; of an id that is repeated one text is taken.
+    rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).join(F.broadcast(drawn[0].unionByName(drawn[1])), "id")
+    sample = rows.groupBy("id", "label").agg(F.min(bounded("text")).alias("text")).toArrow().sort_by([("id", "ascending"), ("text", "ascending"), ("label", "ascending")])
     values = sample["label"].to_numpy().astype(np.float32)
     if len(set(values)) < 2:
         return float(values[0]) if len(values) else 0.5
@@ -231,6 +242,7 @@ def score_quality(docs: DataFrame, net: Net | float, text: str = "text") -> Data
     frozen = docs.sparkSession.sparkContext.broadcast(net)
 
     @F.arrow_udf("double")
+    @tidied("quality_net")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         net = frozen.value
         for texts in batches:
@@ -241,5 +253,5 @@ def score_quality(docs: DataFrame, net: Net | float, text: str = "text") -> Data
                 yield pa.array(probability(net, *flat_bytes(texts)).round(6))
 
     kept = [c for c in docs.columns if c not in ("score", "predicted")]
-    scored = docs.withColumn("_score", score(F.col(text))).select(*kept, F.col("_score").alias("score"))
+    scored = docs.select(F.struct(*docs.columns).alias("row"), score(F.col(text)).alias("score")).select(*[F.col("row")[c].alias(c) for c in kept], "score")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

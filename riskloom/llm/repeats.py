@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.batches import bound_batches, flat_bytes, groups
+from riskloom.llm.batches import bound_batches, flat_bytes, groups, kept, tidied
 from riskloom.session import materialize
 
 LENGTH = 400
@@ -53,15 +53,17 @@ PASSAGES = "doc_id bigint, text_hash bigint, first bigint, past bigint, name_a b
 KEY = ["doc_id", "text_hash"]
 
 
-@lru_cache(8)
 def _powers(size: int, base: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse, modulo 2^64."""
-    out = []
-    for x in (base, pow(base, -1, 1 << 64)):
-        p = np.full(size, x, np.uint64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
+    """Powers of an odd number and of its inverse, modulo 2^64, from one table of the
+    largest size that was asked for."""
+    tables = kept("repeats", base, list)
+    if not tables or len(tables[0]) < size:
+        tables.clear()
+        for x in (base, pow(base, -1, 1 << 64)):
+            p = np.full(size, x, np.uint64)
+            p[0] = 1
+            tables.append(np.multiply.accumulate(p))
+    return tables[0][:size], tables[1][:size]
 
 
 @lru_cache(1)
@@ -376,11 +378,11 @@ def repeated_words(docs: DataFrame, words: int, id: str = "doc_id", text: str =
     words only those whose smallest occurs twice are counted in turn, by 128 bits."""
     bound_batches(docs.sparkSession)
     texts = docs.where(F.octet_length(F.col(text)) >= 2 * words - 1).select(*_key(docs, id, text), F.col(text).alias("text"))
-    shown = materialize(texts.mapInArrow(lambda it: (x for b in it for x in passage_spots(b, words)), SPOTS), "spots")
+    shown = materialize(texts.mapInArrow(tidied("repeats")(lambda it: (x for b in it for x in passage_spots(b, words))), SPOTS), "spots")
     counted = materialize(shown.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name"), "names")
     given = shown.join(counted, "name").groupBy(*KEY).agg(F.collect_set("spot").alias("spots"))
     joined = texts.join(given, _same(texts, given)).select(texts["doc_id"], texts["text_hash"], "text", "spots")
-    met = materialize(joined.mapInArrow(lambda it: (x for b in it for x in met_passages(b, words)), PASSAGES), "passages")
+    met = materialize(joined.mapInArrow(tidied("repeats")(lambda it: (x for b in it for x in met_passages(b, words))), PASSAGES), "passages")
     names = ["name_a", "name_b"]
     again = materialize(met.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*names), "again")
     return met.join(again, names).select(*KEY, "first", "past")
@@ -390,11 +392,12 @@ def cut_text(length: int):
     """An Arrow function from a text and the repeated suffixes in it to what is left."""
 
     @F.arrow_udf("struct<n_removed:bigint,n_spans:bigint,kept_sha256:string,kept:binary>")
+    @tidied("repeats")
     def cut(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, ranges in parts:
             flat, starts = flat_bytes(texts)
             data = flat.tobytes()
-            removed, spans, digests, kept = [], [], [], []
+            removed, spans, digests, rest = [], [], [], []
             for i, own in enumerate(ranges.to_pylist()):
                 text = data[starts[i] : starts[i + 1]]
                 out, done, n = [], 0, 0
@@ -409,9 +412,9 @@ def cut_text(length: int):
                 removed.append(len(text) - len(left))
                 spans.append(n)
                 digests.append(hashlib.sha256(left).hexdigest())
-                kept.append(left)
+                rest.append(left)
             yield pa.StructArray.from_arrays(
-                [pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.binary())],
+                [pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string()), pa.array(rest, pa.binary())],
                 ["n_removed", "n_spans", "kept_sha256", "kept"],
             )
 
@@ -457,20 +460,20 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id: str = "doc_id", te
     if cells[0] > length:
         raise ValueError("a cell of suffixes must have a core")
     texts = docs.where(F.octet_length(F.col(text)) >= length).select(*_key(docs, id, text), F.col(text).alias("text"))
-    found = texts.mapInArrow(lambda it: (x for b in it for x in text_runs(b, length, gram, cells[0])), RUNS)
+    found = texts.mapInArrow(tidied("repeats")(lambda it: (x for b in it for x in text_runs(b, length, gram, cells[0]))), RUNS)
     first = materialize(settle(materialize(found, "runs"), cells[0] == 1), "settled")
     run = F.struct("anchor", "first", "last")
     # Texts meet their open runs here and all their repeated ones at the end; in between
     # only pieces of them go on.
-    opened = first.where("NOT settled").groupBy(*KEY).agg(F.collect_list(run).alias("open"))
+    opened = first.where("NOT settled").groupBy(*KEY).agg(F.collect_set(run).alias("open"))
     joined = texts.join(opened, _same(texts, opened)).select(texts["doc_id"], texts["text_hash"], "text", "open")
-    pieces = joined.mapInArrow(lambda it: (x for b in it for x in cut_pieces(b, length, cells[0])), PIECES)
+    pieces = joined.mapInArrow(tidied("repeats")(lambda it: (x for b in it for x in cut_pieces(b, length, cells[0]))), PIECES)
     settled_runs = first.where("settled").select(*KEY, run.alias("run"))
     for k in range(1, len(cells)):
         # A row that occurs twice gives its pieces twice; they count as two.
         pieces = materialize(pieces, "pieces")
         cell = cells[k]
-        finer = pieces.mapInArrow(lambda it, cell=cell: (x for b in it for x in piece_runs(b, length, cell)), RUNS)
+        finer = pieces.mapInArrow(tidied("repeats")(lambda it, cell=cell: (x for b in it for x in piece_runs(b, length, cell))), RUNS)
         now = settle(materialize(finer, "runs"), cell == 1)
         now = materialize(now, "settled") if cell > 1 else now
         settled_runs = settled_runs.unionByName(now.where("settled").select(*KEY, run.alias("run")))
@@ -481,7 +484,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id: str = "doc_id", te
         again = repeated_words(docs, words, id, text)
         span = F.struct(F.lit(None).cast("long").alias("anchor"), "first", (F.col("past") - length).alias("last"))
         settled_runs = settled_runs.unionByName(again.select(*KEY, span.alias("run")))
-    everything = settled_runs.groupBy(*KEY).agg(F.collect_list("run").alias("all"))
+    everything = settled_runs.groupBy(*KEY).agg(F.collect_set("run").alias("all"))
     kept_columns = [c for c in docs.columns if c != "repeats"]
     rows = docs.select(F.struct(*kept_columns).alias("_row"), *_key(docs, id, text))
     whole = rows.join(everything, _same(rows, everything), "left").select("_row", F.coalesce("all", F.array()).alias("all"))

@@ -4,37 +4,40 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.batches import bound_batches, stamped
+from riskloom.llm.batches import bound_batches, kept, stamped, tidied
+from riskloom.llm.bpe import byte_letters
 from riskloom.llm.pretokens import read_tokenizer, splitter
 
 # Documents that the table of frequent pieces is drawn from, and its size. Both bound
 # memory only: a piece outside the table is encoded, so counts don't depend on them.
 SAMPLE_DOCUMENTS = 2000
-FREQUENT = 32_768
+FREQUENT = 131_072
 
-# Pieces that a worker remembers besides the table; then it starts anew.
+# Pieces that a worker remembers besides the table, from task to task; then it starts anew.
 REMEMBERED = 200_000
 
 # Pieces longer than this are encoded each time and not remembered.
 LONG_PIECE = 200
 
 
-@lru_cache(2)
-def _tokenizer(text: str):
+def _model(text: str):
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_str(text)
+    return Tokenizer.from_str(text).model
 
 
 def _lengths(text: str, pieces: list[str]) -> list[int]:
-    return [len(e.ids) for e in _tokenizer(text).encode_batch_fast(pieces, add_special_tokens=False)]
+    """Tokens in each piece, by the library's model: pieces are what the tokenizer splits
+    texts into, with bytes as the letters that its vocabulary writes."""
+    letters = kept("token_counts", "letters", lambda: {b: c for c, b in byte_letters().items()})
+    tokenize = kept("token_counts", text, lambda: _model(text)).tokenize
+    return [len(tokenize(p.encode().decode("latin-1").translate(letters))) for p in pieces]
 
 
 def frequent_pieces(docs: DataFrame, tokenizer: str, text: str = "text") -> tuple[bytes, np.ndarray]:
@@ -79,27 +82,34 @@ def count_tokens(docs: DataFrame, path: str, id: str = "doc_id", text: str = "te
     packed = spark.sparkContext.broadcast((tokenizer, *frequent_pieces(docs, tokenizer, text)))
 
     @F.arrow_udf("long")
+    @tidied("token_counts")
     def n_tokens(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table, names, lengths = packed.value
-        frequent = dict(zip(names.decode().split("\0"), lengths.tolist(), strict=False))
-        remembered: dict[str, int] = {}
+        unpack = lambda: dict(zip(names.decode().split("\0"), lengths.tolist(), strict=False))
+        frequent = kept("token_counts", ("frequent", names), unpack)
+        remembered: dict[str, int] = kept("token_counts", ("remembered", table), dict)
         parts = splitter(table)
 
+        def learn(missed: set[str]) -> dict[str, int]:
+            """Lengths of what the table lacks; long pieces are not remembered."""
+            if len(remembered) + len(missed) > REMEMBERED:
+                remembered.clear()
+            new = [p for p in missed if p not in remembered]
+            found = dict(zip(new, _lengths(table, new), strict=True))
+            remembered.update((p, n) for p, n in found.items() if len(p) <= LONG_PIECE)
+            return found
+
         def count(pieces: list[str]) -> int:
             found = list(map(frequent.get, pieces))
             if None not in found:
                 return sum(found)
             missed = [p for p, n in zip(pieces, found, strict=True) if n is None]
-            new = list({p for p in missed if p not in remembered})
-            if len(remembered) + len(new) > REMEMBERED:
-                remembered.clear()
-                new = list(set(missed))
-            remembered.update(zip(new, _lengths(table, new), strict=True))
-            total = sum(filter(None, found)) + sum(map(remembered.__getitem__, missed))
-            for p in new:
-                if len(p) > LONG_PIECE:
-                    del remembered[p]
-            return total
+            known = list(map(remembered.get, missed))
+            total = sum(filter(None, found))
+            if None not in known:
+                return total + sum(known)
+            new = learn(set(missed))
+            return total + sum(new[p] if p in new else remembered[p] for p in missed)
 
         for texts in batches:
             yield pa.array(
