@@ -83,8 +83,8 @@ def test_similar_sets(spark):
     members, links = op.similar_sets(docs, 0.6)
     first = {}
     for k, t in texts.items():
-        first.setdefault(frozenset(plain(t)), k)
-    assert {r["doc_id"]: r["set_id"] for r in members.collect()} == {k: first[frozenset(plain(t))] if t else None for k, t in texts.items()}
+        first.setdefault(frozenset(plain_whole(t)), k)
+    assert {r["doc_id"]: r["set_id"] for r in members.collect()} == {k: first[frozenset(plain_whole(t))] if t else None for k, t in texts.items()}
     sets = {k: s for s, k in first.items() if s}
     want = {(a, b) for a in sets for b in sets if a < b and jaccard(sets[a], sets[b]) >= 0.6}
     got = [(r["left_id"], r["right_id"]) for r in links.collect()]
