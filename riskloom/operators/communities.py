@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.exchange import hot_keys, key_counts, lookup_join, number_rows
-from riskloom.session import materialize
+from riskloom.session import discard, materialize, written_only
 
 
 def shared_location_communities(occ: DataFrame) -> DataFrame:
@@ -146,34 +146,32 @@ def louvain(
             raise RuntimeError(f"communities still change after {max_levels} levels")
         state = materialize(_degrees(links).select(F.col("a").alias("node"), F.col("a").alias("community"), "k"), "state")
         hubs = hot_keys(key_counts(links, "b"), "b")
-        changed = False
+        changed, last = False, state
         for turn in itertools.count():
             if turn == max_turns:
                 raise RuntimeError(f"nodes still move after {max_turns} rounds of level {level}")
-            moved = materialize(_moves(links, state, hubs, twice_total, resolution, turn), "moved")
+            moved = written_only(lambda: _moves(links, state, hubs, twice_total, resolution, turn), "moved")  # noqa: B023
             wanting = moved.where("wants").count()
-            state = moved.drop("wants")
+            discard(last)
+            state, last = moved.drop("wants"), moved
             if not wanting:
                 break
             changed = True
         if not changed:
             break
-        renamed = materialize(_named_by_first(state), "renamed")
+        renamed = written_only(lambda: _named_by_first(state), "renamed")  # noqa: B023
+        discard(last)
         following = renamed.select(F.col("node").alias("community"), F.col("community").alias("_next"))
         hot = hot_keys(key_counts(members, "community"), "community")
-        members = materialize(
-            lookup_join(members, following, "community", "node", hot, "inner").select(
-                "node", F.col("_next").alias("community")
-            ),
-            "members",
-        )
+        now = lookup_join(members, following, "community", "node", hot, "inner").select("node", F.col("_next").alias("community"))
+        old, members = members, materialize(now, "members")
+        discard(old)
         group_a = renamed.select(F.col("node").alias("a"), F.col("community").alias("ca"))
         group_b = renamed.select(F.col("node").alias("b"), F.col("community").alias("cb"))
         ends = _renamed(hubs, "b", "a")  # links are symmetric
         joined = lookup_join(lookup_join(links, group_a, "a", "b", ends, "inner"), group_b, "b", "a", hubs, "inner")
-        links = materialize(
-            joined.groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")), "links"
-        )
+        old, links = links, materialize(joined.groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")), "links")
+        discard(old, renamed)
     return _named_by_first(members)
 
 

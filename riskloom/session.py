@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -74,6 +75,10 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/riskloom-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
+# Paths that were written, in order, for `written_only`.
+_written: list[str] = []
+
+
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     """Write `df` to the shared folder and read it back.
 
@@ -83,4 +88,34 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._scratch_path = path
+    _written.append(path)
+    return table
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    """A folder that `materialize` has made, by the file system that it lies in."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete written tables that nothing will read any more. Tables of other origin, and
+    what was derived from a written one, are left alone."""
+    for table in tables:
+        path = getattr(table, "_scratch_path", None)
+        if path in _written:
+            _written.remove(path)
+            _delete(table.sparkSession, path)
+
+
+def written_only(make: Callable[[], DataFrame], label: str = "table") -> DataFrame:
+    """Write the table that `make` returns, and delete all that was written while it was
+    made: steps that only the result has read."""
+    before = len(_written)
+    table = materialize(make(), label)
+    for path in _written[before:-1]:
+        _delete(table.sparkSession, path)
+    del _written[before:-1]
+    return table
