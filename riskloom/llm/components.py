@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.session import materialize
+from riskloom.session import discard, materialize
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -20,13 +20,15 @@ def components(links: DataFrame) -> DataFrame:
     state = None
     while True:
         both = edges.union(edges.select("b", "a"))
-        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("least"))
-        larger = both.where("b > a").join(materialize(least, "least"), "a")
-        edges = materialize(_down(larger.select(F.col("b").alias("a"), F.col("least").alias("b"))), "links")
-        least = edges.groupBy("a").agg(F.min("b").alias("least"))
-        smaller = edges.join(materialize(least, "least"), "a")
+        least = materialize(both.groupBy("a").agg(F.least("a", F.min("b")).alias("least")), "least")
+        larger = both.where("b > a").join(least, "a")
+        old, edges = edges, materialize(_down(larger.select(F.col("b").alias("a"), F.col("least").alias("b"))), "links")
+        discard(old, least)
+        least = materialize(edges.groupBy("a").agg(F.min("b").alias("least")), "least")
+        smaller = edges.join(least, "a")
         pairs = smaller.select("a", F.col("least").alias("b")).union(smaller.select(F.col("b").alias("a"), F.col("least").alias("b")))
-        edges = materialize(_down(pairs), "links")
+        old, edges = edges, materialize(_down(pairs), "links")
+        discard(old, least)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             break

@@ -15,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.batches import bound_batches, flat_bytes, groups
+from riskloom.llm.batches import bound_batches, flat_bytes, groups, tidied
 from riskloom.llm.components import components
 from riskloom.llm.repeats import Names, _mixed
-from riskloom.session import materialize
+from riskloom.session import discard, materialize, written_only
 
 WORDS = 5
 PERCENT = 80
@@ -142,6 +142,7 @@ def features(docs: DataFrame, words: int, percent: int, id: str, text: str) -> D
     its keys."""
     common = docs.sparkSession.sparkContext.broadcast(common_ngrams(docs, words, text))
 
+    @tidied("ngram_join")
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, value, begin in sets_of(batch.column("text"), words):
@@ -335,8 +336,8 @@ def similarity_components(docs: DataFrame, percent: int = PERCENT, words: int =
     trees of the keys that still hold several components give all pairs across them.
     """
     bound_batches(docs.sparkSession)
-    rows = materialize(features(docs, words, percent, id, text), "features")
-    own = rows.where("n > 0 AND doc_id IS NOT NULL")
+    described = materialize(features(docs, words, percent, id, text), "features")
+    own = described.where("n > 0 AND doc_id IS NOT NULL")
     sets = ["set_a", "set_b", "n"]
     nodes = own.groupBy(*sets).agg(
         F.min("doc_id").alias("doc_id"), F.min_by(F.struct("row", "text_hash", "point"), F.struct("doc_id", "row")).alias("first")
@@ -344,8 +345,14 @@ def similarity_components(docs: DataFrame, percent: int = PERCENT, words: int =
     nodes = materialize(nodes.select(*sets, "doc_id", F.col("first.row").alias("node"), "first.text_hash", "first.point"), "nodes")
     # Every document of a node shows its keys; those of the node's own row are kept.
     shown = own.select(F.col("row").alias("node"), F.explode("keys").alias("key"))
-    many = materialize(shown.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), "keys")
-    met = materialize(shown.join(many, "key").join(nodes.select("node", "n"), "node"), "met")
+
+    def meetings() -> DataFrame:
+        many = materialize(shown.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), "keys")
+        return shown.join(many, "key").join(nodes.select("node", "n"), "node")
+
+    met = written_only(meetings, "met")
+    rows = materialize(described.select("doc_id", "text_hash", *sets), "sets")
+    discard(described)
 
     points = nodes.select("node", "n", "point")
     texts = docs.select(F.col(id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("text"))
@@ -354,21 +361,15 @@ def similarity_components(docs: DataFrame, percent: int = PERCENT, words: int =
         now = met.withColumn("root", F.col("node"))
         if roots is not None:
             now = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        if turn < 2:
-            # First the smallest node, then any.
-            star = now.groupBy("key").agg(F.min(_pick(turn)).alias("f"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-            star = materialize(star.select("key", F.col("f.node").alias("star"), F.col("f.root").alias("star_root"), F.col("f.n").alias("star_n")), "stars")
-            sizes = 100 * F.least("n", "star_n") >= percent * F.greatest("n", "star_n")
-            pairs = now.join(star, "key").where("root <> star_root").where(sizes)
-            pairs = pairs.select(F.least("star", "node").alias("a"), F.greatest("star", "node").alias("b")).distinct()
-            pairs = materialize(bounded(pairs, points, percent), "near")
-        else:
-            pairs = materialize(_across(now, points, percent), "near")
+        pairs = written_only(lambda: _starred(now, points, percent, turn) if turn < 2 else _across(now, points, percent), "near")  # noqa: B023
         if pairs.isEmpty():
             continue
-        new = materialize(verified(pairs, nodes, texts, percent, words), "linked")
+        new = written_only(lambda: verified(pairs, nodes, texts, percent, words), "linked")  # noqa: B023
+        discard(pairs)
         links = new if links is None else links.union(new)
-        roots = materialize(components(links), "roots")
+        old, roots = roots, written_only(lambda: components(links), "roots")  # noqa: B023
+        discard(old)
+    discard(met)
     found = nodes.withColumn("root", F.col("node"))
     if roots is not None:
         found = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -380,6 +381,16 @@ def similarity_components(docs: DataFrame, percent: int = PERCENT, words: int =
     return joined.select(F.col("doc_id").alias(id), F.col("n").alias("n_shingles"), component.alias("component_id"), *own_hash)
 
 
+def _starred(now: DataFrame, points: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Pairs of one set at each key, first the smallest node, then any, with the others there
+    that are in another component and of like size."""
+    star = now.groupBy("key").agg(F.min(_pick(turn)).alias("f"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    star = materialize(star.select("key", F.col("f.node").alias("star"), F.col("f.root").alias("star_root"), F.col("f.n").alias("star_n")), "stars")
+    sizes = 100 * F.least("n", "star_n") >= percent * F.greatest("n", "star_n")
+    pairs = now.join(star, "key").where("root <> star_root").where(sizes)
+    return bounded(pairs.select(F.least("star", "node").alias("a"), F.greatest("star", "node").alias("b")).distinct(), points, percent)
+
+
 def _pick(turn: int) -> Column:
     order = [F.xxhash64("node").alias("order")] if turn else []
     return F.struct(*order, "node", "root", "n")

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.batches import bound_batches, flat_bytes, groups, kept, tidied
-from riskloom.session import materialize
+from riskloom.session import discard, materialize, written_only
 
 LENGTH = 400
 GRAM = 17
@@ -461,7 +461,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id: str = "doc_id", te
         raise ValueError("a cell of suffixes must have a core")
     texts = docs.where(F.octet_length(F.col(text)) >= length).select(*_key(docs, id, text), F.col(text).alias("text"))
     found = texts.mapInArrow(tidied("repeats")(lambda it: (x for b in it for x in text_runs(b, length, gram, cells[0]))), RUNS)
-    first = materialize(settle(materialize(found, "runs"), cells[0] == 1), "settled")
+    first = written_only(lambda: settle(materialize(found, "runs"), cells[0] == 1), "settled")
     run = F.struct("anchor", "first", "last")
     # Texts meet their open runs here and all their repeated ones at the end; in between
     # only pieces of them go on.
@@ -472,13 +472,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id: str = "doc_id", te
     for k in range(1, len(cells)):
         # A row that occurs twice gives its pieces twice; they count as two.
         pieces = materialize(pieces, "pieces")
+        if k > 1:
+            discard(coarse)
         cell = cells[k]
         finer = pieces.mapInArrow(tidied("repeats")(lambda it, cell=cell: (x for b in it for x in piece_runs(b, length, cell))), RUNS)
-        now = settle(materialize(finer, "runs"), cell == 1)
-        now = materialize(now, "settled") if cell > 1 else now
+        now = written_only(lambda: settle(materialize(finer, "runs"), cell == 1), "settled")  # noqa: B023
         settled_runs = settled_runs.unionByName(now.where("settled").select(*KEY, run.alias("run")))
         if cell > 1:
-            pieces = _finer_pieces(pieces, now.where("NOT settled"), length, cell)
+            coarse, pieces = pieces, _finer_pieces(pieces, now.where("NOT settled"), length, cell)
+        else:
+            discard(pieces)
     if words is not None:
         # As runs of suffixes they end `length` bytes after the last one.
         again = repeated_words(docs, words, id, text)
