@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark import SparkContext
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -111,9 +112,10 @@ def train_gbt(
     positives; test rows are not seen.
 
     Boosting goes on until `patience` rounds in a row have not raised the precision, or for
-    `max_iter` rounds; the rounds up to the highest are kept. The library cannot go on from
-    a fitted model, so the number of rounds is doubled until the best is far enough from
-    the last: trees of a seed don't depend on how many follow.
+    `max_iter` rounds; the rounds up to the highest are kept, as an ensemble of the first
+    trees. Most runs need one fit. The library cannot go on from a fitted model, so where the
+    best is too near the last, twice as many rounds are fitted; trees of a seed don't
+    depend on how many follow, so only the new ones are looked at.
     """
     weight = class_weight(vectors.where("split = 'train'")).first()
     if not weight["positives"]:
@@ -137,11 +139,11 @@ def train_gbt(
         minInstancesPerNode=3,
         seed=seed,
     )
-    rounds = min(max_iter, patience + 10)
+    rounds, history, margins = min(max_iter, 2 * patience + 20), [], None
     while True:
         trees = learner.setMaxIter(rounds).fit(train)
-        history = prefix_precision(trees, held_out)
-        best = _highest(history, rounds - 1)
+        more, margins = prefix_precision(trees, held_out, margins, len(history))
+        history += more
         # What a run with this patience would have seen.
         waited = next((k for k in range(rounds) if k + 1 - _highest(history, k) >= patience), None)
         if waited is not None or rounds == max_iter:
@@ -149,8 +151,20 @@ def train_gbt(
         rounds = min(max_iter, 2 * rounds)
     if waited is not None:
         history = history[: waited + 1]
-        best = _highest(history, waited)
-    return (trees if best == rounds else learner.setMaxIter(best).fit(train)), history
+    return first_trees(trees, _highest(history, len(history) - 1)), history
+
+
+def first_trees(model: GBTClassificationModel, n: int) -> GBTClassificationModel:
+    """The ensemble of the first n trees of a fitted one, which stays as it is."""
+    if n == model.getNumTrees:
+        return model
+    gateway, java = model._java_obj, SparkContext._gateway
+    trees = java.new_array(java.jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
+    weights = java.new_array(java.jvm.double, n)
+    for i, (tree, weight) in enumerate(zip(gateway.trees()[:n], model.treeWeights[:n], strict=True)):
+        trees[i], weights[i] = tree, weight
+    kept = java.jvm.org.apache.spark.ml.classification.GBTClassificationModel(model.uid, trees, weights, model.numFeatures, model.numClasses)
+    return GBTClassificationModel(kept).setFeaturesCol(model.getFeaturesCol())
 
 
 def _highest(history: list[float], upto: int) -> int:
@@ -158,25 +172,27 @@ def _highest(history: list[float], upto: int) -> int:
     return max(range(upto + 1), key=history.__getitem__) + 1
 
 
-def prefix_precision(model: GBTClassificationModel, rows: DataFrame, at_once: int = 50) -> list[float]:
-    """Average precision of the first tree, the first two, and so on, over `rows`.
+def prefix_precision(
+    model: GBTClassificationModel, rows: DataFrame, margins: DataFrame | None = None, start: int = 0, at_once: int = 50
+) -> tuple[list[float], DataFrame]:
+    """Average precision over `rows` of the first tree, the first two, and so on, and the
+    rows with their margins after the last; from `start` on, with the margins up to there.
 
     A tree adds a column; sums over the trees give a margin per row and round. Rounds are
     looked at together, each ranked on its own; one number per round comes back.
     """
     trees, weights = model.trees, model.treeWeights
-    before, out = rows.select("claim_id", "features", "label", F.lit(0.0).alias("_margin")), []
-    for start in range(0, len(trees), at_once):
-        part = range(start, min(len(trees), start + at_once))
+    before = rows.select("claim_id", "features", "label", F.lit(0.0).alias("_margin")) if margins is None else margins
+    out: list[float] = []
+    for first in range(start, len(trees), at_once):
+        part = range(first, min(len(trees), first + at_once))
         added = before
         for i in part:
             added = trees[i].setFeaturesCol("features").setPredictionCol(f"_tree_{i}").transform(added)
         steps = F.array(*[F.col(f"_tree_{i}") * weights[i] for i in part])
         added = materialize(added.select("claim_id", "features", "label", "_margin", steps.alias("_steps")), "margins")
-        upto = Window.partitionBy("claim_id").orderBy("round").rowsBetween(Window.unboundedPreceding, 0)
-        sums = added.select("claim_id", "label", "_margin", F.posexplode("_steps").alias("round", "step"))
-        sums = sums.withColumn("margin", F.col("_margin") + F.sum("step").over(upto))
-        counts = sums.groupBy("round", "margin")
+        upto = F.transform("_steps", lambda _, i: F.aggregate(F.slice("_steps", F.lit(1), i + 1), F.col("_margin"), lambda a, x: a + x))
+        counts = added.select("label", F.posexplode(upto).alias("round", "margin")).groupBy("round", "margin")
         counts = counts.agg(F.sum("label").alias("hits"), F.count(F.lit(1)).alias("n"))
         down = Window.partitionBy("round").orderBy(F.desc("margin"))
         ranked = counts.select("round", "hits", F.sum("hits").over(down).alias("tp"), F.sum("n").over(down).alias("shown"))
@@ -184,7 +200,7 @@ def prefix_precision(model: GBTClassificationModel, rows: DataFrame, at_once: in
         out += [r["ap"] or 0.0 for r in found.orderBy("round").collect()] or [0.0] * len(part)
         total = F.aggregate("_steps", F.col("_margin"), lambda a, x: a + x)
         before = added.select("claim_id", "features", "label", total.alias("_margin"))
-    return out
+    return out, before
 
 
 def train_scorer(

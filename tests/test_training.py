@@ -25,7 +25,7 @@ def test_patience(spark):
     assert model.getNumTrees == best > 1
     assert len(history) == min(40, best + 4)
     held_out = rows.where("split = 'validation'").selectExpr("claim_id", "features", "cast(fraud_label as double) label")
-    again = training.prefix_precision(model, held_out, at_once=3)
+    again, _ = training.prefix_precision(model, held_out, at_once=3)
     assert [round(x, 9) for x in again] == [round(x, 9) for x in history[:best]]
 
 
@@ -42,3 +42,28 @@ def test_precision_of_prefixes(spark):
         hits, shown = hits + sum(own), shown + len(own)
         total += sum(own) * hits / shown
     assert abs(history[0] - total / positives) < 1e-9
+
+
+def test_first_trees(spark, tmp_path):
+    """A prefix scores as a fit of so few rounds does, is saved and loaded, and leaves the whole as it is."""
+    rows = vectors(spark).withColumn("label", training.F.col("fraud_label").cast("double"))
+    learner = training.GBTClassifier(maxIter=6, seed=3, subsamplingRate=0.8, featureSubsetStrategy="0.5")
+    whole, short = learner.fit(rows), learner.setMaxIter(4).fit(rows)
+    kept = training.first_trees(whole, 4)
+    assert kept.getNumTrees == 4 and whole.getNumTrees == 6
+    score = lambda m: [round(r["probability"][1], 12) for r in m.transform(rows).orderBy("claim_id").collect()]
+    assert score(kept) == score(short)
+    kept.save(str(tmp_path / "kept"))
+    assert score(training.GBTClassificationModel.load(str(tmp_path / "kept"))) == score(short)
+
+
+def test_more_rounds(spark, monkeypatch):
+    """Where the first fit is too short, the next looks at its new rounds only, with the same history."""
+    rows = vectors(spark)
+    _, history = training.train_gbt(rows, max_iter=60, patience=12)
+    seen = []
+    inner = training.prefix_precision
+    monkeypatch.setattr(training, "prefix_precision", lambda *a: seen.append(a[3]) or inner(*a))
+    monkeypatch.setattr(training, "min", lambda a, b: 5 if b > 20 and not seen else sorted((a, b))[0], raising=False)
+    model, again = training.train_gbt(rows, max_iter=60, patience=12)
+    assert [round(x, 9) for x in again] == [round(x, 9) for x in history] and len(seen) > 1 and seen[1] == 5
