@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
-from pyspark.ml.feature import OneHotEncoder, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -188,18 +188,27 @@ class ClaimEncoder:
     vocabulary: DataFrame
     slots: int = 0
     rare_slots: dict[str, tuple[int, int]] = field(default_factory=dict)
-    small: dict[str, bool] = field(default_factory=dict)
+    starts: dict[str, int] = field(default_factory=dict)
+    labels: dict[str, list[str]] = field(default_factory=dict)
     column_slots: dict[str, int] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        found = {r["column"]: r["n"] for r in self.vocabulary.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
-        self.column_slots = {c: found.get(c, 0) for c in self.categorical}  # in the order of positions
-        self.slots = sum(found.values())
         size = F.count(F.lit(1)) * 64 + F.coalesce(F.sum(F.octet_length("value")), F.lit(0))
-        sizes = self.vocabulary.groupBy("column").agg(size.alias("bytes")).collect()
-        self.small = {r["column"]: r["bytes"] <= exchange.BROADCAST_BYTES for r in sizes}
+        about = self.vocabulary.groupBy("column").agg(F.count(F.lit(1)).alias("n"), F.min("position").alias("start"), size.alias("bytes")).collect()
+        found = {r["column"]: r for r in about}
+        self.column_slots = {c: found[c]["n"] if c in found else 0 for c in self.categorical}  # in the order of positions
+        self.starts = {c: r["start"] for c, r in found.items()}
+        self.slots = sum(self.column_slots.values())
         rare = self.vocabulary.where("infrequent").collect()  # one row per column at most
         self.rare_slots = {r["column"]: (r["slot"], r["position"]) for r in rare}
+        # Columns whose values fit the bound of a broadcast together, smallest first.
+        small, left = [], exchange.BROADCAST_BYTES
+        for r in sorted(about, key=lambda r: (r["bytes"], r["column"])):
+            left -= r["bytes"]
+            if left >= 0 and r["column"] in self.modes:
+                small.append(r["column"])
+        values = self.vocabulary.where(F.col("column").isin(small) & ~F.col("infrequent")).orderBy("position").select("column", "value").collect()
+        self.labels = {c: [r["value"] for r in values if r["column"] == c] for c in small}
 
     @classmethod
     def fit(
@@ -229,25 +238,37 @@ class ClaimEncoder:
 
     def encode_onehot(self, df: DataFrame, key: str = "claim_id") -> DataFrame:
         """Replace each categorical column by a struct of its slot and position: rare and
-        unseen values take the column's infrequent slot, or none if it has no such slot."""
-        source = df
-        for i, c in enumerate(self.categorical):
-            if c not in self.modes:
-                df = df.withColumn(c, F.lit(None).cast("struct<slot:bigint,position:bigint>"))
-                continue
-            known = self.vocabulary.where((F.col("ordinal") == i) & ~F.col("infrequent")).select(
-                F.col("value").alias(c), F.struct("slot", "position").alias("_slot")
-            )
-            filled = F.coalesce(F.col(c), F.lit(self.modes[c])).alias(c)
-            # Only the columns with many values are counted and shuffled.
-            counts = key_counts(source.select(filled), c)
-            df = sized_join(df.withColumn(c, filled), known, c, key, self.small.get(c, True), counts)
+        unseen values take the column's infrequent slot, or none if it has no such slot.
+
+        Columns with few values are looked up together in the pass that reads the rows; a
+        column whose values are too many to be sent to all tasks is joined, salted."""
+        slot = "struct<slot:bigint,position:bigint>"
+        known = [c for c in self.categorical if c in self.modes]
+        source, columns = df, df.columns
+        df = df.withColumns({c: F.coalesce(F.col(c), F.lit(self.modes[c])) for c in known})
+        small = [c for c in known if self.labels.get(c)]
+        if small:
+            # A value without a slot of its own has the number behind the last label.
+            index = StringIndexerModel.from_arrays_of_labels([self.labels[c] for c in small], small, [f"_index_{c}" for c in small], "keep")
+            df = index.transform(df)
+        made = {c: F.lit(None).cast(slot) for c in self.categorical}
+        for c in known:
             rare = F.lit(None)
             if c in self.rare_slots:
-                slot, position = self.rare_slots[c]
-                rare = F.struct(F.lit(slot).cast("long").alias("slot"), F.lit(position).cast("long").alias("position"))
-            df = df.withColumn(c, F.coalesce("_slot", rare)).drop("_slot")
-        return df
+                number, position = self.rare_slots[c]
+                rare = F.struct(F.lit(number).cast("long").alias("slot"), F.lit(position).cast("long").alias("position"))
+            if c in small:
+                number = F.col(f"_index_{c}").cast("long")
+                found = F.when(number < len(self.labels[c]), F.struct(number.alias("slot"), (number + self.starts[c]).alias("position")))
+            elif c in self.labels:
+                found = F.lit(None)  # all its values are rare
+            else:
+                filled = F.coalesce(F.col(c), F.lit(self.modes[c])).alias(c)
+                values = self.vocabulary.where((F.col("column") == c) & ~F.col("infrequent")).select(F.col("value").alias(c), F.struct("slot", "position").alias(f"_slot_{c}"))
+                df = sized_join(df, values, c, key, False, key_counts(source.select(filled), c))
+                found = F.col(f"_slot_{c}")
+            made[c] = F.coalesce(found, rare).cast(slot)
+        return df.withColumns(made).select(*columns)
 
     def onehot_long(self, df: DataFrame, key: str = "claim_id") -> DataFrame:
         """Rows `key, column, slot, position, value`, one per filled slot."""

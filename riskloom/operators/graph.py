@@ -13,8 +13,6 @@ from riskloom.fixed import ATTRIBUTE_RELATIONS, LOCATION_FEATURES, OBSOLETE_RELA
 from riskloom.operators.normalize import with_location
 from riskloom.session import materialize
 
-# Claims per block when pairs at one location are written out: a task makes at most
-
 
 def merge_distinct(df: DataFrame, key: list[str]) -> DataFrame:
     """One row per key; the other columns must be functions of the key."""
@@ -249,6 +247,29 @@ def all_nodes(policies: DataFrame, claims: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def property_nodes(policies: DataFrame, claims: DataFrame) -> dict[str, DataFrame]:
+    """A table for each label: `node_id` and the properties that nodes of it carry. A
+    claim without a policy is no node."""
+    loaded = claims.join(policies.select("policy_id"), "policy_id", "left_semi")
+    named = {"claim_description": "description", "incident_hour_of_the_day": "incident_hour_of_day"}
+    carried = [
+        "claim_date", "claim_type", "claim_description", "claimed_amount", "approved_amount", "status", "fraud_label", "incident_date", "collision_type",
+        "incident_severity", "authorities_contacted", "incident_state", "incident_city", "incident_hour_of_the_day", "number_of_vehicles_involved",
+        "bodily_injuries", "witnesses", "police_report_available", "total_claim_amount",
+    ]
+    claim = [F.col(c).alias(named.get(c, c)) for c in carried]
+    nodes = {
+        "Policy": policies.select(
+            F.col("policy_id").alias("node_id"), "policy_type", F.col("policy_start_date").alias("policy_start"), F.col("policy_end_date").alias("policy_end"),
+            "premium", "deductible", "coverage_amount", "status",
+        ),
+        "Claim": loaded.select(F.col("claim_id").alias("node_id"), *claim, F.col("claim_type").alias("incident_type"), F.col("claimed_amount").alias("claim_amount_source")),
+        "IncidentLocation": location_nodes(occurrences(loaded)).withColumnRenamed("location_key", "node_id"),
+    }
+    attributes = attribute_nodes(loaded)
+    return nodes | {label: attributes.where(F.col("label") == label).select("node_id") for _, _, label, _ in ATTRIBUTE_RELATIONS}
+
+
 def linear_edges(policies: DataFrame, claims: DataFrame) -> DataFrame:
     """Rows `src, dst, rel_type` of every edge type that is linear in the claims."""
     loaded = claims.join(policies.select("policy_id"), "policy_id", "left_semi")

@@ -31,19 +31,49 @@ def canonical_roundtrip(spark, sf):
 
 
 def documents_roundtrip(spark, sf):
-    """Each document written as a file of its own and read back whole."""
+    """Named documents written and read back whole, with their numbers."""
     path = scratch_path(spark, "documents")
-    fx.documents(spark, sf).select("stem", "text").write.partitionBy("stem").text(path)
-    read = documents.read_documents(spark, path, "*.txt", recursive=True)
-    text = F.expr("substring(text, 1, length(text) - 1)")  # the writer ends each file with a newline
-    return read.select(F.length(text).cast("long").alias("characters"), F.sha2(text, 256).alias("sha256"))
+    documents.write_collection(fx.documents(spark, sf), path)
+    read = documents.read_collection(spark, path)
+    return read.select("document_id", "source_file", "stem", F.length("text").cast("long").alias("characters"), F.sha2("text", 256).alias("sha256"))
 
 
-def graph_roundtrip(spark, sf):
+def written_graph(spark, sf):
+    """A graph that is written twice, first without its claims, and read back."""
     path = scratch_path(spark, "graph")
     policies, claims = fx.policies_table(spark, sf), fx.claims_table(spark, sf)
-    stores.write_graph(graph.all_nodes(policies, claims), graph.linear_edges(policies, claims), path)
-    return graph.graph_counts(*stores.read_graph(spark, path))
+    for part in (claims.where("false"), claims):
+        stores.write_graph(graph.property_nodes(policies, part), graph.linear_edges(policies, part), path)
+    return stores.read_graph(spark, path)
+
+
+def graph_roundtrip(spark, sf):
+    read = written_graph(spark, sf)
+    return graph.graph_counts(read.all_nodes(), read.edges)
+
+
+def graph_properties(spark, sf):
+    """Properties of the nodes that were read back."""
+    nodes = written_graph(spark, sf).nodes
+    policy = nodes["Policy"].select(F.lit("Policy").alias("label"), "node_id", "premium", "deductible")
+    claim = nodes["Claim"].select(
+        F.lit("Claim").alias("label"), "node_id", "claim_date", "claim_type", "claimed_amount", "total_claim_amount", "collision_type", "incident_severity",
+        "authorities_contacted", "incident_state", "incident_city", "incident_hour_of_day", "number_of_vehicles_involved", "bodily_injuries", "witnesses",
+        "police_report_available", "fraud_label",
+    )
+    place = nodes["IncidentLocation"].select(F.lit("IncidentLocation").alias("label"), "node_id", F.col("state").alias("incident_state"), F.col("city").alias("incident_city"))
+    return policy.unionByName(claim, allowMissingColumns=True).unionByName(place, allowMissingColumns=True)
+
+
+def broken_lines(spark, sf):
+    """JSON lines of all documents, every seventh cut short: what is kept apart, and what is read."""
+    path = scratch_path(spark, "lines")
+    line = F.to_json(F.struct("document_id", "source_file"))
+    cut = F.concat(F.lit('{"document_id": '), F.col("document_id").cast("string"))
+    rows = fx.documents(spark, sf)
+    rows.select(F.when(F.col("document_id") % 7 == 3, cut).otherwise(line).alias("value")).write.text(path)
+    sound, broken = tables.read_sound_lines(spark, path, "document_id long, source_file string")
+    return sound.select("document_id", "source_file", F.lit(None).cast("string").alias("line")).unionByName(broken.select("line"), allowMissingColumns=True)
 
 
 def manifest_row(spark, sf):
@@ -100,7 +130,8 @@ add("claim_ids", lambda s, d: tables.claim_ids(fx.claims(s, d)), with_ctes("clai
 add(
     "documents_roundtrip",
     documents_roundtrip,
-    "SELECT length(text) AS characters, sha256(text) AS sha256 FROM documents",
+    """SELECT row_number() OVER (ORDER BY 'doc_' || doc_id || '.md') - 1 AS document_id, 'doc_' || doc_id || '.md' AS source_file,
+  'doc_' || doc_id AS stem, length(text) AS characters, sha256(text) AS sha256 FROM documents""",
 )
 add(
     "canonical_roundtrip",
@@ -118,6 +149,31 @@ add(
     ),
 )
 add("graph_roundtrip", graph_roundtrip, with_ctes("policies located attribute_long", _counts_sql))
+add(
+    "graph_properties",
+    graph_properties,
+    with_ctes(
+        "policies located",
+        """SELECT 'Policy' AS label, policy_id AS node_id, premium, deductible, CAST(NULL AS DATE) AS claim_date,
+  CAST(NULL AS VARCHAR) AS claim_type, CAST(NULL AS DOUBLE) AS claimed_amount, CAST(NULL AS DOUBLE) AS total_claim_amount,
+  CAST(NULL AS VARCHAR) AS collision_type, CAST(NULL AS VARCHAR) AS incident_severity,
+  CAST(NULL AS VARCHAR) AS authorities_contacted, CAST(NULL AS VARCHAR) AS incident_state,
+  CAST(NULL AS VARCHAR) AS incident_city, CAST(NULL AS BIGINT) AS incident_hour_of_day,
+  CAST(NULL AS BIGINT) AS number_of_vehicles_involved, CAST(NULL AS BIGINT) AS bodily_injuries,
+  CAST(NULL AS BIGINT) AS witnesses, CAST(NULL AS VARCHAR) AS police_report_available, CAST(NULL AS BOOLEAN) AS fraud_label FROM policies
+UNION ALL SELECT 'Claim', claim_id, NULL, NULL, claim_date, claim_type, claimed_amount, total_claim_amount, collision_type,
+  incident_severity, authorities_contacted, incident_state, incident_city, incident_hour_of_the_day,
+  number_of_vehicles_involved, bodily_injuries, witnesses, police_report_available, fraud_label FROM located
+UNION ALL SELECT DISTINCT 'IncidentLocation', location_key, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, incident_state, incident_city,
+  NULL, NULL, NULL, NULL, NULL, NULL FROM located""",
+    ),
+)
+add(
+    "broken_lines",
+    broken_lines,
+    """SELECT CASE WHEN doc_id % 7 <> 3 THEN doc_id END AS document_id, CASE WHEN doc_id % 7 <> 3 THEN 'doc_' || doc_id || '.md' END AS source_file,
+  CASE WHEN doc_id % 7 = 3 THEN '{"document_id": ' || doc_id END AS line FROM documents""",
+)
 add(
     "features_roundtrip",
     features_roundtrip,

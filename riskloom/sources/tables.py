@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom.fixed import NULL_TOKENS, RAW_SCHEMA
+from riskloom.functions.text import strip
 from riskloom.operators.normalize import export_dates
+from riskloom.operators.quality import stop_on
 
 
 def read_text_columns(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
@@ -58,6 +60,33 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
+BROKEN = "_broken_line"
+
+
+def _parsed_lines(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """Lines that hold something, with `row`, their fields, and BROKEN where a line is no
+    JSON object of the schema."""
+    wanted = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    told = T.StructType([*wanted, T.StructField(BROKEN, T.StringType())])
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block_start"))
+    lines = lines.where(strip(F.col("value")) != "")
+    row = F.from_json("value", told, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BROKEN})
+    return lines.withColumn("row", row).withColumn(BROKEN, F.when(F.col("row").isNull(), F.col("value")).otherwise(F.col(f"row.{BROKEN}")))
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """JSON lines with a declared schema; blank lines are skipped."""
-    return spark.read.schema(schema).json(path)
+    """JSON lines with a declared schema; blank lines are skipped. A line that is no JSON
+    object of the schema stops the job, whatever columns are read; `broken_lines` lists them."""
+    names = [f.name for f in (schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema))]
+    lines = _parsed_lines(spark, path, schema)
+    said = F.concat(F.lit("broken line in "), F.col("file"), F.lit(": "), F.substring(BROKEN, 1, 200))
+    return stop_on(lines, F.col(BROKEN).isNotNull(), said).select(*[F.col("row")[n].alias(n) for n in names])
+
+
+def read_sound_lines(spark: SparkSession, path: str, schema: T.StructType | str) -> tuple[DataFrame, DataFrame]:
+    """The rows of sound lines, and the broken lines `file, block_start, line`, kept apart:
+    `block_start` is where the part of the file begins that the line was read with."""
+    names = [f.name for f in (schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema))]
+    lines = _parsed_lines(spark, path, schema)
+    broken = lines.where(F.col(BROKEN).isNotNull()).select("file", "block_start", F.col("value").alias("line"))
+    return lines.where(F.col(BROKEN).isNull()).select(*[F.col("row")[n].alias(n) for n in names]), broken

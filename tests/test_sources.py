@@ -54,9 +54,40 @@ def test_digests(spark, tmp_path):
 
 
 def test_graph_store_is_replaced(spark, tmp_path, rows):
-    nodes = spark.createDataFrame([("Claim", "c"), ("Policy", "p")], "label string, node_id string")
+    """A reader of the version before sees it whole; older versions go."""
+    path = str(tmp_path / "g")
+    with pytest.raises(FileNotFoundError):
+        stores.read_graph(spark, path)
     edges = spark.createDataFrame([("p", "c", "HAS_CLAIM")], "src string, dst string, rel_type string")
-    for _ in range(2):
-        stores.write_graph(nodes, edges, str(tmp_path / "g"))
-    n, e = stores.read_graph(spark, str(tmp_path / "g"))
-    assert rows(n, "label", "node_id") == [("Claim", "c"), ("Policy", "p")] and e.count() == 1
+    versions, before = [], None
+    for n in range(3):
+        nodes = {"Claim": spark.createDataFrame([("c", float(n))], "node_id string, amount double"), "Policy": spark.createDataFrame([("p",)], "node_id string")}
+        if n == 2:
+            nodes.pop("Policy")
+        versions.append(stores.write_graph(nodes, edges, path))
+        if before is not None:
+            assert rows(before.nodes["Claim"]) == [("c", float(n - 1))] and rows(before.nodes["Policy"]) == [("p",)]
+        before = stores.read_graph(spark, path)
+        assert before.version == versions[-1] and rows(before.nodes["Claim"]) == [("c", float(n))]
+    assert list(before.nodes) == ["Claim"] and before.edges.count() == 1 and before.all_nodes().count() == 1
+    assert sorted(p.name for p in (tmp_path / "g" / "versions").iterdir()) == sorted(versions[1:])
+
+
+def test_broken_lines(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"k": "x", "n": 1}\n{"k": "cut\n\n[1]\n{"k": "z", "n": "word"}\n{"n": 2}\n')
+    sound, broken = tables.read_sound_lines(spark, str(tmp_path), "k string, n long")
+    assert sorted((tuple(r) for r in sound.collect()), key=repr) == [("x", 1), (None, 2)]
+    assert sorted((r["file"], r["line"]) for r in broken.collect()) == [("a.jsonl", x) for x in ['[1]', '{"k": "cut', '{"k": "z", "n": "word"}']]
+    read = tables.read_jsonl(spark, str(tmp_path), "k string, n long")
+    for use in (read.count, read.select("k").collect):
+        with pytest.raises(Exception, match="broken line in a.jsonl"):
+            use()
+
+
+def test_collection(spark, tmp_path):
+    texts = [("b.md", "two"), ("a/b:c.md", "é\n"), ("b.md", "two"), ("b.md", None), ("ü", "")]
+    documents.write_collection(spark.createDataFrame(texts, "source_file string, text string").repartition(3), str(tmp_path / "c"))
+    got = documents.read_collection(spark, str(tmp_path / "c")).orderBy("document_id").collect()
+    assert [r["document_id"] for r in got] == [0, 1, 2, 3, 4] and [r["source_file"] for r in got] == ["a/b:c.md", "b.md", "b.md", "b.md", "ü"]
+    assert sorted((r["source_file"], r["text"]) for r in got if r["text"] is not None) == sorted((n, t) for n, t in texts if t is not None)
+    assert got[0]["stem"] == "a/b:c" and got[4]["stem"] == "ü"
