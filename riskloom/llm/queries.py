@@ -210,4 +210,101 @@ SELECT d.doc_id, coalesce(max(n.n), 0) AS n_shingles, min(r.root) AS component_i
 FROM documents d JOIN r ON r.doc = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_mixing": MIXING_SQL, "op4_repeats": REPEATS_SQL, "op7_ngram_join": NGRAM_SQL, "op9_nearest": NEAREST_SQL, "op10_warc": WARC_SQL}
+CRC_SQL = """xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], flatten(list_transform(string_split({text}, ''),
+    lambda c: [CAST(unicode(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END) END), 4294967295)"""
+
+# Prefixes are told apart by a digest of all they hold; a node is paired with those above it
+# along its smallest member.
+TRIE_SQL = f"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS at
+  FROM conversations WHERE conv_id IS NOT NULL
+), sizes AS (SELECT conv_id, count(*) AS n FROM t GROUP BY conv_id),
+c AS (
+  SELECT s.conv_id, s.h, s.src, least(s.h, coalesce(o.n, 0)) AS lent FROM (
+    SELECT conv_id, {CRC_SQL.format(text="CAST(conv_id AS VARCHAR)")} % 4 AS h, conv_id - conv_id % 20 AS src FROM sizes
+  ) s LEFT JOIN sizes o ON o.conv_id = s.src
+), r AS (
+  SELECT c.conv_id, t.at AS d, role, text FROM c JOIN t ON t.conv_id = c.src AND t.at <= c.h
+  UNION ALL SELECT c.conv_id, c.lent + t.at - c.h, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND t.at > c.h
+), p AS (
+  SELECT conv_id, 0 AS d, 0 AS words, '' AS name FROM c
+  UNION ALL SELECT conv_id, d, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')),
+    md5(string_agg(md5(role) || md5(text), '') OVER (PARTITION BY conv_id ORDER BY d)) FROM r
+), q AS (SELECT *, lag(name) OVER o AS above, max(d) OVER (PARTITION BY conv_id) AS last FROM p WINDOW o AS (PARTITION BY conv_id ORDER BY d)),
+n AS (SELECT d, name, min(above) AS above, min(conv_id) AS conv_id, count(*) AS n_convs, max(words) AS words FROM q GROUP BY d, name),
+k AS (SELECT d - 1 AS d, above AS name, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+e AS (SELECT d, name, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS ends FROM q WHERE d = last GROUP BY d, name),
+s AS (
+  SELECT q.d, q.name, sum((n.n_convs - 1) * n.words) AS saved, count(*) FILTER (k.n_children IS NULL) AS leaves
+  FROM n LEFT JOIN k ON k.d = n.d AND k.name = n.name JOIN q ON q.conv_id = n.conv_id AND q.d <= n.d GROUP BY q.d, q.name
+)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, up.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children, s.leaves AS n_leaves,
+  CAST(s.saved AS BIGINT) AS saved_tokens, coalesce(e.ends, sha256('')) AS ends_sha256
+FROM n JOIN s ON s.d = n.d AND s.name = n.name LEFT JOIN k ON k.d = n.d AND k.name = n.name
+LEFT JOIN e ON e.d = n.d AND e.name = n.name LEFT JOIN n up ON up.d = n.d - 1 AND up.name = n.above
+"""
+
+_CLASSES = len(divergence.CLASSES)
+
+
+def _class_sql() -> str:
+    """Lists of what is left of a text after each class of characters."""
+    steps = ["t AS c0"]
+    for i, pattern in enumerate(divergence.CLASSES):
+        steps.append(f"regexp_replace(c{i}, '{pattern.replace(chr(39), chr(39) * 2)}', '', 'g') AS c{i + 1}")
+    counts = [f"length(c{i}) - length(c{i + 1})" for i in range(_CLASSES)] + [f"length(c{_CLASSES})"]
+    return ", ".join(steps) + f", [{', '.join(counts)}] AS classes, length(t) AS chars"
+
+
+def _far_sql(name: str, limit: tuple[float, float]) -> str:
+    return f"coalesce({name} > {limit[0]} + {limit[1]} / sqrt(n_words), FALSE)"
+
+
+# Of a pair of shares the part of the squared distance.
+_PART = "(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2"
+
+DIVERGENCE_SQL = f"""
+WITH w AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS key, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM w),
+g AS (SELECT doc_id, i, hash(array_to_string(w[i:i + 7], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM w)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, h) AS n FROM g) WHERE n > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM again, range(0, 8) r(j) GROUP BY doc_id),
+b AS (
+  SELECT w.doc_id, key, w, t, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(t) - length(regexp_replace(t, '[{divergence.SYMBOLS}]', '', 'g')) AS n_symbols,
+    len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words,
+    len(w) < {divergence.LEAST_WORDS} OR 100 * coalesce(c.n, 0) > {divergence.MOST_REPEATED} * len(w) AS base_failed
+  FROM w JOIN l USING (doc_id) LEFT JOIN covered c USING (doc_id)
+), seen AS (
+  SELECT key, lower(x) AS word, count(*) AS n FROM (SELECT key, unnest(list_distinct(w)) AS x FROM b WHERE n_words >= {divergence.REFERENCE_WORDS})
+  WHERE length(lower(x)) <= {divergence.LONGEST} GROUP BY ALL
+), common AS (
+  SELECT key, word, rank - 1 AS k, max(octet_length(encode(word))) OVER (PARTITION BY key) AS longest
+  FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY n DESC, word) AS rank FROM seen) WHERE rank <= {divergence.COMMON}
+), found AS (
+  SELECT doc_id, k, count(*) AS n FROM (SELECT doc_id, key, unnest(w) AS x FROM b) x JOIN common c ON c.key = x.key AND lower(x) = word AND octet_length(encode(x)) <= longest
+  GROUP BY ALL
+), spread AS (
+  SELECT b.doc_id, b.key, c.k, coalesce(f.n, 0) AS n FROM b JOIN common c ON c.key = b.key LEFT JOIN found f ON f.doc_id = b.doc_id AND f.k = c.k
+  UNION ALL SELECT b.doc_id, b.key, {divergence.COMMON}, n_words - coalesce(f.n, 0) FROM b LEFT JOIN (SELECT doc_id, sum(n) AS n FROM found GROUP BY doc_id) f USING (doc_id)
+), chars AS (SELECT doc_id, key, n_words, base_failed, {_class_sql()} FROM b),
+cells AS (SELECT doc_id, key, n_words, base_failed, chars, unnest(range(0, {_CLASSES + 1})) AS k, unnest(classes) AS n FROM chars),
+usable AS (SELECT doc_id, key FROM b WHERE n_words >= {divergence.REFERENCE_WORDS} AND NOT base_failed),
+enough AS (SELECT key FROM usable GROUP BY key HAVING count(*) >= {divergence.REFERENCE_DOCUMENTS}),
+steps AS (
+  SELECT key, k, quantile_disc(CAST(floor(n * {divergence.STEPS} / chars + 0.5) AS INTEGER), 0.5) AS step FROM cells JOIN usable USING (doc_id, key) JOIN enough USING (key) GROUP BY key, k
+), char_ref AS (SELECT key, k, step / sum(step) OVER (PARTITION BY key) AS q FROM steps),
+word_ref AS (SELECT key, k, avg(s.n / b.n_words) AS q FROM spread s JOIN usable USING (doc_id, key) JOIN enough USING (key) JOIN b USING (doc_id, key) GROUP BY key, k),
+char_far AS (SELECT doc_id, sqrt(sum({_PART})) AS far FROM (SELECT doc_id, n / chars AS p, q FROM cells JOIN char_ref USING (key, k) WHERE chars > 0) GROUP BY doc_id),
+word_far AS (
+  SELECT doc_id, sqrt(sum({_PART})) AS far FROM (SELECT doc_id, s.n / n_words AS p, q FROM spread s JOIN b USING (doc_id, key) JOIN word_ref USING (key, k)
+  WHERE n_words >= {divergence.COMMON_WORDS_FROM}) GROUP BY doc_id
+)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+  n_repeat_words, base_failed, NOT base_failed AND NOT {_far_sql("c.far", divergence.CHARACTER_LIMIT)} AND NOT {_far_sql("x.far", divergence.WORD_LIMIT)} AS kept
+FROM b LEFT JOIN char_far c USING (doc_id) LEFT JOIN word_far x USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_mixing": MIXING_SQL, "op4_repeats": REPEATS_SQL, "op7_ngram_join": NGRAM_SQL, "op9_nearest": NEAREST_SQL, "op10_warc": WARC_SQL, "op12_prefix_trie": TRIE_SQL, "op13_divergence": DIVERGENCE_SQL}
