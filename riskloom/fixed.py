@@ -224,6 +224,27 @@ NEGATION_MARKERS = [
 NEGATION_REACH = 80
 
 # --- Fixed values: evidence report wording ----------------------------------------------
+REPORT_TITLE = "# Investigation Report — "
+REPORT_QUESTION = "Investigation question: "
+HEADING_SCORE = "## Fraud Model Signal"
+HEADING_CLAIM = "## Claim Evidence"
+HEADING_GRAPH = "## Graph Evidence"
+HEADING_GUIDANCE = "## Retrieved Guidance"
+HEADING_INTERPRETATION = "## Investigation Interpretation"
+SCORE_SENTENCE = "The model produced a risk score of %.4f, which is %s the configured threshold of %.2f."
+LABEL_DATE = "Incident date"
+LABEL_TYPE = "Claim type"
+LABEL_CLAIMED = "Claimed amount"
+LABEL_TOTAL = "Total claim amount"
+LABEL_LOCATION = "Incident location"
+LABEL_POLICE = "Police report available"
+LABEL_INCIDENT = "Incident type"
+LABEL_COLLISION = "Collision type"
+LABEL_SEVERITY = "Severity"
+LABEL_SHARING = "Claims sharing the incident location"
+LABEL_RELATED = "Related claim IDs"
+RETRIEVED_SENTENCE = "Retrieved %s knowledge chunks."
+LABEL_SOURCES = "Sources"
 SCORE_CAVEAT = "This score is a model-derived risk signal and is not, by itself, proof of fraud."
 NO_RELATED_CLAIMS = "No shared-location claim relationships were returned for this claim."
 NO_DOCUMENTS = "No documents retrieved."

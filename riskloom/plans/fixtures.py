@@ -51,21 +51,29 @@ SELECT 'CLM_POL' || CAST(100000 + o.o_orderkey AS STRING) AS claim_id,
 FROM {orders} o
 """
 
-QUESTIONS = """
-SELECT o.o_orderkey AS case_id,
-  'CLM_POL' || CAST(100000 + o.o_orderkey AS STRING) AS claim_id,
-  CASE o.o_orderkey % 8
-    WHEN 0 THEN 'What is the fraud risk score for claim CLM_POL' || CAST(100000 + o.o_orderkey AS STRING) || '?'
-    WHEN 1 THEN 'Which claims are related to CLM_POL' || CAST(100000 + o.o_orderkey AS STRING) || ' through the same incident location?'
-    WHEN 2 THEN 'What is the standard procedure for reviewing a suspicious insurance claim?'
-    WHEN 3 THEN 'Investigate claim CLM_POL' || CAST(100000 + o.o_orderkey AS STRING) || ' using the available model, graph, and document evidence.'
-    WHEN 4 THEN 'Does the graph show any other claims sharing the incident location with CLM_POL' || CAST(100000 + o.o_orderkey AS STRING) || '?'
-    WHEN 5 THEN 'What is the standard procedure and guidance for reviewing evidence in a suspicious claim?'
-    WHEN 6 THEN '  Show the RISK model for the related network  '
-    ELSE 'Hello there' END AS question,
-  CASE o.o_orderkey % 8 WHEN 0 THEN 'fraud' WHEN 1 THEN 'graph' WHEN 2 THEN 'rag' WHEN 3 THEN 'investigation'
-    WHEN 4 THEN 'graph' WHEN 5 THEN 'rag' WHEN 6 THEN 'fraud' ELSE 'investigation' END AS expected_route
-FROM {orders} o
+# Questions about a claim, with the route that each should take.
+ASKED = [
+    ("How high is the fraud score of {claim}, and what makes up its risk?", "fraud"),
+    ("List the claims connected with {claim}, and every neighbor of theirs.", "graph"),
+    ("Which guideline tells how should a doubtful claim be handled?", "rag"),
+    ("Please investigate {claim} from every side.", "investigation"),
+    ("Is there a network or a community around {claim}?", "graph"),
+    ("Quote the SOP and the policy on witnesses.", "rag"),
+    ("  Show the RISK model for the related network  ", "fraud"),
+    ("Good morning", "investigation"),
+]
+
+
+def _asked_sql() -> str:
+    claim = "CLM_POL' || CAST(100000 + o.o_orderkey AS STRING) || '"
+    questions = " ".join(f"WHEN {i} THEN '{q.format(claim=claim)}'" for i, (q, _) in enumerate(ASKED))
+    routes = " ".join(f"WHEN {i} THEN '{route}'" for i, (_, route) in enumerate(ASKED))
+    return f"CASE o.o_orderkey % {len(ASKED)} {questions} END AS question, CASE o.o_orderkey % {len(ASKED)} {routes} END AS expected_route"
+
+
+QUESTIONS = f"""
+SELECT o.o_orderkey AS case_id, 'CLM_POL' || CAST(100000 + o.o_orderkey AS STRING) AS claim_id, {_asked_sql()}
+FROM {{orders}} o
 """
 
 

@@ -2,16 +2,93 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+# Files are read in blocks of this size, each by a task of its own; a file of one block has its
+# own SHA-256, a longer one that of its blocks' digests in order.
+BLOCK_BYTES = 1 << 30
+READ_BYTES = 1 << 22
 
-def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 of every file under a path (each below 2 GB, the limit of the reader)."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select(
-        F.col("_metadata.file_name").alias("file"), "length", F.sha2(F.col("content"), 256).alias("sha256")
-    )
+
+@dataclass
+class Block(InputPartition):
+    path: str
+    file: str
+    block: int
+    offset: int
+    length: int
+
+
+def _open(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    return pyarrow.fs.FileSystem.from_uri(path) if ":/" in path else (pyarrow.fs.LocalFileSystem(), path)
+
+
+class FileBlocks(DataSource):
+    """Rows `path, file, block, length, sha256` for the blocks of all files under a path. The path is
+    one that Arrow's file systems know (local or mounted, hdfs, s3, gs)."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "file_blocks"
+
+    def schema(self) -> str:
+        return "path string, file string, block long, length long, sha256 string"
+
+    def reader(self, schema) -> "BlockReader":
+        return BlockReader(self.options["path"], int(self.options.get("blockbytes", BLOCK_BYTES)))
+
+
+class BlockReader(DataSourceReader):
+    def __init__(self, path: str, block_bytes: int):
+        self.path, self.block_bytes = path, block_bytes
+
+    def partitions(self) -> list[Block]:
+        files, path = _open(self.path)
+        found = files.get_file_info(path)
+        if found.type == pyarrow.fs.FileType.Directory:
+            listed = files.get_file_info(pyarrow.fs.FileSelector(path, recursive=True))
+        elif found.type == pyarrow.fs.FileType.File:
+            listed = [found]
+        else:
+            raise FileNotFoundError(self.path)
+        blocks = []
+        for info in listed:
+            # As Spark's own readers do, hidden files are left out.
+            if info.type == pyarrow.fs.FileType.File and not info.base_name.startswith((".", "_")):
+                for k in range(max(1, -(-info.size // self.block_bytes))):
+                    offset = k * self.block_bytes
+                    blocks.append(Block(info.path, info.base_name, k, offset, min(self.block_bytes, info.size - offset)))
+        return blocks
+
+    def read(self, partition: Block) -> Iterator[tuple]:
+        files, _ = _open(self.path)
+        digest, left = hashlib.sha256(), partition.length
+        with files.open_input_file(partition.path) as file:
+            file.seek(partition.offset)
+            while left:
+                data = file.read(min(READ_BYTES, left))
+                if not data:
+                    raise EOFError(f"{partition.path} became shorter")
+                digest.update(data)
+                left -= len(data)
+        yield partition.path, partition.file, partition.block, partition.length, digest.hexdigest()
+
+
+def file_digests(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """`file, length, sha256` of every file under a path, of any length."""
+    spark.dataSource.register(FileBlocks)
+    blocks = spark.read.format("file_blocks").option("path", path).option("blockBytes", block_bytes).load()
+    files = blocks.groupBy("path", "file").agg(F.sum("length").alias("length"), F.array_sort(F.collect_list(F.struct("block", "sha256"))).alias("blocks"))
+    digests = F.col("blocks.sha256")
+    whole = F.when(F.size("blocks") == 1, digests[0]).otherwise(F.sha2(F.concat_ws("\n", digests), 256))
+    return files.select("file", "length", whole.alias("sha256"))
 
 
 def combined_digest(digests: DataFrame) -> DataFrame:

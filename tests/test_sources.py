@@ -53,6 +53,37 @@ def test_digests(spark, tmp_path):
     assert two not in (one, hashlib.sha256(b"two").hexdigest()) and len(two) == 64
 
 
+def test_digest_of_a_large_file(spark, tmp_path):
+    """A sparse file over 2 GB, in blocks; and a small one in blocks of a few bytes."""
+    with open(tmp_path / "large", "wb") as file:
+        file.truncate((2 << 30) + 5)
+        file.seek(1 << 30)
+        file.write(b"here")
+    zeros = bytes(1 << 22)
+
+    def block(first, n):
+        digest, left = hashlib.sha256(first), n - len(first)
+        while left:
+            digest.update(zeros[: min(left, len(zeros))])
+            left -= min(left, len(zeros))
+        return digest.hexdigest()
+
+    row = manifest.file_digests(spark, str(tmp_path / "large")).first()
+    want = hashlib.sha256("\n".join([block(b"", 1 << 30), block(b"here", 1 << 30), block(b"", 5)]).encode()).hexdigest()
+    assert (row["file"], row["length"], row["sha256"]) == ("large", (2 << 30) + 5, want)
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "e").mkdir()
+    for name, data in (("small", b"abcdefg"), ("none", b""), ("_hidden", b"x"), ("e/none", b"")):
+        (tmp_path / "d" / name).write_bytes(data)
+    found = manifest.file_digests(spark, f"file://{tmp_path}/d", 3).collect()
+    got = {r["file"]: r["sha256"] for r in found}
+    assert len(found) == 3
+    parts = "\n".join(hashlib.sha256(x).hexdigest() for x in (b"abc", b"def", b"g"))
+    assert got == {"small": hashlib.sha256(parts.encode()).hexdigest(), "none": hashlib.sha256(b"").hexdigest()}
+    with pytest.raises(Exception, match="missing"):
+        manifest.file_digests(spark, str(tmp_path / "missing")).collect()
+
+
 def test_graph_store_is_replaced(spark, tmp_path, rows):
     """A reader of the version before sees it whole; older versions go."""
     path = str(tmp_path / "g")
