@@ -96,3 +96,13 @@ def test_rare_languages(spark):
     assert model.languages == ["en", "fi"]
     tests = spark.createDataFrame([(make(k, 20), k) for k in words for _ in range(5)], "text string, lang string")
     assert op.identify(tests, model).where("lang = lang_pred").count() == 10
+
+
+def test_letters_and_names(spark):
+    """Numbers that look like letters are none; columns of any name pass through."""
+    texts = ["½ ² ①", "12 _", "word", "ß", ""]
+    docs = spark.createDataFrame([(i, t, "own", "kept") for i, t in enumerate(texts)], "doc_id long, text string, _judged string, row string")
+    model = op.learn(spark.createDataFrame([("some words of a text " * 20, "en")], "text string, lang string"))
+    got = {r["doc_id"]: r for r in op.identify(docs, model).collect()}
+    assert [got[i]["lang_pred"] for i in range(5)] == ["und", "und", "en", "en", "und"]
+    assert got[2]["_judged"] == "own" and got[2]["row"] == "kept"

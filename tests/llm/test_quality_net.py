@@ -69,3 +69,47 @@ def test_cases(spark):
     assert rows[0]["score"] == rows[1]["score"] and rows[2]["score"] == rows[3]["score"]
     assert {r["predicted"] for r in op.score_quality(docs, 0.5).collect()} == {1}
     assert op.score_quality(docs.where("false"), 0.5).count() == 0
+
+
+def plain_probability(net, data: bytes) -> float:
+    """The network layer by layer, with loops in place of products."""
+    size = len(data)
+    begins = [0] if size <= op.CHUNK else [min(i * op.STRIDE, size - op.CHUNK) for i in range(-(-(size - (op.CHUNK - op.STRIDE)) // op.STRIDE))]
+    layers = []
+    for begin in begins:
+        chunk = [data[i] if i < size else 256 for i in range(begin, begin + op.CHUNK)]
+        top = [-np.inf] * op.FILTERS
+        for at in range(0, op.CHUNK - op.WIDTH + 1, op.STEP):
+            seen = [x for byte in chunk[at : at + op.WIDTH] for x in net.embed[byte].tolist()]
+            for f in range(op.FILTERS):
+                top[f] = max(top[f], sum(x * w for x, w in zip(seen, net.filters[:, f].tolist())) + float(net.bias[f]))
+        active = [max(0.0, x) for x in top]
+        layers.append([np.tanh(sum(x * w for x, w in zip(active, net.dense[:, h].tolist())) + float(net.dense_bias[h])) for h in range(op.HIDDEN)])
+    joined = [pick(column) for pick in (max, min, lambda c: sum(c) / len(c)) for column in zip(*layers)]
+    return float(1 / (1 + np.exp(-(sum(x * w for x, w in zip(joined, net.out.tolist())) + float(net.out_bias[0])))))
+
+
+def test_against_plain_layers():
+    net = op.new_net(5)
+    texts = ["", "a", "é" * 300, "one two three\n" * 36, "x" * 512, "y" * 513, " ".join(f"w{i}" for i in range(420))]
+    got = op.probability(net, *flat_bytes(pa.array(texts)))
+    assert got == pytest.approx([plain_probability(net, t.encode()) for t in texts], abs=1e-5)
+
+
+def test_long_labelled_texts(spark):
+    """A label that only long texts have is learned from pieces; the sample is of the first by hash, and bounded."""
+    long, short = "#$% <a href> " * 8000, "A plain sentence about the sea. "
+    docs = spark.createDataFrame([(i, long + str(i) if i % 2 else short * (3 + i % 5)) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(60)], "doc_id long, quality int")
+    net = op.learn(docs, labels)
+    assert isinstance(net, op.Net)
+    scores = {r["doc_id"]: r["score"] for r in op.score_quality(docs.withColumn("_score", op.F.lit("x")), net).collect()}
+    assert min(s for i, s in scores.items() if i % 2 == 0) > max(s for i, s in scores.items() if i % 2)
+    sizes = docs.select(op.F.octet_length(op.bounded("text")).alias("n"), op.F.octet_length("text").alias("whole")).collect()
+    assert all(r["n"] == r["whole"] or r["whole"] > op.TRAIN_TEXT_BYTES >= r["n"] > 0.9 * op.TRAIN_TEXT_BYTES for r in sizes)
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "text", "a", "b")], "doc_id long, text string, _score string, row string")
+    got = op.score_quality(docs, 0.25).first().asDict()
+    assert got == {"doc_id": 1, "text": "text", "_score": "a", "row": "b", "score": 0.25, "predicted": 0}
