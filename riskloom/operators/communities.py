@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.exchange import hot_keys, key_counts, lookup_join, number_rows
+from riskloom.operators.components import components
 from riskloom.session import discard, materialize, written_only
 
 
@@ -120,6 +121,38 @@ def _named_by_first(table: DataFrame) -> DataFrame:
     return named.select("node", F.col("_name").alias("community"))
 
 
+def _undirected(edges: DataFrame) -> DataFrame:
+    """Each pair of nodes that an edge joins, once."""
+    return edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+
+
+def _inside(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs with the communities of their ends, `ca` and `cb`; hubs are salted."""
+    a = members.select(F.col("node").alias("a"), F.col("community").alias("ca"))
+    b = members.select(F.col("node").alias("b"), F.col("community").alias("cb"))
+    with_a = lookup_join(pairs, a, "a", "b", hot_keys(key_counts(pairs, "a"), "a"), "inner")
+    return lookup_join(with_a, b, "b", "a", hot_keys(key_counts(pairs, "b"), "b"), "inner")
+
+
+def modularity(edges: DataFrame, members: DataFrame, resolution: float = 1.0) -> DataFrame:
+    """One row `modularity`: the share of edges within communities, less what it would be
+    if edges were dealt by degree. By counts per community; zero without edges."""
+    placed = _inside(_undirected(edges), members)
+    ends = placed.select(F.inline(F.array(F.struct(F.col("ca").alias("c")), F.struct(F.col("cb").alias("c")))), (F.col("ca") == F.col("cb")).cast("long").alias("within"))
+    counts = ends.groupBy("c").agg(F.count(F.lit(1)).alias("k"), F.sum("within").alias("w"))
+    total = F.sum("k").cast("double")
+    share = F.try_divide(F.sum("w"), total) - resolution * F.try_divide(F.sum(F.col("k").cast("double") * F.col("k")), total * total)
+    return counts.agg(F.coalesce(share, F.lit(0.0)).alias("modularity"))
+
+
+def connected_parts(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """Rows `node, community` with every community split into its connected parts, each
+    named by its smallest node. A split never lowers modularity."""
+    within = _inside(_undirected(edges), members).where("ca = cb")
+    roots = written_only(lambda: components(within.select("a", "b")), "parts")
+    return members.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("community"))
+
+
 def louvain(
     edges: DataFrame, resolution: float = 1.0, max_turns: int = 1000, max_levels: int = 100
 ) -> DataFrame:
@@ -129,17 +162,23 @@ def louvain(
     Rounds of local moving are joins and aggregations over all nodes at once; a hash
     of node and round picks the half that may move, so that neighbours do not chase
     each other. Each round is written to the shared folder, which ends its lineage.
-    When no node wants to move, communities become nodes and the next level starts. The
-    partition is returned only when no level changes it any more: a level that takes more
-    than `max_turns` rounds, or more than `max_levels` levels, are an error.
+    When no node wants to move, communities become nodes and the next level starts.
+
+    Nodes that move at the same time can make a level worse, and can leave a community in
+    pieces. So levels go on only while modularity, counted anew after each, rises, and
+    the best partition is taken; at the end every community is split into its connected
+    parts. A level that takes more than `max_turns` rounds, or more than `max_levels`
+    levels, are an error.
     """
-    pairs = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    pairs = _undirected(edges)
     both = pairs.select("a", "b", F.lit(1.0).alias("w")).unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(1.0).alias("w")))
     links = materialize(both, "links")
+    own = materialize(links.where("a < b").select(F.col("a").alias("src"), F.col("b").alias("dst")), "pairs")
     members = materialize(links.select(F.col("a").alias("node")).distinct().withColumn("community", F.col("node")), "members")
     twice_total = links.agg(F.sum("w")).first()[0]
     if not twice_total:
         return members
+    best = modularity(own, members, resolution).first()[0]
 
     for level in itertools.count():
         if level == max_levels:
@@ -164,7 +203,11 @@ def louvain(
         following = renamed.select(F.col("node").alias("community"), F.col("community").alias("_next"))
         hot = hot_keys(key_counts(members, "community"), "community")
         now = lookup_join(members, following, "community", "node", hot, "inner").select("node", F.col("_next").alias("community"))
-        old, members = members, materialize(now, "members")
+        now = materialize(now, "members")
+        reached = modularity(own, now, resolution).first()[0]
+        if reached <= best + 1e-12:
+            break
+        best, old, members = reached, members, now
         discard(old)
         group_a = renamed.select(F.col("node").alias("a"), F.col("community").alias("ca"))
         group_b = renamed.select(F.col("node").alias("b"), F.col("community").alias("cb"))
@@ -172,7 +215,7 @@ def louvain(
         joined = lookup_join(lookup_join(links, group_a, "a", "b", ends, "inner"), group_b, "b", "a", hubs, "inner")
         old, links = links, materialize(joined.groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")), "links")
         discard(old, renamed)
-    return _named_by_first(members)
+    return connected_parts(own, members)
 
 
 def rank_communities(members: DataFrame) -> DataFrame:

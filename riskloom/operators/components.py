@@ -1,0 +1,41 @@
+"""Connected components of a table of links."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from riskloom.session import discard, materialize
+
+
+def components(links: DataFrame) -> DataFrame:
+    """`node, root` for the nodes of `links` (`a, b`), root being the smallest node that
+    is reachable. Nodes without links have no row; links of a node with itself say nothing.
+
+    Rounds of two steps until nothing changes. First every node hands its larger
+    neighbours to the smallest one around it, then its smaller ones and itself. Hubs are
+    joined, not gathered: no task sees all neighbours of a node.
+    """
+    edges = materialize(_down(links.select("a", "b")), "links")
+    state = None
+    while True:
+        both = edges.union(edges.select("b", "a"))
+        least = materialize(both.groupBy("a").agg(F.least("a", F.min("b")).alias("least")), "least")
+        larger = both.where("b > a").join(least, "a")
+        old, edges = edges, materialize(_down(larger.select(F.col("b").alias("a"), F.col("least").alias("b"))), "links")
+        discard(old, least)
+        least = materialize(edges.groupBy("a").agg(F.min("b").alias("least")), "least")
+        smaller = edges.join(least, "a")
+        pairs = smaller.select("a", F.col("least").alias("b")).union(smaller.select(F.col("b").alias("a"), F.col("least").alias("b")))
+        old, edges = edges, materialize(_down(pairs), "links")
+        discard(old, least)
+        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if now == state:
+            break
+        state = now
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b"), F.col("b")).distinct())
+
+
+def _down(edges: DataFrame) -> DataFrame:
+    """Each link once, from the larger node to the smaller."""
+    return edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()

@@ -137,3 +137,24 @@ def test_louvain_improves_on_random_graph(spark):
 
 def test_louvain_without_edges(spark):
     assert c.louvain(spark.createDataFrame([("a", "a")], "src string, dst string")).collect() == []
+
+
+def test_modularity_and_connected_parts(spark):
+    """Against a plain count; a community in two pieces is split, which is no worse."""
+    import random
+
+    rng = random.Random(3)
+    edges = sorted({tuple(sorted(rng.sample(range(30), 2))) for _ in range(60)})
+    table = spark.createDataFrame(edges + [(b, a) for a, b in edges[:9]] + [(1, 1)], "src long, dst long")
+    of = {n: n % 4 for e in edges for n in e}
+    members = spark.createDataFrame(sorted(of.items()), "node long, community long")
+    before = c.modularity(table, members).first()[0]
+    assert abs(before - modularity(edges, of)) < 1e-12
+    parts = {r["node"]: r["community"] for r in c.connected_parts(table, members).collect()}
+    root = {n: n for n in of}
+    for _ in of:
+        for a, b in edges:
+            if of[a] == of[b]:
+                root[a] = root[b] = min(root[a], root[b])
+    assert parts == root and modularity(edges, parts) >= before
+    assert c.modularity(table.where("false"), members).first()[0] == 0
