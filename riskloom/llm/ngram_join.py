@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.llm.batches import bound_batches, flat_bytes, groups, tidied
+from riskloom.llm.bitmaps import may_be_among
 from riskloom.llm.components import components
 from riskloom.llm.repeats import Names, _mixed
 from riskloom.session import discard, materialize, written_only
@@ -294,7 +295,10 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int,
     nodes in a pair are made into sets."""
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = materialize(nodes.join(wanted, "node", "left_semi").select("node", "doc_id", "text_hash"), "wanted")
-    texts = docs.join(wanted, ["doc_id", "text_hash"]).select("node", "text")
+    # Only texts that may be wanted are shuffled; a null text has no node.
+    known = may_be_among(wanted, "text_hash", wanted.count())
+    texts = docs.where(F.col("text").isNotNull()).where(known(F.col("text_hash")))
+    texts = texts.join(wanted, ["doc_id", "text_hash"]).select("node", "text")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
