@@ -82,6 +82,16 @@ def test_exact_of_any_length(spark):
     assert found(search.found) == brute(queries, vectors, list(range(200)), 3)
 
 
+def test_a_visit_of_many_cells_is_a_row_for_each_pack(spark):
+    """Queries that visit every cell are not repeated for each of them."""
+    queries, vectors = unit(30, 16, 1), unit(400, 16, 2)
+    index = c.deal(table(spark, vectors, "chunk_id"), "chunk_id", 40)
+    packs = c.packed(index)
+    made = c.pack_visits(table(spark, queries, "query_id"), packs, lambda x, products, bounds, batch: np.ones(products.shape, bool)).collect()
+    assert len(packs.parts) == 1 and len(made) == 30
+    assert {(v["n_cells"], v["n_rows"]) for v in made} == {(int((index.sizes > 0).sum()), 400)}
+
+
 @pytest.mark.parametrize("part_rows", [16_384, 9])
 @pytest.mark.parametrize("make", [unit, lambda n, d, seed: grouped(n, 25, d, seed % 2)])
 def test_cells_find_the_stated_share(spark, monkeypatch, part_rows, make):
