@@ -90,6 +90,19 @@ def test_claims_without_policy_are_no_nodes(spark):
     assert [tuple(r) for r in g.has_claim_edges(claims, policies).collect()] == [("1", "CLM_1", "HAS_CLAIM")]
 
 
+def test_nodes_and_edges_are_read_from_claims_joined_once(spark, rows):
+    names = "claim_date claim_type claim_description claimed_amount approved_amount status fraud_label incident_date collision_type incident_severity authorities_contacted"
+    names += " incident_state incident_city incident_hour_of_the_day number_of_vehicles_involved bodily_injuries witnesses police_report_available total_claim_amount"
+    claims = spark.createDataFrame([("CLM_1", "1"), ("CLM_2", "2"), ("CLM_3", None)], "claim_id string, policy_id string").selectExpr("*", *[f"'{c}' AS {c}" for c in names.split()])
+    terms = "policy_type policy_start_date policy_end_date premium deductible coverage_amount status"
+    policies = spark.createDataFrame([("1",), ("1",), (None,)], "policy_id string").selectExpr("*", *[f"'{c}' AS {c}" for c in terms.split()])
+    nodes, edges = g.property_nodes(policies, claims), g.linear_edges(policies, claims)
+    assert [r["node_id"] for r in nodes["Claim"].collect()] == ["CLM_1"] and nodes["IncidentLocation"].count() == 1
+    assert sorted(r["rel_type"] for r in edges.collect()) == sorted(["HAS_CLAIM", "OCCURRED_AT", *[rel for _, rel, _, _ in g.ATTRIBUTE_RELATIONS]])
+    for table in (*nodes.values(), edges):
+        assert "Join" not in table._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_communities_of_cliques(spark, rows):
     occ = g.occurrences(at(spark, [4, 1, 6, 2, 4]))
     found = c.shared_location_communities(occ)
