@@ -1,4 +1,5 @@
 import itertools
+import random
 
 import pytest
 
@@ -171,3 +172,26 @@ def test_modularity_and_connected_parts(spark):
                 root[a] = root[b] = min(root[a], root[b])
     assert parts == root and modularity(edges, parts) >= before
     assert c.modularity(table.where("false"), members).first()[0] == 0
+
+
+def test_louvain_rounds_read_few_links(spark, monkeypatch):
+    """Rounds that read the links of nodes beside another community only make the same moves
+    as rounds that read all."""
+    rng = random.Random(5)
+    pairs = {tuple(sorted(rng.sample(range(12), 2))) for _ in range(8)} | {(i, 100 + 40 * i + j) for i in range(2) for j in range(10)}
+    table = spark.createDataFrame([(f"n{a:04}", f"n{b:04}") for a, b in pairs], "src string, dst string")
+    moves, read = c._moves, []
+
+    def counted(links, *rest):
+        read.append(links.count())
+        return moves(links, *rest)
+
+    monkeypatch.setattr(c, "_moves", counted)
+    found = []
+    for share in (0.0, 2.0):
+        monkeypatch.setattr(c, "RESTRICT_BELOW", share)
+        read.clear()
+        found.append((sorted(map(tuple, c.louvain(table).collect())), list(read)))
+    (whole, all_links), (restricted, few_links) = found
+    assert restricted == whole and len(few_links) == len(all_links)
+    assert all(few <= many for few, many in zip(few_links, all_links, strict=True)) and sum(few_links) < sum(all_links)
