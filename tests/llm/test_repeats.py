@@ -1,12 +1,14 @@
 """Removed bytes against a plain count of all strings."""
 
 import hashlib
+import pathlib
 import random
 import re
 from collections import Counter
 
 import pytest
 
+from riskloom import session
 from riskloom.llm import repeats as op
 
 
@@ -132,3 +134,24 @@ def test_words_in_stretches(monkeypatch):
     assert len(whole) == 51 + 26
     monkeypatch.setattr(op, "BLOCK", 40)
     assert spans() == whole
+
+
+def test_texts_without_repeats_stay_where_they_are(spark, monkeypatch):
+    """Only texts that may have repeats go through the joins, whatever a bitmap lets through the rows are the
+    same, and of the tables written on the way one is left."""
+    rng = random.Random(5)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    shared = words(12)
+    texts = [words(30) for _ in range(30)] + [words(5) + " " + shared + " " + words(4), shared, "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    home = pathlib.Path(session.scratch_path(spark, "x").removeprefix("file:")).parent
+    left = set(home.iterdir()) if home.exists() else set()
+    done = op.remove_repeats(docs, 40, gram=7, cells=(16, 4, 1), words=10)
+    assert [p.name.split("-")[0] for p in set(home.iterdir()) - left] == ["repeated"]
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert "among(text_hash" in plan
+    rows = lambda df: sorted((r["doc_id"], *r["repeats"]) for r in df.collect())
+    got = rows(done)
+    assert [r[0] for r in got if r[2]] == [30, 31] and len(got) == 34
+    monkeypatch.setattr(op, "may_be_among", lambda *_: lambda hash_: hash_.isNotNull())
+    assert rows(op.remove_repeats(docs, 40, gram=7, cells=(16, 4, 1), words=10)) == got
