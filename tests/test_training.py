@@ -1,10 +1,14 @@
 """Boosting stops by patience and keeps the best round."""
 
 import random
+import threading
+from types import SimpleNamespace
 
 from pyspark.ml.feature import VectorAssembler
 
+from riskloom import session
 from riskloom.operators import training
+from riskloom.plans import models
 
 
 def vectors(spark):
@@ -67,3 +71,38 @@ def test_more_rounds(spark, monkeypatch):
     monkeypatch.setattr(training, "min", lambda a, b: 5 if b > 20 and not seen else sorted((a, b))[0], raising=False)
     model, again = training.train_gbt(rows, max_iter=60, patience=12)
     assert [round(x, 9) for x in again] == [round(x, 9) for x in history] and len(seen) > 1 and seen[1] == 5
+
+
+def test_feature_sets_train_at_once(spark, monkeypatch):
+    """All sets are in training together, and give a row each in their order."""
+    together = threading.Barrier(len(training.FEATURE_SETS), timeout=60)
+
+    def train(claims, feature_set, fit_rows):
+        together.wait()
+        scored = claims.selectExpr("claim_id", "fraud_label", "id / 10 AS fraud_risk_score", "'test' AS split")
+        trees = SimpleNamespace(getNumTrees=1)
+        return SimpleNamespace(score=lambda rows, keep: rows, rounds_asked=3, history=[0.1, 0.2], trees=trees), scored
+
+    claims = spark.range(10).selectExpr("id", "'c' || id AS claim_id", "id % 3 = 0 AS fraud_label")
+    monkeypatch.setattr(models.fx, "split_table", lambda s, d: claims)
+    monkeypatch.setattr(training, "train_scorer", train)
+    rows = models.gbt_scores(spark, "").collect()
+    assert [r["feature_set"] for r in rows] == list(training.FEATURE_SETS)
+    assert {(r["positives"], r["negatives"], r["rounds_trained"]) for r in rows} == {(4, 6, 2)}
+
+
+def test_threads_keep_their_tables(spark):
+    """What one thread writes is not deleted by `written_only` of another."""
+    other = []
+
+    def write():
+        other.append(session.materialize(spark.range(3), "other"))
+
+    def make():
+        one = threading.Thread(target=write)
+        one.start()
+        one.join()
+        return session.materialize(spark.range(2), "own")
+
+    session.written_only(make)
+    assert other[0].count() == 3
