@@ -8,7 +8,9 @@ import pyarrow as pa
 import pytest
 
 from riskloom.llm import ngram_join as op
-from riskloom.llm.components import components
+from riskloom.llm import components as linked_components
+from riskloom.llm.components import components, joined_components
+from riskloom.session import materialize
 
 
 def shingles(text, words):
@@ -120,3 +122,21 @@ def test_components(spark):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     linked = {x for a, b in edges if a != b for x in (a, b)}
     assert got == {x: find(x) for x in linked}
+
+
+def test_components_in_parts(spark):
+    rng = random.Random(2)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(260)]
+    first, more = (spark.createDataFrame(part, "a long, b long") for part in (edges[:150], edges[150:] + [(7, 7)]))
+    got = joined_components(components(first), more)
+    whole = components(spark.createDataFrame(edges, "a long, b long"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_no_round_for_settled_links(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(linked_components, "materialize", lambda df, label: written.append(label) or materialize(df, label))
+    stars = spark.createDataFrame([(k, k // 10 * 10) for k in range(50)], "a long, b long")
+    assert sorted(map(tuple, components(stars).collect())) == [(k, k // 10 * 10) for k in range(50)]
+    # A round that only finds that nothing changes would write more.
+    assert written == ["links"]
