@@ -155,3 +155,15 @@ def test_texts_without_repeats_stay_where_they_are(spark, monkeypatch):
     assert [r[0] for r in got if r[2]] == [30, 31] and len(got) == 34
     monkeypatch.setattr(op, "may_be_among", lambda *_: lambda hash_: hash_.isNotNull())
     assert rows(op.remove_repeats(docs, 40, gram=7, cells=(16, 4, 1), words=10)) == got
+
+
+def test_words_are_looked_at_by_the_block(monkeypatch):
+    """Tables over words are no larger than those over a block of text."""
+    import pyarrow as pa
+
+    seen, whole = [], op.Phrases
+    monkeypatch.setattr(op, "Phrases", lambda words: seen.append(words.shape[1]) or whole(words))
+    monkeypatch.setattr(op, "BLOCK", 800)
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), pa.array([" ".join(str(k) for k in range(1000))])], ["doc_id", "text_hash", "text"])
+    assert sum(len(own) for *_, own in op.passages(batch, 20)) == 981
+    assert max(seen) <= 100 + 19
