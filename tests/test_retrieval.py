@@ -1,5 +1,6 @@
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.ml import PipelineModel
 
@@ -131,3 +132,23 @@ def test_own_encoder_and_failed_checks(spark):
     assert {x["chunk_id"]: x["embedding"] for x in vectors.collect()} == {"a": [2.0, 0.0], "b": [1.0, 0.0]}
     row = r.check_vectors(vectors, chunks).first()
     assert not row["ok"] and row["norm_error"] == 1.0
+
+
+def test_single_precision_decides_nothing():
+    """Vectors that only double precision tells apart are found in their order, with and without a known k-th."""
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=64) / 8
+    vectors = base + np.linspace(0, 1e-7, 40)[rng.permutation(40), None] * rng.normal(size=64)
+    queries = np.vstack([base, rng.normal(size=(5, 64)), np.full((1, 64), 1e30)])
+    ids = pa.array([f"c{i:02d}" for i in range(40)])
+    for rows in (queries[:6], queries):  # the last is too large for single precision
+        distance = np.round(1 - rows @ vectors.T, r.DIGITS)
+        for worst in (np.full(len(rows), np.inf), np.sort(distance, axis=1)[:, 2]):
+            found = r._search(rows, vectors, ids, 3, worst)
+            got = found["distance"].to_numpy().reshape(-1, 3)
+            wanted = np.sort(distance, axis=1)[:, :3]
+            assert np.allclose(got, wanted, rtol=1e-12, atol=2e-12)
+    assert r._slack(queries[:6], vectors) is not None and r._slack(queries, vectors) is None
+    few = r._search(queries[:2], vectors[:2], ids[:2], 3, np.full(2, np.inf))
+    assert len(few) == 4
+    assert len(r._search(queries[:0], vectors, ids, 3, np.full(0, np.inf))) == 0
