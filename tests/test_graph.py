@@ -195,3 +195,18 @@ def test_louvain_rounds_read_few_links(spark, monkeypatch):
     (whole, all_links), (restricted, few_links) = found
     assert restricted == whole and len(few_links) == len(all_links)
     assert all(few <= many for few, many in zip(few_links, all_links, strict=True)) and sum(few_links) < sum(all_links)
+
+
+def test_components_end_when_all_links_lead_to_roots(spark, monkeypatch):
+    """Stars take one round of two written tables, and no round that only confirms."""
+    from riskloom.operators import components
+
+    written, write = [], components.materialize
+    monkeypatch.setattr(components, "materialize", lambda df, label: written.append(label) or write(df, label))
+    links = spark.createDataFrame([(f"c{k:02}", f"at{k % 3}") for k in range(30)], "a string, b string")
+    found = {r["node"]: r["root"] for r in components.components(links).collect()}
+    assert found == {f"c{k:02}": f"at{k % 3}" for k in range(30)} | {f"at{k}": f"at{k}" for k in range(3)}
+    assert len(written) <= 3
+    path = spark.createDataFrame([(k, k + 1) for k in range(50)] + [(60, 60)], "a long, b long")
+    assert {r["node"]: r["root"] for r in components.components(path).collect()} == dict.fromkeys(range(51), 0)
+    assert components.components(path.where("false")).count() == 0
