@@ -140,3 +140,20 @@ def test_no_round_for_settled_links(spark, monkeypatch):
     assert sorted(map(tuple, components(stars).collect())) == [(k, k // 10 * 10) for k in range(50)]
     # A round that only finds that nothing changes would write more.
     assert written == ["links"]
+
+
+def test_copies_show_no_keys(spark, monkeypatch):
+    """Keys that only copies of one text hold are not kept: a set shows its keys once."""
+    held, write = {}, op.materialize
+
+    def counted(df, label="table"):
+        table = write(df, label)
+        held[label] = table.count()
+        return table
+
+    monkeypatch.setattr(op, "materialize", counted)
+    texts = [" ".join(f"{c}{i}" for i in range(40)) for c in "abc"]
+    rows = [(k, texts[0]) for k in range(30)] + [(100, texts[1]), (101, texts[2])]
+    found = op.similarity_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == dict.fromkeys(range(30), 0) | {100: 100, 101: 101}
+    assert held["keys"] == 0
